@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .neardup import near_duplicates
 from .quality import quality_scores
 from .tables import table
 
@@ -16,7 +17,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: list[Query] = [op8_quality_rules]
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: list[Query] = [op8_quality_rules, op10_minhash_near_dedup]
 
 
 def queries() -> dict[str, Query]:

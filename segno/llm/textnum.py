@@ -52,10 +52,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(texts: list[str], most: int = CHUNK_CHARS):
-    """Ranges (from, to) of consecutive texts that hold about `most` characters together."""
+    """Ranges (from, to) of consecutive texts that hold about `most` characters together (under 2**20 texts)."""
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+        if size and (size + len(t) > most or i - start >= 1 << 19):
             yield start, i
             start, size = i, 0
         size += len(t) + 1
@@ -112,10 +112,10 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (doc, h), in that order, and how often each occurs; doc never falls."""
+    """Distinct (doc, h), in that order, and how often each occurs; of h only the upper 44 bits are kept."""
     if not len(h):
         return doc[:0], h[:0], np.zeros(0, np.int64)
-    order = np.lexsort((h, doc))
-    d, x = doc[order], h[order]
-    new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (x[1:] != x[:-1]))))
-    return d[new], x[new], np.diff(np.concatenate((new, [len(x)])))
+    key = np.sort((doc.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    kept = key[new]
+    return (kept >> np.uint64(44)).astype(np.int64), kept << np.uint64(20), np.diff(np.concatenate((new, [len(key)])))
