@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import secret_scan
+from .decontam import contaminated
 from .neardup import near_duplicates
 from .quality import quality_scores
+from .spans import listed, number_of
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +25,28 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: list[Query] = [op8_quality_rules, op10_minhash_near_dedup]
+def span_digest(found: DataFrame, base: list[str], *more: str) -> DataFrame:
+    """doc_id, n_<kind> and the digest of the base spans, and all spans as text."""
+    own = F.filter("spans", lambda x: x["kind"].isin(base))
+    counts = [number_of(F.col("spans"), k).alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *more)
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    return span_digest(found, secret_scan.BASE, "n_live", "n_copied", "n_weak", "most_owners")
+
+
+QUERIES: list[Query] = [
+    op2_benchmark_decontamination,
+    op5_secret_ownership,
+    op8_quality_rules,
+    op10_minhash_near_dedup,
+]
 
 
 def queries() -> dict[str, Query]:
