@@ -198,3 +198,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVE)
         out = out.unionByName(texts.mapInArrow(run, SCHEMA))
     best = [F.max_by(c, F.struct("overlap", "score", -F.col("start"))).alias(c) for c in ("question_share", "answer_share", "overlap", "start", "end")]
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), *best)
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVE) -> DataFrame:
+    """The documents that hold no test item, with all their columns."""
+    return docs.join(contaminated(docs, items, threshold).select("doc_id").distinct(), "doc_id", "left_anti")

@@ -91,15 +91,17 @@ def statistics(texts: list[str]) -> np.ndarray:
     return out
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of its text."""
+def with_statistics(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
+    """The column `keep` of every row and the statistics of its text."""
 
     def run(batches):
         for b in batches:
             x = statistics(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=["doc_id", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=[keep, *STATISTICS])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    kind = docs.select(keep).schema[0].dataType.simpleString()
+    text = F.coalesce("text", F.lit("")).alias("text")
+    return docs.select(keep, text).mapInArrow(run, f"{keep} {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 def paths(node) -> list[list[tuple[int, bool, float]]]:
@@ -140,13 +142,26 @@ def fit_rules(train: DataFrame, trees: int = 12, depth: int = 3, lasso: float =
     return float(model.intercept), [(float(w), r) for w, r in zip(model.coefficients, rules) if w]
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
-    stats = written(with_statistics(docs), "statistics")
+def quality_model(stats: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Column:
+    """The score as an expression over STATISTICS, learnt from the labelled sample; stats: doc_id and STATISTICS."""
     train = written(stats.join(F.broadcast(training_sample(labels, "quality", max_training_rows)), "doc_id"), "training")
     intercept, rules = fit_rules(train)
     z = F.lit(intercept)
     for w, r in rules:
         z = z + w * rule_column(r)
-    score = 1 / (1 + F.exp(-z))
+    return 1 / (1 + F.exp(-z))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    stats = written(with_statistics(texts_of(docs)), "statistics")
+    score = quality_model(stats, labels, max_training_rows)
     return stats.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= ACCEPT).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """The documents that the classifier accepts, with all their columns; texts are not shuffled."""
+    stats = written(with_statistics(texts_of(docs)), "statistics")
+    score = quality_model(stats, labels, max_training_rows)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return with_statistics(rows, "row").where(score >= ACCEPT).select("row.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import secret_scan
 from .decontam import contaminated
 from .neardup import near_duplicates
+from .pieces import encode
 from .quality import quality_scores
 from .spans import listed, number_of
 from .tables import table
@@ -17,6 +18,10 @@ from .tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +49,7 @@ def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Query] = [
     op2_benchmark_decontamination,
     op5_secret_ownership,
+    op6_sentencepiece_lattice,
     op8_quality_rules,
     op10_minhash_near_dedup,
 ]
