@@ -27,9 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import texts_of, written
+from .textnum import chunks
 
 #: Words that are broadcast with their pieces, at most.
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 1 << 17
+#: Rarer words that a task remembers, at most.
+REMEMBERED = 200_000
 #: Characters of a word that goes through the lattice, at most.
 LATTICE_CHARS = 48
 _WORD = re.compile(r"\n| *[^ \n]+| +")
@@ -113,7 +116,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 count.update(cut(t))
-                if len(count) > 300_000:
+                if len(count) > 150_000:
                     yield out()
                     count.clear()
         yield out()
@@ -176,31 +179,33 @@ def encode(docs: DataFrame, model_file: str | None = None, head: int = HEAD_WORD
     spark: SparkSession = docs.sparkSession
     pieces = load(model_file or default_model())
     texts = texts_of(docs)
-    known = encode_words(head_words(word_counts(texts), head), pieces).toPandas()
-    shared = spark.sparkContext.broadcast((dict(zip(known["word"], known["ids"])), pieces))
+    known = encode_words(head_words(word_counts(texts), head), pieces).toArrow()
+    lists = known.column("ids").combine_chunks()
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    shared = spark.sparkContext.broadcast(({w: values[i:j].tobytes() for w, i, j in zip(known.column("word").to_pylist(), at, at[1:])}, pieces))
+    del known, lists, values
 
     def run(batches):
         known, pieces = shared.value
-        rare: dict[str, np.ndarray] = {}
+        rare: dict[str, bytes] = {}
         for b in batches:
-            flat, many = [], []
-            for t in b.column(1).to_pylist():
-                n = 0
-                for w in cut(t):
-                    ids = known.get(w)
-                    if ids is None:
-                        ids = rare.get(w)
+            texts = b.column(1).to_pylist()
+            for lo, hi in chunks(texts):
+                flat, ends = [], [0]
+                for t in texts[lo:hi]:
+                    mine = []
+                    for w in cut(t):
+                        ids = known.get(w) or rare.get(w)
                         if ids is None:
-                            if len(rare) > 500_000:
+                            if len(rare) >= REMEMBERED:
                                 rare.clear()
-                            ids = rare[w] = np.array(pieces.fold(w), np.int32)
-                    flat.append(ids)
-                    n += len(ids)
-                many.append(n)
-            ends = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(ends), values)
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(many, pa.int32())], names=["doc_id", "ids", "n_pieces"])
+                            ids = rare[w] = np.array(pieces.fold(w), np.int32).tobytes()
+                        mine.append(ids)
+                    flat.append(b"".join(mine))
+                    ends.append(ends[-1] + len(flat[-1]) // 4)
+                values = pa.array(np.frombuffer(b"".join(flat), np.int32))
+                ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), values)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), ids, pa.array(np.diff(ends).astype(np.int32))], names=["doc_id", "ids", "n_pieces"])
 
     return texts.mapInArrow(run, "doc_id long, ids array<int>, n_pieces int")
 

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan
+from . import pii, secret_scan
 from .decontam import contaminated
+from .lm_score import cross_entropy_difference
 from .neardup import near_duplicates
+from .passages import repeated_passages
 from .pieces import encode
 from .quality import quality_scores
 from .spans import listed, number_of
 from .tables import table
+from .topk import top_k
+from .toxicity import toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +26,19 @@ def op6_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(pii.personal_data(table(spark, sf_dir, "documents")), pii.BASE)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,20 +50,37 @@ def span_digest(found: DataFrame, base: list[str], *more: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *more)
 
 
+def op1_passage_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
     return span_digest(found, secret_scan.BASE, "n_live", "n_copied", "n_weak", "most_owners")
 
 
 QUERIES: list[Query] = [
+    op1_passage_chaining,
     op2_benchmark_decontamination,
+    op3_toxicity_factorization,
+    op4_cross_entropy_difference,
     op5_secret_ownership,
     op6_sentencepiece_lattice,
+    op7_pii_boosted_candidates,
     op8_quality_rules,
+    op9_histogram_top_k,
     op10_minhash_near_dedup,
 ]
 
@@ -59,5 +89,17 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in QUERIES}
 
 
+ORACLES = {
+    "op9_histogram_top_k": """
+        WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+                   FROM c q JOIN c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+             r AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
+SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
+#: Characters kept from before a match.
+CONTEXT = 24
 
 
 def match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """All leftmost non-overlapping matches (start, end exclusive, value), in order; keep drops some afterwards.
+    """All leftmost non-overlapping matches (start, end exclusive, value, what stands before it), in order; keep drops some afterwards.
 
     Positions come from the lengths of the matches and of the pieces between them. Texts without a match
     are scanned once.
@@ -22,7 +24,7 @@ def match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | N
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
+        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.right(x["piece"], F.lit(CONTEXT)).alias("before"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     pairs = F.zip_with(pieces, hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
