@@ -64,3 +64,26 @@ def draw(seed: str, rep: Column, slot: Column, n: Column) -> Column:
 def decide(low: Column, high: Column, least: float = 0.0) -> Column:
     """adopt if the interval lies above `least`, reject if below, else (or without one) hold."""
     return F.when(low.isNull() | high.isNull(), "hold").when(low > least, "adopt").when(high < least, "reject").otherwise("hold")
+
+
+def parse_spec(text: Column) -> Column:
+    """'k=v; k=v' as a map with trimmed keys and values."""
+    pairs = F.str_to_map(text, F.lit(";"), F.lit("="))
+    return F.transform_values(F.transform_keys(pairs, lambda k, v: F.trim(k)), lambda k, v: F.trim(v))
+
+
+def softmax(score: Column, over) -> Column:
+    """Share of each row in the exponentials of its window, shifted by the largest score."""
+    e = F.exp(score - F.max(score).over(over))
+    return e / F.sum(e).over(over)
+
+
+def noisy_or(weight: Column, evidence: Column) -> Column:
+    """Aggregate: 1 less the product of (1 - weight * evidence)."""
+    return 1 - F.product(1 - weight * evidence)
+
+
+def uniform(seed: str, *facts: Column) -> Column:
+    """A number in [0, 1) that any engine can repeat: the first 8 hex figures of a sha256 of the facts."""
+    text = F.concat_ws(":", F.lit(seed), *[f.cast("string") for f in facts])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long") / float(1 << 32)

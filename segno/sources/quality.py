@@ -19,3 +19,9 @@ def checkpoint_folder(spark: SparkSession) -> None:
     """Use the folder of spark.checkpoint.dir; set a temporary one only where none is set."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="segno-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every executor can write to."""
+    checkpoint_folder(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
