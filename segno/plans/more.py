@@ -133,7 +133,7 @@ def j9_anchor_find(spark, d):
 
 @query(""", cs AS (SELECT song_id, min(onset_us) AS s, max(offset_us) AS e FROM (SELECT *, sum(CASE WHEN onset_us <= b THEN 0 ELSE 1 END) OVER (PARTITION BY song_id ORDER BY onset_us, offset_us ROWS UNBOUNDED PRECEDING) AS r
   FROM (SELECT *, max(offset_us) OVER (PARTITION BY song_id ORDER BY onset_us, offset_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM nr)) GROUP BY song_id, r)
- SELECT song_id, bar, covered_us, covered_us * 2 >= end_us - start_us AS covered FROM (SELECT br.song_id, bar, start_us, end_us, coalesce(sum(least(e, end_us) - greatest(s, start_us)), 0)::BIGINT AS covered_us
+ SELECT song_id, bar, covered_us, covered_us * 2 >= end_us - start_us AS covered FROM (SELECT br.song_id, bar, start_us, end_us, sum(CASE WHEN s IS NULL THEN 0 ELSE least(e, end_us) - greatest(s, start_us) END)::BIGINT AS covered_us
   FROM br LEFT JOIN cs ON br.song_id = cs.song_id AND s < end_us AND e > start_us GROUP BY ALL)""")
 def j15_coverage_join(spark, d):
     spans = X.notes_ref(spark, d).select("song_id", F.col("onset_us").alias("start_us"), F.col("offset_us").alias("end_us"))
