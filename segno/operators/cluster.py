@@ -26,9 +26,9 @@ def anchored_clusters(df: DataFrame, keys: list[str], tol_us: int, t: str = "ons
     anchors = F.aggregate(
         "xs", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["_t"] - F.try_element_at(acc, F.lit(-1)) <= tol_us), acc).otherwise(F.concat(acc, F.array(x["_t"])))
     )
-    each = groups.withColumn("anchors", anchors).select(*keys, "anchors", F.explode("xs").alias("x"))
-    anchor = F.array_max(F.filter("anchors", lambda a: a <= F.col("x._t")))
-    return each.select(*keys, "x._row.*", anchor.alias("anchor_us"))
+    each = groups.withColumn("anchors", anchors).select(*keys, "anchors", F.explode("xs").alias("_x"))
+    anchor = F.array_max(F.filter("anchors", lambda a: a <= F.col("_x._t")))
+    return each.select(*keys, "_x._row.*", anchor.alias("anchor_us"))
 
 
 def merge_spans(spans: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
