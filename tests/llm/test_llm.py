@@ -196,3 +196,26 @@ def test_large_buckets_split_by_every_three(spark):
     made = {b for b, _ in got} - {50}
     assert len(made) == len(list(combinations((10, 20, 30, 40), 3)))
     assert all((b, x) in got for b in made for x in range(size))
+
+def test_passages_parted_by_an_insertion_are_both_found():
+    """Two verbatim passages, adjacent in one document and parted in the other; and chains that leave no match out."""
+    r = random.Random(12)
+    for n, inserted in ((300, 170), (300, 220), (120, 65), (60, 35)):
+        for _ in range(40):
+            one, two, between = (np.array([r.getrandbits(32) for _ in range(k)], np.uint32) for k in (n, n, inserted))
+            a, b = np.concatenate([one, two]), np.concatenate([one, between, two])
+            xs = [*range(3, n - 10, 13), *range(n + 3, 2 * n - 10, 13)]
+            got = passages.verified(a, b, xs, [x + inserted * (x >= n) for x in xs])
+            assert sum(g[4] for g in got) == 2 * n and all(g[4] >= passages.LEAST_IDENTITY * g[5] for g in got)
+    x, y = np.array([0, 9, 12, 20]), np.array([0, 9, 40, 20])
+    assert sorted(m for _, p in passages.chain(x, y) for m in p) == [0, 1, 2, 3]
+
+
+def test_document_pairs_keep_passages_parted_by_an_insertion(spark):
+    r = random.Random(13)
+    texts = []
+    for _ in range(12):
+        one, two = prose(r, 120), prose(r, 120)
+        texts += [f"{one} {two}", f"{one} {prose(r, 65)} {two}"]
+    got = {x.doc_id: x for x in passages.repeated_passages(docs_of(spark, texts)).collect()}
+    assert all(got[i].n_links == 1 and got[i].class_id == i - i % 2 for i in range(24))
