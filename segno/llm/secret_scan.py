@@ -2,12 +2,13 @@
 
 Patterns give candidate spans; every candidate value is hashed, and for each hash the distinct repositories
 and owners that hold it are counted over the whole corpus. A value held by WIDE or more owners is a widely
-copied example; another one that looks random enough is a live-looking credential of its owner.
+copied example; another one that is no placeholder is a live-looking credential of its owner. A private key is
+its whole block, from the BEGIN line to the END line (without one, the lines of its body); a BEGIN line alone is weak.
 Here a document stands for a repository and `source` for its owner; both are parameters.
 
 Defined results: a null text counts as empty and has no span; repeated rows are returned each, and count
-once as repository; rows with a null doc_id keep their spans but count in no frequency; an empty table
-gives no rows; spans of different kinds may overlap and are all kept; other columns are ignored.
+once as repository; rows with a null doc_id keep their spans but count in no frequency; values are masked in
+the rows that hold them, whatever their doc_id; an empty table gives no rows; spans of different kinds may overlap and are all kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +26,17 @@ ASSIGNED = "^" + _LEAD + r"([A-Za-z0-9+/_.=-]+)$"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 BASE = ["assign", "access", "hex"]
+#: A line break of a key, also one that is written out in a quoted string.
+_BREAK = r"(?:\s|\\[nr])"
+PEM_LINE = r"-----(?:BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----"
+#: Up to the END line; a block that is cut off ends with the lines of its body.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/=]{{40,}}+)++(?:{_BREAK}++[A-Za-z0-9+/]++={{1,2}})?)?+"
+)
 #: Kinds found beyond the base ones.
 MORE = {
-    "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "pem": PEM,
     "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "provider": r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35,}+)",
 }
@@ -48,27 +57,43 @@ def secret_of(span: Column) -> Column:
     return F.when(span["kind"] == "assign", F.regexp_extract(span["value"], ASSIGNED, 1)).otherwise(span["value"])
 
 
-def looks_live(value: Column) -> Column:
-    """Long, made of many different characters, with digits, and no placeholder."""
-    kinds = F.size(F.array_distinct(F.split(F.lower(value), "")))
-    return (F.length(value) >= 12) & (kinds >= 6) & value.rlike("[0-9]") & ~value.rlike("(?i)example|placeholder|changeme|xxxx|0123456789|abcdef0123|your_")
+def looks_live(value: Column, kind: Column) -> Column:
+    """Long, made of many different characters, and no placeholder; of a private key the body counts."""
+    body = F.when(kind == "pem", F.regexp_replace(value, PEM_LINE, "")).otherwise(value)
+    kinds = F.size(F.array_distinct(F.split(F.lower(body), "")))
+    # four equal letters are no sign of a placeholder in long random text
+    filler = F.when(kind.isin("pem", "jwt"), body.rlike("(?i)x{8}")).otherwise(body.rlike("(?i)xxxx"))
+    return (F.length(body) >= 12) & (kinds >= 6) & ~filler & ~body.rlike("(?i)example|placeholder|changeme|0123456789|abcdef0123|your_")
+
+
+def owner_of(docs: DataFrame, owner: str) -> Column:
+    return F.coalesce(F.col(owner).cast("string") if owner in docs.columns else F.lit(""), F.lit(""))
 
 
 def scanned(docs: DataFrame, owner: str = "source") -> DataFrame:
     """doc_id, owner, spans of each row, written: the texts are scanned once."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    who = F.col(owner).cast("string") if owner in docs.columns else F.lit("")
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(who, F.lit("")).alias("owner"), secret_spans(text).alias("spans")), "secrets")
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), owner_of(docs, owner).alias("owner"), secret_spans(text).alias("spans")), "secrets")
+
+
+def values(found: DataFrame, *keys: str) -> DataFrame:
+    """keys, value, hash, live (under any of its kinds) for each distinct value."""
+    each = found.select(*keys, F.explode("spans").alias("span"))
+    each = each.select(*keys, secret_of(F.col("span")).alias("value"), F.col("span.kind").alias("kind"))
+    each = each.select(*keys, "value", F.sha2("value", 256).alias("hash"), looks_live(F.col("value"), F.col("kind")).alias("live"))
+    return each.groupBy(*keys, "value", "hash").agg(F.bool_or("live").alias("live"))
+
+
+def spread(each: DataFrame) -> DataFrame:
+    """hash, n_repositories, n_owners from distinct (doc_id, owner, hash)."""
+    return each.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """doc_id, value, hash, n_repositories, n_owners, verdict for each distinct value of a document."""
-    each = found.where("doc_id is not null").select("doc_id", "owner", F.explode("spans").alias("span"))
-    each = each.select("doc_id", "owner", secret_of(F.col("span")).alias("value")).select("doc_id", "owner", "value", F.sha2("value", 256).alias("hash")).distinct()
-    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    wide = by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
-    verdict = F.when(F.col("n_owners") >= WIDE, "copied").when(looks_live(F.col("value")), "live").otherwise("weak")
-    return each.join(wide, "hash").select("doc_id", "value", "hash", "n_repositories", "n_owners", verdict.alias("verdict"))
+    each = values(found.where("doc_id is not null"), "doc_id", "owner")
+    verdict = F.when(F.col("n_owners") >= WIDE, "copied").when(F.col("live"), "live").otherwise("weak")
+    return each.join(spread(each), "hash").select("doc_id", "value", "hash", "n_repositories", "n_owners", verdict.alias("verdict"))
 
 
 def secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
@@ -83,10 +108,16 @@ def secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 def redacted(docs: DataFrame, owner: str = "source", mark: str = "<SECRET>") -> DataFrame:
     """The documents, all kept, with live-looking values replaced by `mark`; n_chars follows the text."""
-    live = ownership(scanned(docs, owner)).where("verdict = 'live'").groupBy("doc_id").agg(F.collect_set("value").alias("_live"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(*docs.columns, F.monotonically_increasing_id().alias("_row"), owner_of(docs, owner).alias("_owner"), secret_spans(text).alias("_spans"))
+    rows = written(rows, "scanned")
+    held = rows.where(F.size("_spans") > 0)
+    each = values(held.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("_owner").alias("owner"), F.col("_spans").alias("spans")), "_row", "doc_id", "owner")
+    wide = spread(each.where("doc_id is not null").select("doc_id", "owner", "hash").distinct()).where(F.col("n_owners") >= WIDE)
+    live = each.where("live").join(wide, "hash", "left_anti").groupBy("_row").agg(F.collect_set("value").alias("_live"))
     live = live.withColumn("_live", F.array_sort("_live", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(F.when(a > b, 1).otherwise(0))))
     text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(F.aggregate("_live", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
-    out = docs.join(live, "doc_id", "left").withColumn("text", text)
+    out = held.join(live, "_row", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).unionByName(rows.where(F.size("_spans") == 0).select(*docs.columns))
