@@ -59,7 +59,7 @@ def notes_in_bars(notes: DataFrame, beats: DataFrame) -> DataFrame:
 
     n = beats.groupBy("song_id").agg(F.max("beat_no").alias("_last"))
     on = time_to_beat(notes, beats, "onset_us").withColumnRenamed("beat_pos", "a")
-    both = time_to_beat(on, beats, "offset_us").withColumnRenamed("beat_pos", "b").join(F.broadcast(n), "song_id")
+    both = time_to_beat(on, beats, "offset_us").withColumnRenamed("beat_pos", "b").join(n, "song_id")
     lo, hi = F.least(F.greatest(F.floor("a"), F.lit(0)), "_last"), F.least(F.greatest(F.ceil("b") - 1, F.floor("a"), F.lit(0)), "_last")
     covered = both.select("song_id", "note_id", F.explode(F.sequence(lo, F.greatest(lo, hi))).alias("beat_no"))
     return covered.join(beats.select("song_id", "beat_no", "bar"), ["song_id", "beat_no"]).select("song_id", "note_id", "bar").distinct()

@@ -111,9 +111,9 @@ def g54_weighted_delta(spark, d):
     return measures.weighted_delta(by(X.notes_ref(spark, d)), by(X.notes_est(spark, d)), ["song_id", "line", "b"], "song_id")
 
 
-@query(""" SELECT event_id, value >= 0.4 * q AS kept FROM (SELECT event_id, value, user_id % 12 AS s FROM events) JOIN (SELECT user_id % 12 AS s, quantile_cont(value, 0.95) AS q FROM events GROUP BY 1) USING (s)""", cte=False)
+@query(""" SELECT event_id, value >= 0.4 * q AS kept FROM (SELECT event_id, value, user_id // 12 AS s FROM events) JOIN (SELECT user_id // 12 AS s, quantile_cont(value, 0.95) AS q FROM events GROUP BY 1) USING (s)""", cte=False)
 def w23_silence_gate(spark, d):
-    return measures.silence_gate(X.table(spark, d, "events").withColumn("song_id", F.col("user_id") % 12), "value", 0.95, 0.4).select("event_id", "kept")
+    return measures.silence_gate(X.table(spark, d, "events").withColumn("song_id", F.expr("user_id div 12")), "value", 0.95, 0.4).select("event_id", "kept")
 
 
 @query(""", sr AS (SELECT song_id, onset_us // 1000000 AS frame, count(*) AS x FROM nr GROUP BY ALL),
@@ -167,13 +167,13 @@ def s3_review_queue(spark, d):
 
 
 #: Events on the songs' time axis; windows that close after the newest event less the allowed delay stay open.
-EV = ", ev AS (SELECT CAST(user_id % 12 AS BIGINT) AS song_id, event_id, event_type, value, (epoch_us(ts) - 1704067200000000) // 3600 AS t FROM events)"
+EV = ", ev AS (SELECT CAST(user_id // 12 AS BIGINT) AS song_id, event_id, event_type, value, (epoch_us(ts) - 1704067200000000) // 3600 AS t FROM events)"
 MARK = "(SELECT max(t) // 1000 * 1000 - 10000000 FROM {})"
 
 
 def event_stream(spark, d):
     onset = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 3600")
-    return jobs.stream_of(spark, f"{d}/events.parquet").select((F.col("user_id") % 12).cast("long").alias("song_id"), "event_id", "event_type", "value", F.timestamp_micros(onset).alias("t"))
+    return jobs.stream_of(spark, f"{d}/events.parquet").select(F.expr("user_id div 12").alias("song_id"), "event_id", "event_type", "value", F.timestamp_micros(onset).alias("t"))
 
 
 @query(EV + f" SELECT song_id, t // 10000000 * 10000000 AS start_us, round(avg(value * value), 6) AS power, count(*) AS n FROM ev GROUP BY 1, 2 HAVING start_us + 10000000 <= {MARK.format('ev')}")

@@ -191,7 +191,7 @@ def p6_categorize_name(spark, d):
     return X.table(spark, d, "part").select("p_partkey", out.alias("category"))
 
 
-@query(" SELECT song_id, anchor_us, count(DISTINCT pitch) AS n, CASE WHEN count(DISTINCT pitch) = 1 THEN 'single' WHEN count(DISTINCT pitch % 12) = 1 THEN 'octave' WHEN count(DISTINCT pitch % 12) = 2 AND (max(pitch) - min(pitch)) % 12 IN (5, 7) THEN 'power' WHEN count(DISTINCT pitch) = 2 THEN 'dyad' WHEN count(DISTINCT pitch) <= 4 THEN 'triad34' ELSE 'full56' END AS shape FROM cl GROUP BY ALL".join([anchored("song_id"), ""]))
+@query(" SELECT song_id, anchor_us, count(DISTINCT pitch) AS n, CASE WHEN count(DISTINCT pitch) = 1 THEN 'single' WHEN count(DISTINCT pitch % 12) = 1 THEN 'octave' WHEN count(DISTINCT pitch % 12) = 2 AND max(pitch % 12) - min(pitch % 12) IN (5, 7) THEN 'power' WHEN count(DISTINCT pitch) = 2 THEN 'dyad' WHEN count(DISTINCT pitch) <= 4 THEN 'triad34' ELSE 'full56' END AS shape FROM cl GROUP BY ALL".join([anchored("song_id"), ""]))
 def p10_chord_shape(spark, d):
     g = cluster.anchored_clusters(X.notes_ref(spark, d), ["song_id"], 35_000).groupBy("song_id", "anchor_us").agg(F.collect_set("pitch").alias("ps"))
     return g.select("song_id", "anchor_us", F.size("ps").cast("long").alias("n"), S.chord_shape(F.col("ps")).alias("shape"))
@@ -339,10 +339,10 @@ def d12_local_intervals(spark, d):
     return sequence.tempo_levels(X.beats(spark, d))
 
 
-@query(" SELECT note_id, row_number() OVER (ORDER BY onset_us, pitch, offset_us, instrument, note_id) AS place FROM nr WHERE song_id = 0")
+@query(" SELECT song_id, note_id, row_number() OVER (PARTITION BY song_id ORDER BY onset_us, pitch, offset_us, instrument, note_id) AS place FROM nr")
 def s1_canonical_order(spark, d):
     w = Window.partitionBy("song_id").orderBy("onset_us", "pitch", "offset_us", "instrument", "note_id")
-    return X.notes_ref(spark, d).where("song_id = 0").select("note_id", F.row_number().over(w).alias("place"))
+    return X.notes_ref(spark, d).select("song_id", "note_id", F.row_number().over(w).alias("place"))
 
 
 @query(" SELECT song_id, bucket, n, place FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY n DESC, bucket) AS place FROM (SELECT song_id, onset_us // 10000000 AS bucket, count(*) AS n FROM nr GROUP BY ALL)) WHERE place <= 5")
@@ -375,7 +375,7 @@ def a10_content_key(spark, d):
     return docs.join(n, "sha").select("doc_id", "sha", (F.col("n") > 1).alias("copied"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(replace(lower(p_name || ':' || p_brand), ':', '-'), '[^a-z0-9_-]+', '_', 'g'), '_') AS slug FROM part", cte=False)
+@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(p_name || ':' || p_brand), ':', '-'), '[^a-z0-9_-]', '_', 'g'), '-+', '-', 'g'), '_+', '_', 'g'), '_') AS slug FROM part", cte=False)
 def a11_slug(spark, d):
     return X.table(spark, d, "part").select("p_partkey", S.slug(F.concat("p_name", F.lit(":"), "p_brand")).alias("slug"))
 
@@ -414,7 +414,7 @@ def l11_latest_status(spark, d):
     return lineage.latest_status(X.table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderstatus")
 
 
-LOG = """, lg AS (SELECT song_id, note_id AS seq, CASE instrument WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS op, note_id AS id, CASE WHEN note_id % 5 = 0 THEN -1 ELSE note_id - 12 END AS target, row_number() OVER (PARTITION BY song_id ORDER BY note_id) AS rn FROM nr),
+LOG = """, lg AS (SELECT song_id, note_id AS seq, CASE instrument WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS op, note_id AS id, CASE WHEN note_id % 5 = 0 THEN -1 ELSE lag(note_id) OVER (PARTITION BY song_id ORDER BY note_id) END AS target, row_number() OVER (PARTITION BY song_id ORDER BY note_id) AS rn FROM nr),
  fo AS (SELECT song_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS dn, CAST([] AS BIGINT[]) AS un FROM lg GROUP BY ALL UNION ALL SELECT f.song_id, l.rn,
   CASE WHEN op = 'edit' THEN list_append(dn, id) WHEN op = 'undo' AND dn[-1] = target THEN dn[:-2] WHEN op = 'redo' AND un[-1] = target THEN list_append(dn, target) ELSE dn END,
   CASE WHEN op = 'edit' THEN CAST([] AS BIGINT[]) WHEN op = 'undo' AND dn[-1] = target THEN list_append(un, target) WHEN op = 'redo' AND un[-1] = target THEN un[:-2] ELSE un END FROM fo f JOIN lg l ON l.song_id = f.song_id AND l.rn = f.rn + 1)"""
@@ -423,7 +423,7 @@ LOG = """, lg AS (SELECT song_id, note_id AS seq, CASE instrument WHEN 'error' T
 @query(LOG + " SELECT song_id, len(dn) AS active, list_sum(list_transform(dn, lambda x: x))::BIGINT AS ids, len(un) AS undone FROM fo QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY rn DESC) = 1")
 def l1_active_edits(spark, d):
     op = F.when(F.col("instrument") == "error", "undo").when(F.col("instrument") == "signup", "redo").otherwise("edit")
-    target = F.when(F.col("note_id") % 5 == 0, -1).otherwise(F.col("note_id") - 12)
+    target = F.when(F.col("note_id") % 5 == 0, -1).otherwise(F.lag("note_id").over(Window.partitionBy("song_id").orderBy("note_id")))
     log = X.notes_ref(spark, d).select("song_id", F.col("note_id").alias("seq"), op.alias("op"), F.col("note_id").alias("id"), target.alias("target"))
     out = lineage.active_edits(log, "song_id", "seq")
     total = F.aggregate("active", F.lit(0).cast("long"), lambda a, x: a + x)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import more  # noqa: F401  (registers its queries)
+from . import matching, more, scores  # noqa: F401  (they register their queries)
 from .queries import ORACLES, QUERIES
 
 

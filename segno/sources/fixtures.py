@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-SONGS, BEATS = 12, 1440
+#: Users of one song, so that songs grow in number with the events and not in length; beats of a song.
+USERS, BEATS = 12, 1440
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def notes_ref(spark: SparkSession, d: str) -> DataFrame:
     onset = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 3600")
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, d, "events").select(
-        (F.col("user_id") % SONGS).cast("long").alias("song_id"), F.col("event_id").cast("long").alias("note_id"), onset.alias("onset_us"),
+        F.expr(f"user_id div {USERS}").alias("song_id"), F.col("event_id").cast("long").alias("note_id"), onset.alias("onset_us"),
         (onset + 20000 + F.round(F.col("value") * 10000).cast("long")).alias("offset_us"), (40 + k % 24).alias("pitch"), F.col("event_type").alias("instrument"), (k % 3).alias("line"),
     )
 
@@ -39,13 +40,15 @@ def notes_est(spark: SparkSession, d: str) -> DataFrame:
 
 
 def songs(spark: SparkSession, d: str) -> DataFrame:
-    return notes_ref(spark, d).select("song_id").distinct()
+    """song_id and how many notes it has."""
+    return notes_ref(spark, d).groupBy("song_id").agg(F.count("*").alias("n_notes"))
 
 
 def beats(spark: SparkSession, d: str) -> DataFrame:
     b = F.col("beat_no")
-    rows = songs(spark, d).select("song_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BEATS - 1).cast("long"))).alias("beat_no"))
-    return rows.select("song_id", "beat_no", (b * 500000 + (b % 7) * 1000).alias("t_us"), F.expr("beat_no div 4 + 1").alias("bar"), (b % 4 + 1).alias("beat"))
+    """Half a second each, moved by the beat and by how many notes the song has."""
+    rows = songs(spark, d).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BEATS - 1).cast("long"))).alias("beat_no"))
+    return rows.select("song_id", "beat_no", (b * 500000 + (b % 7) * 1000 + b * F.col("n_notes") % 11 * 700).alias("t_us"), F.expr("beat_no div 4 + 1").alias("bar"), (b % 4 + 1).alias("beat"))
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
@@ -69,14 +72,14 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: The same tables for DuckDB.
-CTE = """WITH RECURSIVE nr AS (SELECT CAST(user_id % 12 AS BIGINT) AS song_id, CAST(event_id AS BIGINT) AS note_id, (epoch_us(ts) - 1704067200000000) // 3600 AS onset_us,
+CTE = """WITH RECURSIVE nr AS (SELECT CAST(user_id // 12 AS BIGINT) AS song_id, CAST(event_id AS BIGINT) AS note_id, (epoch_us(ts) - 1704067200000000) // 3600 AS onset_us,
   (epoch_us(ts) - 1704067200000000) // 3600 + 20000 + CAST(round(value * 10000) AS BIGINT) AS offset_us, 40 + k % 24 AS pitch, event_type AS instrument, k % 3 AS line
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
 ne AS (SELECT song_id, note_id, greatest(0, onset_us + ((note_id * 7919) % 121 - 60) * 1000) AS onset_us, greatest(0, offset_us + ((note_id * 7919) % 121 - 60) * 1000) AS offset_us,
   pitch + CASE WHEN note_id % 20 = 1 THEN 12 ELSE 0 END AS pitch, instrument, CASE WHEN note_id % 10 = 2 THEN (line + 1) % 3 ELSE line END AS line FROM nr WHERE note_id % 10 <> 0
   UNION ALL SELECT song_id, note_id + 1000000000, onset_us + 300000, offset_us + 300000, pitch + 1, instrument, line FROM nr WHERE note_id % 20 = 3),
-sg AS (SELECT DISTINCT song_id FROM nr),
-bt AS (SELECT song_id, b AS beat_no, b * 500000 + (b % 7) * 1000 AS t_us, b // 4 + 1 AS bar, b % 4 + 1 AS beat FROM sg, range(1440) AS r(b)),
+sg AS (SELECT song_id, count(*) AS n_notes FROM nr GROUP BY 1),
+bt AS (SELECT song_id, b AS beat_no, b * 500000 + (b % 7) * 1000 + b * n_notes % 11 * 700 AS t_us, b // 4 + 1 AS bar, b % 4 + 1 AS beat FROM sg, range(1440) AS r(b)),
 br AS (SELECT * FROM (SELECT song_id, bar, start_us, lead(start_us) OVER (PARTITION BY song_id ORDER BY bar) AS end_us, n_beats
   FROM (SELECT song_id, bar, min(t_us) AS start_us, count(*) AS n_beats FROM bt GROUP BY ALL)) WHERE end_us IS NOT NULL),
 sc AS (SELECT song_id, s AS section, chr(CAST(65 + s % 3 AS INTEGER)) AS label, s * 16 + 1 AS start_bar, least(s * 16 + 17, 361) AS end_bar FROM sg, range(23) AS r(s)),

@@ -12,7 +12,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def canonical(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    one = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v
+
+    def one(v):
+        if pd.api.types.is_scalar(v):
+            return None if pd.isna(v) else round(float(v), 6) if isinstance(v, float) else v
+        return list(v)
+
     return sorted((tuple(one(v) for v in row) for row in df.itertuples(index=False)), key=repr)
 
 
