@@ -5,18 +5,19 @@
    a shingle weighs its count in the text times 1 + IDF_SHARE * log((1 + N) / (1 + frequency)) / log(2 + N).
 2. Every text draws BANDS * ROWS consistent weighted samples; each band of ROWS equal samples is a bucket.
    Texts with the same shingle counts are one class from the start and enter buckets once.
-3. In each bucket the most central text (the one whose buckets hold the most texts; ties by a hash of text and
-   bucket) leads: it is compared with every other text, and those that are not close to it stay. After the first
-   round the buckets that still hold over LARGE texts are split: a text enters one bucket for each REFINE of its
-   large ones, so texts stay together there only if they share REFINE bands, as those at the threshold do
-   (98.5 % of pairs at 0.8). Rounds with more leaders go on until no bucket holds two. No bucket emits all its
-   pairs, and none is capped; two texts that share but one or two bands, all of them large, are not compared.
-4. Pairs are verified on whole texts by exact weighted Jaccard similarity; classes are the connected
-   components of verified pairs.
+3. Texts that share buckets, over any number of steps, form crowds. A crowd of at most TOGETHER texts is compared
+   whole in one task. In a larger one every text is first compared with the most central text of each of its
+   buckets, which joins tight groups at linear cost; then the texts outside the largest joined part of a crowd meet
+   all texts of the crowd in pairs of blocks of TOGETHER texts. If what is left of a crowd is still over CROWD texts,
+   its buckets take its place. Every pair that shares a bucket is so either compared or in one class
+   already; no task holds more than two blocks, and a task returns links that join classes, never all pairs.
+4. Similarity is the exact weighted Jaccard similarity of whole texts; classes are the connected components of
+   pairs at the threshold or above.
 
 Defined results: null texts count as empty; a text without a word is a class of its own (one class per
-doc_id); texts under five words are one shingle; repeated rows share their class and each row is returned;
-rows with a null doc_id are left out; an empty table gives no rows; other columns are ignored.
+doc_id); texts under five words are one shingle; repeated rows share their class and each row is returned; rows
+of one doc_id with different texts each have the class of their text; rows with a null doc_id are left out
+(`one_of_each` keeps them all); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from . import textnum
 from .components import components
-from .tables import Pile, texts_of, written
+from .tables import texts_of, written
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -37,13 +39,11 @@ SKETCH_BITS = 18
 #: How much more the rarest shingle weighs than one that all texts hold.
 IDF_SHARE = 0.2
 #: Bits of the tables of random numbers that the samples are drawn from by hash.
-DRAW_BITS = 12
-#: A bucket has 1 leader in its first round, GROWTH times as many in each later one, at most LEADERS.
-GROWTH, LEADERS = 8, 64
-#: Texts left in a bucket after the first round from which it is split, and how many large buckets make a new one.
-LARGE, REFINE = 16, 3
-#: Ids of texts broadcast to pick bodies, at most; beyond that the bodies are joined by a shuffle.
-PICKED = 100_000
+DRAW_BITS = 16
+#: Texts of a crowd that one task compares whole, and of a block of a larger one.
+TOGETHER, CROWD = 256, 2048
+#: Columns of shingles multiplied at once.
+COLUMNS = 4096
 _SHIFT = np.uint64(64 - SKETCH_BITS)
 
 
@@ -169,65 +169,140 @@ def similarities(pairs: DataFrame, idf) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def ranked(open_: DataFrame) -> DataFrame:
-    """bucket, node, n (texts in the bucket, 2 at least), centre (texts in all buckets of the node)."""
-    sizes = open_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    own = open_.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("centre"), F.collect_list(F.struct("bucket", "n")).alias("own"))
-    return own.select("node", "centre", F.explode("own").alias("at")).select("at.bucket", "node", "at.n", "centre")
+def close_pairs(texts: list[str], labels: np.ndarray, left: np.ndarray, weights: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of texts at the threshold or above that join different labels, as few as join them all.
 
-
-def split(open_: DataFrame) -> DataFrame:
-    """bucket, node: small buckets as they are; for large ones every REFINE (3) of those that a node is in."""
-    sizes = open_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sized = open_.join(sizes, "bucket")
-    large = sized.where(F.col("n") > LARGE).groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("b"))
-    place = F.sequence(F.lit(0), F.size("b") - 1)
-    threes = F.flatten(
-        F.transform(place, lambda i: F.flatten(F.transform(place, lambda j: F.transform(F.filter(place, lambda k: (i < j) & (j < k)), lambda k: F.xxhash64(F.get("b", i), F.get("b", j), F.get("b", k))))))
-    )
-    made = large.where(F.size("b") >= REFINE).select(F.explode(threes).alias("bucket"), "node")
-    return sized.where(F.col("n") <= LARGE).select("bucket", "node").unionByName(made)
+    left: texts to compare with every other one; weights: of the sketch cells.
+    """
+    d, h, c, n = _shingle_counts(texts)
+    w = weights[(h >> _SHIFT).astype(np.int64)].astype(np.float64)
+    total = np.bincount(d, w * c, n)
+    # an element that occurs c times counts as c elements, so that sums over shared ones are sums of least counts
+    level = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    d, w, h = np.repeat(d, c), np.repeat(w, c), np.repeat(h, c) + level.astype(np.uint64)
+    _, column, many = np.unique(h, return_inverse=True, return_counts=True)
+    twice = many[column] > 1
+    d, w, column = d[twice], w[twice], (np.cumsum(many > 1) - 1)[column[twice]]
+    order = np.argsort(column, kind="stable")
+    d, w, column = d[order], w[order], column[order]
+    shared = np.zeros((len(left), n))
+    place = np.full(n, -1)
+    place[left] = np.arange(len(left))
+    last = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, last, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        here = np.zeros((n, min(COLUMNS, last - lo)))
+        here[d[a:b], column[a:b] - lo] = 1
+        weight = np.zeros(here.shape[1])
+        weight[column[a:b] - lo] = w[a:b]
+        shared += (here[left] * weight) @ here.T
+    similar = shared / np.maximum(total[left][:, None] + total[None, :] - shared, 1e-12) >= threshold - 1e-9
+    similar &= labels[left][:, None] != labels[None, :]
+    root = {int(x): int(x) for x in labels}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(similar)):
+        a, b = top(int(labels[left[i]])), top(int(labels[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((int(left[i]), int(j)))
+    return out
+
+
+def links_within(groups: DataFrame, keys: list[str], idf, threshold: float) -> DataFrame:
+    """a, b: links found in each group of keys; groups: keys, first (compared with all), node, label, text."""
+
+    def run(key, t):
+        t = t.combine_chunks()
+        node, label = t.column("node").to_numpy(), t.column("label").to_numpy()
+        left = np.flatnonzero(t.column("first").to_numpy(zero_copy_only=False))
+        found = close_pairs(t.column("text").to_pylist(), label, left, idf.value, threshold) if len(left) else []
+        a, b = (np.array([node[p[k]] for p in found], np.int64) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    return groups.select(*keys, "first", "node", "label", "text").groupBy(*keys).applyInArrow(run, "a long, b long")
+
+
+def crowds(member: DataFrame) -> DataFrame:
+    """node, crowd, n (its nodes): nodes that share buckets, over any number of steps; member: bucket, node."""
+    first = member.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    edges = member.join(first, "bucket").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    crowd = components(edges).withColumnRenamed("component", "crowd")
+    return crowd.join(crowd.groupBy("crowd").agg(F.count("*").alias("n")), "crowd").select("node", "crowd", "n")
+
+
+def leader_links(member: DataFrame, bodies: DataFrame, idf, threshold: float) -> DataFrame:
+    """a, b: links of texts to the most central text of each of their buckets (ties by a hash of text and bucket)."""
+    sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sized = member.join(sizes, "bucket")
+    centre = sized.groupBy("node").agg(F.sum("n").alias("centre"))
+    leader = sized.join(centre, "node").groupBy("bucket").agg(F.max_by("node", F.struct("centre", F.xxhash64("node", "bucket"))).alias("leader"))
+    met = sized.join(leader, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    left, right = (bodies.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return similarities(met.join(left, "a").join(right, "b"), idf).where(F.col("similarity") >= threshold).select("a", "b")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (kind, id, node, label) with i, j, first: the pairs of blocks in which texts outside the largest label of
+    their group meet all others."""
+    key = ["kind", "id"]
+    own = rows.groupBy(*key, "label").agg(F.count("*").alias("n"))
+    main = own.groupBy(*key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    main = main.where("n > n_main").select(*key, "main", F.ceil((F.col("n") - F.col("n_main")) / TOGETHER).alias("r"), F.ceil(F.col("n_main") / TOGETHER).alias("m"))
+    spot = F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("r"))).otherwise(F.col("r") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")))
+    rows = rows.join(main, key).withColumn("spot", spot)
+    pair = "array<struct<i:bigint,j:bigint>>"
+    none = F.array().cast(pair)
+    ahead = F.transform(F.sequence("spot", F.col("r") + F.col("m") - 1), lambda j: F.struct(F.col("spot").alias("i"), j.alias("j"))).cast(pair)
+    before = F.least("spot", "r")
+    behind = F.transform(F.sequence(F.lit(0).cast("long"), before - 1), lambda i: F.struct(i.alias("i"), F.col("spot").alias("j"))).cast(pair)
+    met = F.concat(F.when(F.col("spot") < F.col("r"), ahead).otherwise(none), F.when(before > 0, behind).otherwise(none))
+    rows = rows.select(*key, "node", "label", "spot", F.explode(met).alias("met"))
+    return rows.select(*key, "met.i", "met.j", "node", "label", (F.col("spot") == F.col("met.i")).alias("first"))
+
+
+def large_crowd_links(member: DataFrame, bodies: DataFrame, idf, threshold: float) -> DataFrame:
+    """a, b: links in crowds too large for one task; member: bucket, node of such crowds."""
+    near = written(leader_links(member, bodies, idf, threshold), "leaders")
+    label = components(near).select("node", F.col("component").alias("label"))
+    labelled = written(member.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+    open_ = written(labelled.join(open_, "bucket"), "open")
+    # what is left of a crowd: labels that still share buckets
+    left = crowds(open_.select("bucket", F.col("label").alias("node")).distinct()).select(F.col("node").alias("label"), "crowd")
+    placed = open_.join(left, "label")
+    sizes = placed.select("crowd", "node").distinct().groupBy("crowd").agg(F.count("*").alias("n"))
+    placed = placed.join(sizes, "crowd")
+    small = F.col("n") <= CROWD
+    rows = placed.select(F.when(small, 0).otherwise(1).alias("kind"), F.when(small, F.col("crowd")).otherwise(F.col("bucket")).alias("id"), "node", "label").distinct()
+    groups = in_blocks(written(rows, "groups"))
+    found = links_within(groups.join(bodies, "node"), ["kind", "id", "i", "j"], idf, threshold)
+    return near.unionByName(found)
 
 
 def verified_links(texts: DataFrame, classes: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, similarity: verified pairs of class representatives that share a bucket with its leader."""
-    spark = texts.sparkSession
+    """a, b: links that join all texts of a class, between representatives that share a bucket."""
     member = classes.where("buckets is not null").select(F.explode("buckets").alias("bucket"), F.col("rep").alias("node"))
-    open_ = written(ranked(member), "buckets")
-    nodes = open_.select(F.col("node").alias("doc_id")).distinct()
-    bodies = written(texts.join(nodes, "doc_id").dropDuplicates(["doc_id"]), "bodies")
-    tried = Pile(spark, "a long, b long, similarity double", "tried")
-    close = F.col("similarity") >= threshold
-    kinds, first = 1, True
-    while not open_.isEmpty():
-        # a bucket with no more texts than leaders is settled in this round
-        kind = F.when(F.col("n") <= kinds, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(kinds)))
-        leader = open_.groupBy("bucket", kind.alias("kind")).agg(F.max_by("node", F.struct("centre", F.xxhash64("node", "bucket"))).alias("leader"))
-        met = open_.join(leader, "bucket").select("bucket", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        met = written(met, "met")
-        fresh = written(met.where("a <> b").select("a", "b").distinct().join(tried.all(), ["a", "b"], "left_anti"), "fresh")
-        ends = written(fresh.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-        pool = bodies.join(F.broadcast(ends), "doc_id", "left_semi") if ends.count() <= PICKED else bodies
-        left, right = (pool.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        tried.add(similarities(fresh.join(left, "a").join(right, "b"), idf))
-        judged = met.join(tried.all().where(close).select("a", "b", F.lit(True).alias("close")), ["a", "b"], "left")
-        # a text that led, or is close to a leader, is done in this bucket
-        rest = judged.groupBy("bucket", "node").agg(F.bool_or((F.col("a") == F.col("b")) | F.col("close").isNotNull()).alias("done")).where("not done")
-        rest = rest.select("bucket", "node")
-        if first:
-            rest = split(written(rest, "rest"))
-        else:
-            kinds = min(kinds * GROWTH, LEADERS)
-        first = False
-        open_ = written(ranked(rest), "buckets")
-    return tried.all().where(close)
+    crowd = written(crowds(member), "crowds")
+    bodies = texts.withColumnRenamed("doc_id", "node").join(crowd.withColumnsRenamed({"n": "many"}), "node")
+    bodies = written(bodies.select("node", "crowd", "many", "text").distinct(), "bodies")
+    small = bodies.where(F.col("many") <= TOGETHER).select("crowd", F.lit(True).alias("first"), "node", F.col("node").alias("label"), "text")
+    links = written(links_within(small, ["crowd"], idf, threshold), "links")
+    large = crowd.where(F.col("n") > TOGETHER)
+    if not large.isEmpty():
+        inside = written(member.join(large.select("node"), "node").select("bucket", "node"), "large")
+        more = written(large_crowd_links(inside, bodies.where(F.col("many") > TOGETHER).select("node", "text"), idf, threshold), "links")
+        links = links.unionByName(more)
+    return links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), copy_of (least doc_id with equal shingle counts), n_links.
-
-    n_links counts the verified links of the texts equal to this one to different texts.
-    """
+    """doc_id, class_id (least doc_id of its class), copy_of (least doc_id with equal shingle counts)."""
     spark = docs.sparkSession
     texts = texts_of(docs).where("doc_id is not null")
     n, frequency = shingle_frequencies(texts)
@@ -235,20 +310,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = written(signatures(texts, idf), "signatures")
     worded = signed.where("buckets is not null")
     classes = written(worded.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("buckets", "doc_id").alias("buckets")), "classes")
-    links = verified_links(texts, classes, idf, threshold)
-    label = components(links.select("a", "b"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of_rep = classes.select("f1", "f2", "rep").join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").join(ends, "rep", "left")
+    label = components(verified_links(texts, classes, idf, threshold))
+    idf.destroy()
+    of_rep = classes.select("f1", "f2", "rep").join(label.withColumnsRenamed({"node": "rep"}), "rep", "left")
     rows = signed.select("doc_id", "f1", "f2", F.col("buckets").isNull().alias("blank"))
     return (
         rows.where("not blank")
         .join(of_rep, ["f1", "f2"])
-        .select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-        .unionByName(rows.where("blank").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links")))
+        .select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
+        .unionByName(rows.where("blank").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of")))
     )
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without near-duplicates: of each class the one with the least doc_id, once."""
-    kept = near_duplicates(docs, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The documents without near-duplicates: of each class the row with the least doc_id, once (of several rows of that
+    id the one whose text sorts first), and every row with a null doc_id, which is compared with none."""
+    kept = near_duplicates(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
+    held = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").select(F.struct(*docs.columns).alias("row"))
+    ties = F.xxhash64(*[F.col(f"row.{c}") for c, kind in docs.dtypes if "map<" not in kind])
+    first = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.col("row.text").asc_nulls_first(), ties))
+    held = held.withColumn("place", first).where("place = 1").select("row.*")
+    return held.unionByName(docs.where("doc_id is null"))

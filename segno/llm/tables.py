@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set and Spark runs on this machine alone (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="segno-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -26,22 +29,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class Pile:
-    """Tables of one schema written one after the other and read as one, in a single scan."""
-
-    def __init__(self, spark: SparkSession, schema: str, name: str):
-        self.spark, self.schema, self.name, self.paths = spark, schema, name, []
-
-    def add(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_folder(self.spark)}/segno-{uuid.uuid4().hex}/{self.name}"
-        df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(self.schema).parquet(path)
-
-    def all(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -185,19 +185,6 @@ def test_edges(spark, odd, empty, labels, op):
     assert n == {"1": 7, "2": 0}.get(op, 11)
 
 
-def test_large_buckets_split_by_every_three(spark):
-    """Against itertools: small buckets stay, large ones give one bucket for each three, the same for all their texts."""
-    from itertools import combinations
-
-    size = neardup.LARGE + 2
-    rows = [(b, x) for x in range(size) for b in (10, 20, 30, 40)] + [(50, 0), (50, 1), (60, 2)]
-    got = {(r.bucket, r.node) for r in neardup.split(spark.createDataFrame(rows, "bucket long, node long")).collect()}
-    assert {(b, x) for b, x in got if b in (50, 60)} == {(50, 0), (50, 1)}
-    made = {b for b, _ in got} - {50}
-    assert len(made) == len(list(combinations((10, 20, 30, 40), 3)))
-    assert all((b, x) in got for b in made for x in range(size))
-
-
 def test_keys_and_letters_only_secrets_are_masked_in_every_row(spark):
     r = random.Random(4)
     body = "\n".join("".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/") for _ in range(64)) for _ in range(4))
