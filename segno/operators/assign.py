@@ -108,14 +108,15 @@ def assignment(pairs: DataFrame, by: list[str], k: int) -> DataFrame:
     cells = n.groupBy(*by).agg(F.collect_list(F.struct("line", "guess", "n")).alias("cells"))
     total = F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + c["n"])
 
+    def count(cells, line: int):
+        return F.aggregate(F.filter(cells, lambda c: c["line"] == line), F.lit(0.0), lambda a, c: a + c["n"])
+
     def scored(way):
         right = F.filter("cells", lambda c: F.get(way, c["guess"]) == c["line"])
-        per = F.array(*[
-            F.try_divide(F.aggregate(F.filter(right, lambda c, i=i: c["line"] == i), F.lit(0.0), lambda a, c: a + c["n"]), F.aggregate(F.filter("cells", lambda c, i=i: c["line"] == i), F.lit(0.0), lambda a, c: a + c["n"])) for i in range(k)
-        ])
+        per = F.array(*[F.try_divide(count(right, i), count(F.col("cells"), i)) for i in range(k)])
         per = F.filter(per, lambda x: x.isNotNull())
-        macro = F.aggregate(per, F.lit(0.0), lambda a, x: a + x) / F.size(per)
-        weighted = F.aggregate(right, F.lit(0.0), lambda a, c: a + c["n"]) / total
+        macro = F.try_divide(F.aggregate(per, F.lit(0.0), lambda a, x: a + x), F.size(per))
+        weighted = F.try_divide(F.aggregate(right, F.lit(0.0), lambda a, c: a + c["n"]), total)
         return F.struct(F.round(macro, 9).alias("macro"), F.round(weighted, 9).alias("weighted"), F.transform(way, lambda x: -x).alias("minus"))
 
     best = F.array_max(F.transform(ways, scored))
