@@ -8,8 +8,14 @@ back every text exactly.
 
 Words are encoded once each by a relational lattice: substrings of bounded length are exploded, equi-joined to
 the piece table, grouped by word and folded by a higher-order aggregate. The most frequent words, at most
-HEAD_WORDS of them, are broadcast from there; rarer and longer ones are folded by the same rule in the task
-that meets them, since a join of all tokens would shuffle several times the input.
+HEAD_WORDS of them, are broadcast from there. The tasks that encode texts take the rarer ones, which are most of
+the distinct words, through the same lattice column by column (`Lattice`): all substrings of a batch of words, by
+hash, are matched with the piece table, and a forward pass over word ends keeps the best edge into each. Bringing
+the relational result back to every text that holds a rare word would shuffle texts and word lists, some 1.9 times
+the input against a disk limit of 1.5 times; see the README. Results do not depend on which way a word takes.
+
+The pieces are the best-scoring ones of the model file's scores. That file was built by merges, so its own library,
+which repeats the merges, cuts many words otherwise.
 
 Defined results: a null or empty text has no pieces; repeated rows are encoded each; a null doc_id is kept;
 an empty table gives no rows; other columns are ignored.
@@ -48,6 +54,81 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Lattice:
+    """The lattice over the columns of a batch of words: substrings by hash, edges to pieces, the best edge into each end."""
+
+    _BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, table: dict[str, tuple[int, float]], longest: int):
+        pieces = sorted(table)
+        cp = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        start = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
+        size = np.diff(start)
+        key = np.zeros(len(pieces), np.uint64)
+        for n in range(longest):
+            has = size > n
+            key[has] = key[has] * self._BASE + cp[start[:-1][has] + n] + np.uint64(1)
+        order = np.argsort(key)
+        self.key, self.longest = key[order], longest
+        if len(np.unique(key)) != len(key):
+            raise ValueError("two pieces have one hash")
+        self.id, self.score = (np.array([table[pieces[i]][k] for i in order], t) for k, t in ((0, np.int32), (1, np.float64)))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self._slot(self.key)] = True
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
+
+    def paths(self, words: list[str]) -> list[bytes]:
+        """The ids of each word's best path; none for a word with a character that no piece covers. Words of few characters."""
+        size = np.array([len(w) for w in words])
+        order = np.argsort(-size, kind="stable")  # words that reach an end come first
+        size = size[order]
+        cp = np.frombuffer("".join([words[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        start = np.concatenate(([0], np.cumsum(size)[:-1]))
+        most = int(size[0]) if len(size) else 0
+        many = np.searchsorted(-size, -np.arange(1, most + 1), side="right")  # words of at least so many characters
+        ends = np.repeat(start + size, size)  # of the word of each character
+        at, key = np.arange(len(cp)), np.zeros(len(cp), np.uint64)
+        edge = np.full((min(self.longest, most), len(cp)), -1, np.int32)
+        for n in range(len(edge)):
+            fits = at + n < ends[at]
+            at = at[fits]
+            key = key[fits] * self._BASE + cp[at + n] + np.uint64(1)
+            hit = np.flatnonzero(self.maybe[self._slot(key)])
+            k = np.minimum(np.searchsorted(self.key, key[hit]), len(self.key) - 1)
+            real = self.key[k] == key[hit]
+            edge[n, at[hit[real]]] = k[real]
+        best = np.zeros((most + 1, len(words)))
+        back, by = np.zeros((most + 1, len(words)), np.int8), np.zeros((most + 1, len(words)), np.int32)
+        for e in range(1, most + 1):
+            w = many[e - 1]
+            top = np.full(w, -np.inf)
+            for n in range(min(e, len(edge)), 0, -1):  # ties: the longer last piece
+                k = edge[n - 1, start[:w] + (e - n)]
+                value = np.where(k >= 0, best[e - n, :w] + self.score[k], -np.inf)
+                better = value > top
+                top[better] = value[better]
+                back[e, :w][better], by[e, :w][better] = n, k[better]
+            best[e, :w] = top
+        ids = np.zeros((len(words), most), np.int32)
+        left, used = size.copy(), np.zeros(len(words), np.int64)
+        fine = np.isfinite(best[size, np.arange(len(words))]) & (size > 0)
+        going = np.flatnonzero(fine)
+        while len(going):
+            end = left[going]
+            used[going] += 1
+            ids[going, most - used[going]] = self.id[by[end, going]]
+            left[going] = end - back[end, going]
+            going = going[left[going] > 0]
+        out = [b""] * len(words)
+        for i, row, n, ok in zip(order.tolist(), ids, used.tolist(), fine.tolist()):
+            if ok:
+                out[i] = row[most - n :].tobytes()
+        return out
+
+
 class Pieces:
     """What a model file holds: piece (spaces as such) to (id, score), bytes of each id, the id of byte 0."""
 
@@ -69,6 +150,7 @@ class Pieces:
                 if m.get_score(i) > USELESS:
                     self.table[piece] = (i, m.get_score(i))
         self.longest = max(map(len, self.table))
+        self.lattice = Lattice(self.table, self.longest)
 
     def fold(self, word: str) -> list[int]:
         """The best pieces of one word."""
@@ -91,6 +173,19 @@ class Pieces:
             end = start
         return out[::-1]
 
+    def fold_all(self, words: list[str]) -> list[bytes]:
+        """The best pieces of each word as 4-byte integers, by the lattice of all words; longer words and those with bytes one by one."""
+        out: list[bytes] = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LATTICE_CHARS]
+        for lo in range(0, len(short), 1 << 15):
+            some = short[lo : lo + (1 << 15)]
+            for i, ids in zip(some, self.lattice.paths([words[i] for i in some])):
+                out[i] = ids
+        for i, ids in enumerate(out):
+            if not ids:
+                out[i] = np.array(self.fold(words[i]), np.int32).tobytes()
+        return out
+
     def decode(self, ids) -> str:
         return b"".join([self.bytes[i] for i in ids]).decode()[1:]
 
@@ -191,18 +286,14 @@ def encode(docs: DataFrame, model_file: str | None = None, head: int = HEAD_WORD
         for b in batches:
             texts = b.column(1).to_pylist()
             for lo, hi in chunks(texts):
-                flat, ends = [], [0]
-                for t in texts[lo:hi]:
-                    mine = []
-                    for w in cut(t):
-                        ids = known.get(w) or rare.get(w)
-                        if ids is None:
-                            if len(rare) >= REMEMBERED:
-                                rare.clear()
-                            ids = rare[w] = np.array(pieces.fold(w), np.int32).tobytes()
-                        mine.append(ids)
-                    flat.append(b"".join(mine))
-                    ends.append(ends[-1] + len(flat[-1]) // 4)
+                words = [cut(t) for t in texts[lo:hi]]
+                fresh = list({w for each in words for w in each if w not in known and w not in rare})
+                if len(rare) + len(fresh) > REMEMBERED:
+                    rare.clear()
+                    fresh = list({w for each in words for w in each if w not in known})
+                rare.update(zip(fresh, pieces.fold_all(fresh)))
+                flat = [b"".join([known.get(w) or rare[w] for w in each]) for each in words]
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in flat])))
                 values = pa.array(np.frombuffer(b"".join(flat), np.int32))
                 ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), values)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), ids, pa.array(np.diff(ends).astype(np.int32))], names=["doc_id", "ids", "n_pieces"])
