@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -88,16 +88,18 @@ def match_with_offset(ref: DataFrame, est: DataFrame, keys: list[str], tol_us: i
     part = F.sum(F.when(F.col("onset_us") - F.lag("onset_us").over(w) > 2 * tol_us, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rest = pair.where("not _lone").withColumn("_part", part)
 
-    def solve(batch: pd.DataFrame) -> pd.DataFrame:
-        refs, ests = sorted(set(batch["ref_id"])), sorted(set(batch["est_id"]))
-        place = {e: j for j, e in enumerate(ests)}
-        by = batch.groupby("ref_id")["est_id"].apply(lambda x: sorted(place[e] for e in x))
-        mate = most_pairs(len(ests), [by[r] for r in refs])
-        got = [(refs[m], e) for e, m in zip(ests, mate) if m >= 0]
-        return pd.DataFrame({**{k: [batch[k].iloc[0]] * len(got) for k in keys}, "ref_id": [r for r, _ in got], "est_id": [e for _, e in got]})
+    def solve(key, batch: pa.Table) -> pa.Table:
+        ids = sorted(zip(*(batch.column(c).to_pylist() for c in ("ref_id", "est_id"))))
+        refs, ests = sorted({r for r, _ in ids}), sorted({e for _, e in ids})
+        place, edges = {e: j for j, e in enumerate(ests)}, {r: [] for r in refs}
+        for r, e in ids:
+            edges[r].append(place[e])
+        got = [(refs[m], e) for e, m in zip(ests, most_pairs(len(ests), [edges[r] for r in refs])) if m >= 0]
+        first = batch.slice(0, 1).select(keys).take([0] * len(got))
+        return first.append_column("ref_id", pa.array([r for r, _ in got], pa.int64())).append_column("est_id", pa.array([e for _, e in got], pa.int64()))
 
     schema = rest.select(*keys, "ref_id", "est_id").schema
-    return pair.where("_lone").select(*keys, "ref_id", "est_id").unionByName(rest.select(*keys, "_part", "ref_id", "est_id").groupBy(*keys, "_part").applyInPandas(solve, schema))
+    return pair.where("_lone").select(*keys, "ref_id", "est_id").unionByName(rest.select(*keys, "_part", "ref_id", "est_id").groupBy(*keys, "_part").applyInArrow(solve, schema))
 
 
 def assignment(pairs: DataFrame, by: list[str], k: int) -> DataFrame:
