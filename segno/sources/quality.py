@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def split_by_rules(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -15,9 +17,34 @@ def split_by_rules(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame,
     return marked.where(F.size("rules") == 0).drop("rules"), marked.where(F.size("rules") > 0)
 
 
+def grid_violations(beats: DataFrame) -> DataFrame:
+    """song_id, beat_no, rules: beats that are not after the one before (time) or in an earlier bar (bar)."""
+    w = Window.partitionBy("song_id").orderBy("beat_no")
+    seen = beats.select("*", (F.col("t_us") > F.lag("t_us").over(w)).alias("_time"), (F.col("bar") >= F.lag("bar").over(w)).alias("_bar"))
+    _, bad = split_by_rules(seen, {r: F.coalesce(~F.col(f"_{r}"), F.lit(False)) for r in ("time", "bar")})
+    return bad.drop("_time", "_bar")
+
+
+def playable(places: DataFrame, span: int = 5) -> DataFrame:
+    """song_id, event, n, ok: frets 0 to 24 and within `span` of each other, a note a string, and each string and fret give the pitch."""
+    fretted = F.when(F.col("fret") > 0, F.col("fret"))
+    near = F.coalesce(F.max(fretted) - F.min(fretted) <= span, F.lit(True))
+    ok = F.bool_and(F.col("fret").between(0, 24)) & near & (F.count("*") == F.count_distinct("string")) & F.bool_and(F.col("open") + F.col("fret") == F.col("pitch"))
+    return places.groupBy("song_id", "event").agg(F.count("*").alias("n"), ok.alias("ok"))
+
+
+def track_faults(tracks: DataFrame, lines: DataFrame, kinds: list[str]) -> DataFrame:
+    """Tracks of an unknown kind, then those whose line the song does not have, with `fault`."""
+    unknown = tracks.where(~F.col("kind").isin(kinds)).withColumn("fault", F.lit("unknown kind"))
+    lost = tracks.where(F.col("kind").isin(kinds)).join(lines, ["song_id", "line"], "left_anti").withColumn("fault", F.lit("no such line"))
+    return unknown.unionByName(lost)
+
+
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; set a temporary one only where none is set."""
+    """Use the folder of spark.checkpoint.dir; set a temporary one only where none is set and Spark runs on this machine alone."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="segno-"))
 
 
