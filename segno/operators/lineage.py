@@ -62,3 +62,35 @@ def unique_names(df: DataFrame, name: str, tie: str) -> DataFrame:
     """df + folder: the name, with a number from the second of its kind on."""
     n = F.row_number().over(Window.partitionBy(name).orderBy(tie))
     return df.withColumn("folder", F.when(n == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), n.cast("string"))))
+
+
+def connected_takes(pairs: DataFrame) -> DataFrame:
+    """node, take, size: nodes of pairs (a, b) by the least node they are joined with over any number of pairs.
+
+    Labels spread to neighbours and jump to their label's label until none changes; each round is checkpointed.
+    """
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    now = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("take")).select(F.col("a").alias("node"), "take").checkpoint()
+    while True:
+        near = ends.join(now, ends["b"] == now["node"]).groupBy("a").agg(F.min("take").alias("other"))
+        jump = now.select(F.col("node").alias("take"), F.col("take").alias("far"))
+        new = now.join(near, now["node"] == near["a"]).join(jump, "take", "left").select("node", F.col("take").alias("old"), F.least("take", "other", "far").alias("take")).checkpoint()
+        changed = not new.where("old <> take").isEmpty()
+        now = new.select("node", "take")
+        if not changed:
+            return now.withColumn("size", F.count("*").over(Window.partitionBy("take")))
+
+
+def artifacts(exports: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """export, stage, artifact, depth: of all that an export depends on (itself included) the nearest node of each stage (ties: the
+    least). edges: child, parent; nodes: node, stage."""
+    front = exports.select("export", F.col("export").alias("node"), F.lit(0).alias("depth"))
+    out = front
+    while True:
+        step = front.join(edges, front["node"] == edges["child"]).select("export", F.col("parent").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        front = step.join(out.select("export", "node"), ["export", "node"], "left_anti").checkpoint()
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    found = out.join(nodes, "node").groupBy("export", "stage")
+    return found.agg(F.min_by("node", F.struct("depth", "node")).alias("artifact"), F.min("depth").alias("depth"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.scalars import draw, f1, precision, recall
+from .measures import paired_bootstrap
 
 
 def note_prf(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -66,3 +67,19 @@ def majority_line(notes: DataFrame, by: str = "song_id") -> DataFrame:
     """by, line, share: the line that holds most notes (ties: the lowest)."""
     n = notes.groupBy(by, "line").agg(F.count("*").alias("n"))
     return n.groupBy(by).agg(F.max_by("line", F.struct("n", -F.col("line"))).alias("line"), F.round(F.max("n") / F.sum("n"), 6).alias("share"))
+
+
+def evaluate_arms(items: DataFrame, arm: str, group: str, baseline: str, least: float = 0.0) -> DataFrame:
+    """arm, dev_f1, chosen, delta, low, high, decision: pooled F1 of each arm on even groups; the best other arm than the baseline (ties:
+    the first) is confirmed on odd groups by a bootstrap of group draws over its gain."""
+    facts = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+    dev = items.where(F.col(group) % 2 == 0).groupBy(arm).agg(*facts).select(F.col(arm).alias("arm"), F.round(f1(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("dev_f1"))
+    best = dev.where(F.col("arm") != baseline).agg(F.max_by("arm", F.struct("dev_f1", "arm")).alias("best"))
+    test = items.where(F.col(group) % 2 == 1).crossJoin(F.broadcast(best)).where((F.col(arm) == baseline) | (F.col(arm) == F.col("best")))
+    side = lambda c, base: F.sum(F.when((F.col(arm) == baseline) == F.lit(base), F.col(c)).otherwise(0))
+    both = test.groupBy(group).agg(*[side(c, x == "a").alias(f"{c}_{x}") for x in "ab" for c in ("tp", "fp", "fn")]).withColumn("_all", F.lit(1))
+    gain = paired_bootstrap(both, ["_all"], group).drop("_all")
+    decision = F.when(F.col("low").isNull(), "hold").when(F.col("low") > least, "adopt").when(F.col("high") < least, "reject").otherwise("hold")
+    out = dev.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(gain)).withColumn("chosen", F.col("arm") == F.col("best"))
+    own = lambda c: F.when(F.col("chosen"), F.col(c)).alias(c)
+    return out.select("arm", "dev_f1", "chosen", own("delta"), own("low"), own("high"), F.when(F.col("chosen"), decision).alias("decision"))

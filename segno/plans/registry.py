@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matching, more, readers, scores, statements  # noqa: F401  (they register their queries)
+from . import folds, matching, more, readers, scores, statements  # noqa: F401  (they register their queries)
 from .queries import ORACLES, QUERIES
 
 
