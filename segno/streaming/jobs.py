@@ -57,3 +57,71 @@ def quarantine(rows: DataFrame, rules: dict, name: str) -> tuple[DataFrame, Data
 
     rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/kept").drop("batch"), spark.read.parquet(f"{base}/rejected").drop("batch")
+
+
+def bursts(events: DataFrame, median: DataFrame, window: str, late: str, least: int, tiny: float) -> DataFrame:
+    """song_id, start_us, n, tiny of closed windows with many events: mostly tiny ones, or over 3 times the song's median (a static
+    snapshot: song_id, median)."""
+    g = events.withWatermark("t", late).groupBy("song_id", F.window("t", window).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("value") < tiny).alias("tiny"))
+    hot = (F.col("n") >= least) & ((F.col("tiny") * 2 >= F.col("n")) | (F.col("n") > 3 * F.col("median")))
+    return g.join(median, "song_id").where(hot).select("song_id", F.unix_micros("w.start").alias("start_us"), "n", "tiny")
+
+
+def matches(left: DataFrame, right: DataFrame, keys: list[str], tol: str, late: str) -> DataFrame:
+    """left id and right id of pairs of equal keys within tol of each other; both sides forget what the watermarks have passed.
+
+    left: keys, id, t; right: keys, r_id, r_t.
+    """
+    a, b = left.withWatermark("t", late), right.withWatermark("r_t", late)
+    on = (F.col("t") >= F.col("r_t") - F.expr(f"INTERVAL {tol}")) & (F.col("t") <= F.col("r_t") + F.expr(f"INTERVAL {tol}"))
+    for k in keys:
+        on = on & (a[k] == b[k])
+    return a.join(b.select(*keys, "r_id", "r_t"), on).select("id", "r_id")
+
+
+#: What is kept of a song: the next sequence number, both stacks, and entries that came too early.
+STACKS = "next long, done array<long>, undone array<long>, early array<struct<seq:long,op:string,id:long,target:long>>"
+
+
+def stack_updates(log: DataFrame) -> DataFrame:
+    """song_id, seq, active, undone after each arrival: entries act in order of seq (from 1, without gaps); one that comes early waits
+    in the state until the gap closes, one that comes again is dropped. log: song_id, seq, op, id, target."""
+    import pandas as pd
+
+    def run(key, batches, state):
+        nxt, done, undone, early = state.get if state.exists else (1, [], [], [])
+        done, undone, waiting = list(done), list(undone), {int(e[0]): (e[1], int(e[2]), int(e[3])) for e in early}
+        for b in batches:
+            for seq, op, id_, target in zip(b["seq"], b["op"], b["id"], b["target"]):
+                if seq >= nxt:
+                    waiting[int(seq)] = (op, int(id_), int(target))
+        while nxt in waiting:
+            op, id_, target = waiting.pop(nxt)
+            if op == "undo":
+                if done and done[-1] == target:
+                    undone.append(done.pop())
+            elif op == "redo":
+                if undone and undone[-1] == target:
+                    done.append(undone.pop())
+            else:
+                done.append(id_)
+                undone = []
+            nxt += 1
+        state.update((nxt, done, undone, [(s, *e) for s, e in sorted(waiting.items())]))
+        yield pd.DataFrame({"song_id": [key[0]], "seq": [nxt - 1], "active": [len(done)], "undone": [len(undone)]})
+
+    return log.groupBy("song_id").applyInPandasWithState(run, "song_id long, seq long, active long, undone long", STACKS, "append", "NoTimeout")
+
+
+def calibration(events: DataFrame, name: str) -> DataFrame:
+    """event_type, n, peak so far: running counts and maxima, each batch replacing the table of the one before."""
+    spark = events.sparkSession
+    base = f"{shared_folder(spark)}/segno-{uuid.uuid4().hex}/{name}"
+    running = events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("peak"))
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    running.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{base}/rows")
+    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
