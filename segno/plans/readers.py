@@ -28,12 +28,13 @@ def song() -> F.Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"song=song_(\d+)", 1).cast("long")
 
 
-NOTES_JSON = F.struct((F.col("onset_us") / S).alias("onset_s"), (F.col("offset_us") / S).alias("offset_s"), F.col("pitch").cast("int").alias("pitch"), "instrument")
+def note_struct():
+    return F.struct((F.col("onset_us") / S).alias("onset_s"), (F.col("offset_us") / S).alias("offset_s"), F.col("pitch").cast("int").alias("pitch"), "instrument")
 
 
 @query(" SELECT song_id, count(*) AS notes, round(sum(onset_us) / 1e6, 6) AS onsets, sum(pitch)::BIGINT AS pitches, 'segno.notes/1' AS format FROM nr GROUP BY 1")
 def a1_read_note_sets(spark, d):
-    docs = X.notes_ref(spark, d).groupBy("song_id").agg(F.array_sort(F.collect_list(NOTES_JSON)).alias("notes"))
+    docs = X.notes_ref(spark, d).groupBy("song_id").agg(F.array_sort(F.collect_list(note_struct())).alias("notes"))
     value = F.to_json(F.struct(F.lit("old.notes/1").alias("format"), F.concat(F.lit("mix_"), F.col("song_id").cast("string")).alias("view"), "notes"))
     path = folder(spark, "notes")
     docs.select(value.alias("value")).write.text(path)
