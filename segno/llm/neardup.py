@@ -69,9 +69,9 @@ def shingle_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
         used = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], used))), pa.array(np.concatenate(([n], cells[used])))], names=["cell", "n"])
 
-    got = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SKETCH_BITS)
-    cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
+    cell, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
     out[cell[cell >= 0]] = n[cell >= 0]
     return int(n[cell < 0].sum()), out
 
