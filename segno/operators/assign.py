@@ -88,7 +88,7 @@ def match_with_offset(ref: DataFrame, est: DataFrame, keys: list[str], tol_us: i
     part = F.sum(F.when(F.col("onset_us") - F.lag("onset_us").over(w) > 2 * tol_us, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rest = pair.where("not _lone").withColumn("_part", part)
 
-    def solve(key, batch: pa.Table) -> pa.Table:
+    def solve(key, batch):
         ids = sorted(zip(*(batch.column(c).to_pylist() for c in ("ref_id", "est_id"))))
         refs, ests = sorted({r for r, _ in ids}), sorted({e for _, e in ids})
         place, edges = {e: j for j, e in enumerate(ests)}, {r: [] for r in refs}
@@ -124,3 +124,11 @@ def assignment(pairs: DataFrame, by: list[str], k: int) -> DataFrame:
     best = F.array_max(F.transform(ways, scored))
     return cells.select(*by, best.alias("b")).select(*by, F.array_join(F.transform("b.minus", lambda x: (-x).cast("string")), ",").alias("map"), "b.macro", "b.weighted")
 
+
+
+def mutual_nearest(ref: DataFrame, est: DataFrame, keys: list[str], tol_us: int) -> DataFrame:
+    """ref_id, est_id of notes within tol_us that are each other's nearest (ties: the lesser id)."""
+    pair = near(ref.select(*keys, "note_id", "onset_us"), est.select(*keys, "note_id", "onset_us"), keys, tol_us)
+    pair = pair.select(F.col("note_id").alias("ref_id"), F.col("r_note_id").alias("est_id"), F.abs(F.col("onset_us") - F.col("r_onset_us")).alias("d"))
+    first = lambda own, other: F.row_number().over(Window.partitionBy(own).orderBy("d", other)) == 1
+    return pair.withColumn("_r", first("ref_id", "est_id")).withColumn("_e", first("est_id", "ref_id")).where("_r and _e").select("ref_id", "est_id")

@@ -83,3 +83,17 @@ def evaluate_arms(items: DataFrame, arm: str, group: str, baseline: str, least:
     out = dev.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(gain)).withColumn("chosen", F.col("arm") == F.col("best"))
     own = lambda c: F.when(F.col("chosen"), F.col(c)).alias(c)
     return out.select("arm", "dev_f1", "chosen", own("delta"), own("low"), own("high"), F.when(F.col("chosen"), decision).alias("decision"))
+
+
+def ratio_bootstrap(items: DataFrame, by: list[str], group: str, reps: int = 200, seed: str = "20260930") -> DataFrame:
+    """by, point, low, high of the pooled ratio sum(total) / sum(n), from draws of whole groups."""
+    sums = [F.sum(c).alias(c) for c in ("total", "n")]
+    totals = items.groupBy(*by, group).agg(*sums)
+    w = Window.partitionBy(*by)
+    totals = totals.withColumn("place", F.row_number().over(w.orderBy(group)) - 1).withColumn("_g", F.count("*").over(w))
+    slots = totals.select(*by, "_g", F.col("place").alias("slot")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    drawn = slots.withColumn("place", draw(seed, F.col("rep"), F.col("slot"), F.col("_g")).cast("int"))
+    ratio = F.try_divide("total", "n")
+    each = drawn.join(totals.drop("_g"), [*by, "place"]).groupBy(*by, "rep").agg(*sums).withColumn("x", ratio)
+    ci = each.groupBy(*by).agg(F.percentile("x", F.lit(0.025)).alias("low"), F.percentile("x", F.lit(0.975)).alias("high"))
+    return totals.groupBy(*by).agg(*sums).select(*by, ratio.alias("point")).join(ci, by).select(*by, *[F.round(c, 6).alias(c) for c in ("point", "low", "high")])
