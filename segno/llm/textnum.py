@@ -111,6 +111,17 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return mix(out[at]), at
 
 
+def runs(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of first word) of each run of k words, for any k in one pass; shorter texts have none."""
+    n = len(w.h)
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(w.h * up[:-1], out=total[1:])
+    at = np.arange(max(0, n - k + 1))
+    at = at[w.doc[at] == w.doc[at + k - 1]]
+    return mix((total[at + k] - total[at]) * down[at] + np.uint64(k)), at
+
+
 def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (doc, h), in that order, and how often each occurs; of h only the upper 44 bits are kept."""
     if not len(h):
