@@ -7,18 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-def lineage_closure(edges: DataFrame, start: str = "child", end: str = "parent", most: int = 64) -> DataFrame:
-    """node, ancestor, depth (least): all that each node depends on; the walk ends once it finds nothing new."""
+def lineage_closure(edges: DataFrame, start: str = "child", end: str = "parent") -> DataFrame:
+    """node, ancestor, depth (least): all that each node depends on; the walk ends once it finds nothing new, also on cycles,
+    where a node is its own ancestor."""
     step = edges.select(F.col(start).alias("node"), F.col(end).alias("ancestor")).distinct()
     out = step.withColumn("depth", F.lit(1))
-    front = out
-    for depth in range(2, most + 1):
+    front, depth = out, 1
+    while True:
+        depth += 1
         front = front.select("node", F.col("ancestor").alias("mid")).join(step.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor").distinct()
         front = front.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if front.isEmpty():
-            break
+            return out
         out = out.unionByName(front)
-    return out
+
+
+def cycles(closure: DataFrame) -> DataFrame:
+    """node: those that depend on themselves."""
+    return closure.where("node = ancestor").select("node").distinct()
+
+
+def stale(closure: DataFrame, changed: DataFrame) -> DataFrame:
+    """node: changed ones and all that depend on them."""
+    reach = closure.join(changed.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node")
+    return reach.unionByName(changed.select("node")).distinct()
 
 
 def incremental_plan(wanted: DataFrame, held: DataFrame, key: str) -> DataFrame:
@@ -58,10 +70,17 @@ def verify_manifest(recorded: DataFrame, present: DataFrame, key: str, digest: s
     return both.select(key, status.alias("status"))
 
 
-def unique_names(df: DataFrame, name: str, tie: str) -> DataFrame:
-    """df + folder: the name, with a number from the second of its kind on."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(tie))
-    return df.withColumn("folder", F.when(n == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), n.cast("string"))))
+def unique_names(df: DataFrame, name: str, tie: str, width: int = 1000) -> DataFrame:
+    """df + folder: the name, with a number from the second of its kind on, by a numeric tie.
+
+    Rows are numbered in spans of `width` ties and spans are added up, so that one very common name is no single task.
+    """
+    rows = df.withColumn("_span", F.floor(F.col(tie) / width))
+    sizes = rows.groupBy(name, "_span").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(name).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(sizes.select(name, "_span", before.alias("_before")), [name, "_span"])
+    n = F.row_number().over(Window.partitionBy(name, "_span").orderBy(tie)) + F.col("_before")
+    return rows.select(*df.columns, F.when(n == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), n.cast("string"))).alias("folder"))
 
 
 def connected_takes(pairs: DataFrame) -> DataFrame:

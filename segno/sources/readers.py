@@ -113,7 +113,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jsonl_log(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, entry (JSON text), id, op of JSON-lines logs, a log a file: a torn last line is left out, damage elsewhere is an error."""
-    lines = spark.read.option("wholetext", True).text(path).select(file_name(), F.posexplode(F.split("value", "\n")).alias("line_no", "entry")).where("trim(entry) <> ''")
+    lines = spark.read.text(path, wholetext=True).select(file_name(), F.posexplode(F.split("value", "\n")).alias("line_no", "entry")).where("trim(entry) <> ''")
     last = F.max("line_no").over(Window.partitionBy("file"))
     parsed = lines.select("file", (F.col("line_no") + 1).alias("line_no"), "entry", (F.col("line_no") == last).alias("_last"), F.try_parse_json("entry").alias("j"))
     kept = parsed.where("j is not null or not _last")
