@@ -6,11 +6,12 @@ overlapping passage of every text is a query: passages whose words' largest impa
 threshold are passed over, then blocks that cannot reach it, and all items at or above it are retrieved.
 For a retrieved item the shares of five-word shingles of its question and of its answer (its last
 sentence) that the passage holds are taken (those that touch it); it counts as a leak if at least LEAK of all its shingles and
-at least half of the answer's are there.
+at least half of the question's and of the answer's are there.
 
 Items come in shards of at most SHARD_ITEMS, so what is broadcast at once is bounded; each shard is another
 pass over the texts. Defined results: null texts and items count as empty and leak nothing; repeated
-rows are searched each and give one row for each (doc_id, item_id); rows with a null id are left out;
+rows are searched each and give one row for each (doc_id, item_id); items of one id with different texts are items
+each and give one row together; items under five words say too little and never leak; rows with a null id are left out;
 empty tables give no rows; other columns are ignored; ties need no order, since all are retrieved.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +33,21 @@ BLOCK = 16
 RETRIEVE = 0.5
 #: Share of an item's shingles that makes a leak.
 LEAK = 0.8
+#: Share of the question's and of the answer's shingles that must be there.
+HALF = 0.5
 K1, B = 1.2, 0.75
 
 
 def item_parts(items: DataFrame) -> DataFrame:
-    """item_id, text, answer_from: the code point where the last sentence starts (0: a single sentence)."""
+    """item (a key of id and text), item_id, text, answer_from: the code point where the last sentence starts (0: a single sentence)."""
     text = F.coalesce("text", F.lit(""))
     lead = F.regexp_extract(text, r"(?s)^(.*[.!?\n])\s*[^\s.!?][^.!?\n]*[.!?\s]*$", 1)
-    return items.where("item_id is not null").select(F.col("item_id").cast("long"), text.alias("text"), F.length(lead).alias("answer_from"))
+    own = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), F.length(lead).alias("answer_from"))
+    return own.select(F.xxhash64("item_id", "text").alias("item"), "*").distinct()
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    """item_id, word, tf, size: the postings of the items."""
+    """item, word, tf, size: the postings of the items."""
 
     def run(batches):
         for b in batches:
@@ -52,10 +57,10 @@ def item_words(items: DataFrame) -> DataFrame:
                 d, h, c = textnum.counted(w.doc, w.h)
                 size = np.diff(w.first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][d]), pa.array(h.view(np.int64)), pa.array(c), pa.array(size[d].astype(np.int64))], names=["item_id", "word", "tf", "size"]
+                    [pa.array(ids[lo:hi][d]), pa.array(h.view(np.int64)), pa.array(c), pa.array(size[d].astype(np.int64))], names=["item", "word", "tf", "size"]
                 )
 
-    return items.select("item_id", "text").mapInArrow(run, "item_id long, word long, tf long, size long")
+    return items.select("item", "text").mapInArrow(run, "item long, word long, tf long, size long")
 
 
 def spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +74,13 @@ class Index:
     """One shard: postings by word, in blocks of items, and what verifies an item."""
 
     def __init__(self, postings, items, threshold: float):
-        """postings: pandas (item_id, word, impact), impact as a share; items: pandas (item_id, text, answer_from)."""
+        """Arrow tables: postings (item, word, impact), impact as a share; items (item, item_id, text, answer_from), by item."""
         self.threshold = threshold
-        self.ids = np.sort(items["item_id"].to_numpy())
-        item = np.searchsorted(self.ids, postings["item_id"].to_numpy())
-        word = postings["word"].to_numpy().view(np.uint64)
+        keys, self.ids = items.column("item").to_numpy(), items.column("item_id").to_numpy()
+        item = np.searchsorted(keys, postings.column("item").to_numpy())
+        word = postings.column("word").to_numpy().view(np.uint64)
         order = np.lexsort((item, word))
-        word, self.item, self.impact = word[order], item[order], postings["impact"].to_numpy()[order]
+        word, self.item, self.impact = word[order], item[order], postings.column("impact").to_numpy()[order]
         self.words, self.first = np.unique(word, return_index=True)
         self.first = np.append(self.first, len(word))
         self.most = np.maximum.reduceat(self.impact, self.first[:-1]) if len(word) else np.zeros(0)
@@ -87,13 +92,13 @@ class Index:
         self.block_from = np.append(at, len(key))
         self.word_blocks = np.searchsorted(self.block_key, np.arange(len(self.words) + 1) * (1 << 32))
         self.parts, longest = {}, 1
-        for i, text, split in items[["item_id", "text", "answer_from"]].itertuples(index=False):
+        for i, (text, split) in enumerate(zip(items.column("text").to_pylist(), items.column("answer_from").to_pylist())):
             w = textnum.words(*textnum.code_points([text]))
             longest = max(longest, len(w.h))
             cut = int(np.searchsorted(w.start, split))
             cut = cut if 0 < cut < len(w.h) else 0
             h, at = textnum.shingles(w)
-            self.parts[int(np.searchsorted(self.ids, i))] = (h, h[at < cut] if cut else h, h[at + 4 >= cut])
+            self.parts[i] = (h, h[at < cut] if cut else h, h[at + 4 >= cut])
         #: A passage is two strides long, so any item lies whole within one.
         self.stride = longest
 
@@ -155,7 +160,7 @@ class Index:
             b = min(a + 2 * self.stride, w.first[d + 1])
             held = self.shingle_set(texts[d][w.start[a] : w.end[b - 1]])
             whole, question, answer = (float(np.isin(x, held).mean()) if len(x) else 0.0 for x in self.parts[i])
-            if whole >= LEAK and answer >= 0.5:
+            if whole >= LEAK and min(question, answer) >= HALF:
                 yield d, int(self.ids[i]), score, question, answer, whole, int(w.start[a]), int(w.end[b - 1])
 
 
@@ -164,18 +169,18 @@ SCHEMA = "doc_id long, item_id long, score double, question_share double, answer
 
 def indexes(items: DataFrame, threshold: float):
     """The index of each shard, one after the other; statistics are those of all items."""
-    items = written(item_parts(items).dropDuplicates(["item_id"]), "items")
+    items = written(item_parts(items), "items")
     postings = written(item_words(items), "postings")
-    n, mean = items.count(), postings.select("item_id", "size").distinct().agg(F.avg("size")).first()[0] or 1.0
+    n, mean = items.count(), postings.select("item", "size").distinct().agg(F.avg("size")).first()[0] or 1.0
     df = postings.groupBy("word").agg(F.count("*").alias("df"))
     impact = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
-    scored = postings.join(df, "word").select("item_id", "word", impact.alias("impact"))
-    own = scored.groupBy("item_id").agg(F.sum("impact").alias("own"))
-    shares = scored.join(own, "item_id").select("item_id", "word", (F.col("impact") / F.col("own")).alias("impact"))
+    scored = postings.join(df, "word").select("item", "word", impact.alias("impact"))
+    own = scored.groupBy("item").agg(F.sum("impact").alias("own"))
+    shares = scored.join(own, "item").select("item", "word", (F.col("impact") / F.col("own")).alias("impact"))
     shards = -(-n // SHARD_ITEMS)
     for k in range(shards):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k
-        yield Index(shares.where(mine).toPandas(), items.where(mine).toPandas(), threshold)
+        mine = F.pmod(F.col("item"), F.lit(shards)) == k
+        yield Index(shares.where(mine).toArrow(), items.where(mine).orderBy("item").toArrow(), threshold)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVE) -> DataFrame:
@@ -201,5 +206,20 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVE)
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVE) -> DataFrame:
-    """The documents that hold no test item, with all their columns."""
-    return docs.join(contaminated(docs, items, threshold).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The documents that hold no test item, with all their columns; every row is searched, also one without an id. Rows
+    are dropped where they are read, so nothing is joined or moved."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = rows.schema
+    for index in indexes(items, threshold):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            for b in batches:
+                col = [t or "" for t in pc.struct_field(b.column(0), "text").to_pylist()]
+                good = np.ones(len(col), bool)
+                for lo, hi in textnum.chunks(col):
+                    good[[lo + leak[0] for leak in shared.value.leaks(col[lo:hi])]] = False
+                yield b.filter(pa.array(good))
+
+        rows = rows.mapInArrow(run, schema)
+    return rows.select("row.*")
