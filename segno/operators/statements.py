@@ -2,7 +2,7 @@
 
 A statement is (named parts, final select). Tables, all keyed by song_id: notes and est (note_id, onset_us, offset_us,
 pitch, instrument, line), placed (notes + bar), windowed (notes + w, label), beats, bars, sections, spans (windows:
-w, start_us, end_us, label), clusters (notes + anchor_us). PCT(x, p) is an interpolated percentile and SEQ(a, b) gives a row
+w, start_us, end_us, label), clusters (notes + anchor_us). PCT(x, p) is an interpolated percentile, SHA(x) a sha256 in hex, and SEQ(a, b) gives a row
 for each whole number from a to b; `text` writes both for an engine.
 """
 
@@ -375,6 +375,93 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "n AS (SELECT song_id, count(*) AS notes, count(CASE WHEN line = 0 THEN 1 END) AS p0, count(CASE WHEN line = 1 THEN 1 END) AS p1, count(CASE WHEN line = 2 THEN 1 END) AS p2, count(CASE WHEN offset_us - onset_us < 60000 THEN 1 END) AS warnings FROM {notes} GROUP BY song_id), t AS (SELECT song_id, lead(t_us) OVER (PARTITION BY song_id ORDER BY t_us) - t_us AS iv FROM {beats}), m AS (SELECT song_id, round(60000000 / PCT(iv, 0.5), 4) AS bpm FROM t GROUP BY song_id), s AS (SELECT song_id, label, sum(end_bar - start_bar) AS bars, row_number() OVER (PARTITION BY song_id ORDER BY sum(end_bar - start_bar) DESC, label) AS k FROM {sections} GROUP BY song_id, label)",
         "SELECT n.song_id, notes, p0, p1, p2, warnings, bpm, s.label AS longest FROM n JOIN m ON n.song_id = m.song_id JOIN s ON n.song_id = s.song_id AND s.k = 1",
     ),
+    # whole forms of rules that other queries give in part
+    "note_rules": (
+        "v AS (SELECT song_id, note_id, onset_us, CASE WHEN note_id % 13 = 0 THEN onset_us - 1 ELSE offset_us END AS z, CASE WHEN note_id % 17 = 0 THEN 130 ELSE pitch END AS p, CASE WHEN note_id % 23 = 0 THEN 'unheard' ELSE instrument END AS cls, CASE WHEN note_id % 19 <> 0 THEN line END AS string, CASE WHEN note_id % 29 <> 0 THEN note_id % 12 END AS fret FROM {est}), o AS (SELECT *, lag(onset_us) OVER (PARTITION BY song_id ORDER BY note_id) AS prev FROM v), r AS (SELECT song_id, note_id, concat_ws(',', CASE WHEN z < onset_us THEN 'offset' END, CASE WHEN p NOT BETWEEN 0 AND 127 THEN 'pitch' END, CASE WHEN cls NOT IN ('click', 'view', 'purchase', 'signup', 'error') THEN 'instrument' END, CASE WHEN onset_us < prev THEN 'order' END, CASE WHEN (string IS NULL) <> (fret IS NULL) THEN 'string' END) AS rules FROM o)",
+        "SELECT song_id, note_id, rules FROM r WHERE rules <> ''",
+    ),
+    "segment_rules": (
+        "g AS (SELECT song_id, w, start_us + CASE WHEN w % 11 = 3 THEN 9000000 ELSE 0 END AS a, end_us - CASE WHEN w % 13 = 5 THEN 9000000 ELSE 0 END AS z FROM {spans}), p AS (SELECT *, lag(z) OVER (PARTITION BY song_id ORDER BY w) AS before FROM g)",
+        "SELECT song_id, w, CASE WHEN z <= a THEN 'empty' ELSE 'overlap' END AS fault FROM p WHERE z <= a OR a < before",
+    ),
+    "manifest_status": (
+        "r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 WHEN doc_id % 5 = 0 THEN -1 ELSE 0 END AS off FROM {labels}), h AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM {documents} WHERE doc_id % 9 <> 4)",
+        "SELECT coalesce(r.doc_id, h.doc_id) AS doc_id, CASE WHEN r.doc_id IS NULL THEN 'extra' WHEN h.doc_id IS NULL THEN 'absent' WHEN r.doc_id % 11 = 0 THEN 'manual' WHEN off > 0 THEN 'partial' WHEN off < 0 THEN 'mismatch' ELSE 'verified' END AS status FROM r FULL JOIN h ON r.doc_id = h.doc_id",
+    ),
+    "note_features": (
+        """w AS (SELECT *, count(*) OVER (PARTITION BY song_id ORDER BY onset_us RANGE BETWEEN 30000 PRECEDING AND 30000 FOLLOWING) AS poly, count(*) OVER (PARTITION BY song_id ORDER BY onset_us RANGE BETWEEN 1000000 PRECEDING AND 1000000 FOLLOWING) AS density, count(*) OVER (PARTITION BY song_id, pitch % 12 ORDER BY onset_us RANGE BETWEEN 30000 PRECEDING AND 30000 FOLLOWING) - count(*) OVER (PARTITION BY song_id, pitch ORDER BY onset_us RANGE BETWEEN 30000 PRECEDING AND 30000 FOLLOWING) AS octaves,
+  PCT(pitch, 0.5) OVER (PARTITION BY song_id) AS med, onset_us - lag(onset_us) OVER (PARTITION BY song_id, line ORDER BY onset_us, note_id) AS prev_gap, lead(onset_us) OVER (PARTITION BY song_id, line ORDER BY onset_us, note_id) - onset_us AS next_gap FROM {notes})""",
+        "SELECT w.note_id, round(ln((w.offset_us - w.onset_us) / 1000000.0), 6) AS log_dur, poly, density, round(w.pitch - med, 6) AS rel_pitch, octaves > 0 AS octave_partner, coalesce(e.pitch = w.pitch, FALSE) AS second_same, coalesce(abs(e.pitch - w.pitch) = 12, FALSE) AS second_octave, e.note_id IS NOT NULL AS second_any, abs((w.onset_us + 62500) % 125000 - 62500) AS residual_us, prev_gap, next_gap, w.offset_us - w.onset_us < 60000 AS short, w.pitch < 45 AS low, w.pitch > 58 AS high, w.instrument = 'click' AS is_click, coalesce(next_gap < w.offset_us - w.onset_us, FALSE) AS overlaps FROM w LEFT JOIN {est} e ON w.note_id = e.note_id",
+    ),
+    "capture": (
+        "r AS (SELECT song_id, (note_id * 37) % 100 AS p, note_id, CASE WHEN line <> (pitch + note_id) % 3 THEN 1 ELSE 0 END AS wrong FROM {notes}), k AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY p, note_id) AS place, count(*) OVER (PARTITION BY song_id) AS n FROM r)",
+        "SELECT song_id, count(*) AS n, round(sum(CASE WHEN place <= greatest(1, round(0.2 * n)) THEN wrong ELSE 0 END) / sum(wrong), 6) AS capture FROM k GROUP BY song_id",
+    ),
+    "burst_spans": (
+        "b AS (SELECT song_id, CAST(floor(onset_us / 10000000) AS BIGINT) AS c, count(*) AS n, count(CASE WHEN offset_us - onset_us < 200000 THEN 1 END) AS tiny FROM {notes} GROUP BY song_id, CAST(floor(onset_us / 10000000) AS BIGINT)), f AS (SELECT song_id, c, n FROM b WHERE n >= 10 AND tiny * 2 >= n), g AS (SELECT *, c - row_number() OVER (PARTITION BY song_id ORDER BY c) AS run FROM f)",
+        "SELECT song_id, min(c) * 10000000 AS start_us, (max(c) + 1) * 10000000 AS end_us, CAST(sum(n) AS BIGINT) AS notes FROM g GROUP BY song_id, run",
+    ),
+    "level_histogram": (
+        "g AS (SELECT song_id, CAST(round(onset_us % 500000 / 62500.0) AS INT) % 8 AS k, abs((onset_us + 31250) % 62500 - 31250) AS r FROM {notes}), l AS (SELECT song_id, CASE WHEN k = 0 THEN 1 WHEN k = 4 THEN 2 WHEN k % 2 = 0 THEN 4 ELSE 8 END AS level, r FROM g)",
+        "SELECT song_id, level, count(*) AS n, round(avg(r), 6) AS mean_us, round(PCT(r, 0.9), 6) AS p90_us FROM l GROUP BY song_id, level",
+    ),
+    "identical_bars": (
+        "a AS (SELECT song_id, CAST(floor(onset_us / 2000000) AS BIGINT) AS bar, pitch, count(*) AS n FROM {notes} GROUP BY song_id, CAST(floor(onset_us / 2000000) AS BIGINT), pitch), b AS (SELECT song_id, CAST(floor(onset_us / 2000000) AS BIGINT) AS bar, pitch, count(*) AS n FROM {est} GROUP BY song_id, CAST(floor(onset_us / 2000000) AS BIGINT), pitch), u AS (SELECT coalesce(a.song_id, b.song_id) AS song_id, coalesce(a.bar, b.bar) AS bar, CASE WHEN coalesce(a.n, 0) = coalesce(b.n, 0) THEN 0 ELSE 1 END AS differs FROM a FULL JOIN b ON a.song_id = b.song_id AND a.bar = b.bar AND a.pitch = b.pitch), g AS (SELECT song_id, bar, max(differs) AS differs FROM u GROUP BY song_id, bar)",
+        "SELECT song_id, count(*) AS bars, round(avg(1.0 - differs), 6) AS identical FROM g GROUP BY song_id",
+    ),
+    "stem_windows": (
+        "f AS (SELECT song_id, instrument AS stem, CAST(floor(onset_us / 10000000) AS BIGINT) AS c, avg(power((offset_us - onset_us) / 10000.0, 2)) AS p FROM {notes} GROUP BY song_id, instrument, CAST(floor(onset_us / 10000000) AS BIGINT)), m AS (SELECT song_id, c, sum(p) AS mix FROM f GROUP BY song_id, c), l AS (SELECT song_id, PCT(mix, 0.2) AS quiet FROM m GROUP BY song_id), r AS (SELECT f.song_id, f.c, f.p / m.mix AS share FROM f JOIN m ON f.song_id = m.song_id AND f.c = m.c JOIN l ON f.song_id = l.song_id WHERE f.stem = 'error' AND m.mix >= l.quiet), k AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY round(share, 9) DESC, c) AS place FROM r)",
+        "SELECT song_id, c * 10000000 AS start_us, round(share, 6) AS share, share > 0.5 AS leftover, place FROM k WHERE place <= 5",
+    ),
+    "unmatched_by_source": (
+        "c AS (SELECT song_id, note_id, pitch, onset_us, line AS source, CASE line WHEN 0 THEN 50000 WHEN 1 THEN 100000 ELSE 30000 END AS tol, CAST(floor(onset_us / 100000) AS BIGINT) AS cell FROM {est}), b AS (SELECT song_id, pitch, onset_us, SEQ(CAST(floor(onset_us / 100000) AS BIGINT) - 1, CAST(floor(onset_us / 100000) AS BIGINT) + 1) AS cell FROM {notes}), m AS (SELECT c.note_id, min(abs(c.onset_us - b.onset_us)) AS d FROM c JOIN b ON c.song_id = b.song_id AND c.pitch = b.pitch AND c.cell = b.cell GROUP BY c.note_id)",
+        "SELECT c.song_id, c.note_id, c.source, CASE WHEN m.note_id IS NULL THEN 'no note' ELSE 'too far' END AS reason FROM c LEFT JOIN m ON c.note_id = m.note_id WHERE m.note_id IS NULL OR m.d > c.tol",
+    ),
+    "contamination": (
+        "t AS (SELECT 'click' AS model, 'R0' AS dataset, 'in training' AS status UNION ALL SELECT 'click', 'R1', 'held out' UNION ALL SELECT 'view', 'R0', 'held out' UNION ALL SELECT 'view', 'mixed', 'in training'), p AS (SELECT DISTINCT song_id, instrument, label FROM {windowed})",
+        "SELECT p.song_id, p.instrument AS model, p.label AS dataset, coalesce(t.status, 'unknown') AS status FROM p LEFT JOIN t ON p.instrument = t.model AND p.label = t.dataset",
+    ),
+    "incremental_plan": (
+        "k AS (SELECT o_custkey AS song_id, o_orderkey % 5 AS stage, o_orderkey AS recipe, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS held, o_orderkey % 13 = 0 AS costly FROM {orders}), m AS (SELECT *, min(CASE WHEN held = 0 THEN stage END) OVER (PARTITION BY song_id) AS first FROM k)",
+        "SELECT song_id, recipe, CASE WHEN held = 0 AND costly THEN 'blocked' WHEN held = 0 THEN 'missing' WHEN stage > first THEN 'forced' ELSE 'held' END AS plan FROM m",
+    ),
+    "experiment_ledger": (
+        "e AS (SELECT o_custkey AS id, o_orderkey AS seq, o_orderstatus AS status, o_orderkey % 10 AS view, o_orderstatus = 'F' AS decided FROM {orders}), f AS (SELECT *, min(CASE WHEN decided THEN seq END) OVER (PARTITION BY id) AS closed, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM e)",
+        "SELECT id, max(CASE WHEN k = 1 THEN status END) AS status, count(*) AS n, count(CASE WHEN seq > closed THEN 1 END) AS refused, count(DISTINCT view) AS views, count(DISTINCT view) > 6 AS over_budget FROM f GROUP BY id",
+    ),
+    "catalog": (
+        "o AS (SELECT o_custkey, count(*) AS edits, round(avg(o_totalprice), 2) AS tempo FROM {orders} GROUP BY o_custkey)",
+        "SELECT c_custkey, c_mktsegment AS title, coalesce(edits, 0) AS edits, tempo, CASE WHEN edits IS NULL THEN 'no result' WHEN c_custkey % 17 = 3 THEN 'guitar removed' END AS skipped FROM {customer} LEFT JOIN o ON c_custkey = o_custkey",
+    ),
+    "review_queue": (
+        "q AS (SELECT song_id, note_id, -1 AS p, 'unapplied edit' AS kind FROM {notes} WHERE note_id % 50 = 7 UNION ALL SELECT song_id, note_id, 0, 'unassigned' FROM {notes} WHERE line = 2 AND note_id % 50 <> 7 UNION ALL SELECT song_id, note_id, note_id * 37 % 100, 'unsure' FROM {notes} WHERE line <> 2 AND note_id * 37 % 100 < 20 AND note_id % 50 <> 7)",
+        "SELECT song_id, note_id, kind, row_number() OVER (PARTITION BY song_id ORDER BY p, note_id) AS place FROM q",
+    ),
+    "bar_tick_outside": (
+        "e AS (SELECT song_id, min(bar) AS b0, min(start_us) AS t0, max(bar) AS b1, max(end_us) AS t1 FROM {bars} GROUP BY song_id), n AS (SELECT song_id, note_id, CASE WHEN note_id % 2 = 0 THEN onset_us - 40000000 ELSE onset_us + 700000000 END AS t FROM {notes}), x AS (SELECT n.song_id, n.note_id, n.t, b0, b1, CASE WHEN n.t < t0 THEN (n.t - t0) / 2000000.0 ELSE (n.t - t1) / 2000000.0 END AS d, n.t < t0 AS early FROM n JOIN e ON n.song_id = e.song_id WHERE n.t < t0 OR n.t >= t1)",
+        "SELECT note_id, CAST(CASE WHEN early THEN b0 + floor(d) ELSE b1 + 1 + floor(d) END AS BIGINT) AS bar, round((d - floor(d)) * 192, 4) AS tick FROM x",
+    ),
+    "worst_bars_ranked": (
+        "u AS (SELECT n.song_id, CAST(floor(n.onset_us / 2000000) AS BIGINT) AS bar, CASE WHEN e.note_id IS NULL THEN 1 ELSE 0 END AS missed, 0 AS extra, CASE WHEN e.line <> n.line THEN 1 ELSE 0 END AS wrong FROM {notes} n LEFT JOIN {est} e ON n.note_id = e.note_id UNION ALL SELECT e.song_id, CAST(floor(e.onset_us / 2000000) AS BIGINT), 0, 1, 0 FROM {est} e LEFT JOIN {notes} n ON n.note_id = e.note_id WHERE n.note_id IS NULL), g AS (SELECT song_id, bar, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(extra) AS BIGINT) AS extra, CAST(sum(wrong) AS BIGINT) AS wrong_line FROM u GROUP BY song_id, bar), k AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY missed + extra + wrong_line DESC, bar) AS place FROM g WHERE missed + extra + wrong_line > 0)",
+        "SELECT song_id, bar, missed, extra, wrong_line, place FROM k WHERE place <= 10",
+    ),
+    "section_windows": (
+        "b AS (SELECT b.song_id, s.section, b.bar, b.start_us, b.end_us, CAST(floor((b.bar - s.start_bar) / CASE WHEN s.section % 3 = 1 THEN 5 ELSE 4 END) AS BIGINT) AS g FROM {bars} b JOIN {sections} s ON b.song_id = s.song_id AND b.bar >= s.start_bar AND b.bar < s.end_bar), c AS (SELECT *, count(*) OVER (PARTITION BY song_id, section, g) AS n FROM b)",
+        "SELECT song_id, section, CASE WHEN n = 1 AND g > 0 THEN g - 1 ELSE g END AS w, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS bars FROM c GROUP BY song_id, section, CASE WHEN n = 1 AND g > 0 THEN g - 1 ELSE g END",
+    ),
+    "gated_spans": (
+        "l AS (SELECT song_id, note_id, onset_us, 20 * log10((offset_us - onset_us) / 10000.0) AS db FROM {notes}), q AS (SELECT song_id, PCT(db, 0.95) AS top FROM l GROUP BY song_id), d AS (SELECT l.song_id, l.onset_us, l.note_id FROM l JOIN q ON l.song_id = q.song_id WHERE db < top - 12), g AS (SELECT *, CASE WHEN onset_us - lag(onset_us) OVER (PARTITION BY song_id ORDER BY onset_us, note_id) <= 2000000 THEN 0 ELSE 1 END AS new FROM d), r AS (SELECT *, sum(new) OVER (PARTITION BY song_id ORDER BY onset_us, note_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)",
+        "SELECT song_id, min(onset_us) AS start_us, max(onset_us) AS end_us, count(*) AS dropped FROM r GROUP BY song_id, run",
+    ),
+    "recipe_key": (
+        """r AS (SELECT song_id, count(*) AS n, min(pitch) AS lo, max(pitch) AS hi FROM {notes} GROUP BY song_id)""",
+        """SELECT song_id, SHA(concat('{{"code":"v1","inputs":["song_', CAST(song_id AS VARCHAR(20)), '"],"models":[],"params":{{"hi":', CAST(hi AS VARCHAR(20)), ',"lo":', CAST(lo AS VARCHAR(20)), ',"n":', CAST(n AS VARCHAR(20)), '}},"stage":"quant"}}')) AS recipe FROM r""",
+    ),
+    "corrupted_more": (
+        """h AS (SELECT song_id, note_id, onset_us, pitch, line, SHA(concat('oracle:', CAST(note_id AS VARCHAR(20)))) AS s FROM {notes}), u AS (SELECT *, substr(s, 1, 1) AS a, substr(s, 2, 1) AS b, substr(s, 3, 1) AS c FROM h),
+ k AS (SELECT song_id, note_id, onset_us, pitch, CASE WHEN a = '0' THEN NULL WHEN b IN ('0', '1') THEN (line + 1) % 3 ELSE line END AS line FROM u), i AS (SELECT song_id, note_id + 2000000000 AS note_id, onset_us + 250000 AS onset_us, pitch + 7 AS pitch, line FROM u WHERE c = '0')""",
+        "SELECT song_id, note_id, onset_us, pitch, line FROM k UNION ALL SELECT song_id, note_id, onset_us, pitch, line FROM i",
+    ),
 }
 
 
@@ -384,6 +471,7 @@ def text(name: str, engine: str = "spark") -> tuple[str, str]:
     out = []
     for part in STATEMENTS[name]:
         part = part.replace("PCT(", percentile + "(")
+        part = re.sub(r"SHA\((concat\(.*?\))\) AS", r"sha2(\1, 256) AS" if engine == "spark" else r"sha256(\1) AS", part)
         if engine == "spark":  # numbers with a point are doubles
             part = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", part)
         while m := re.search(r"SEQ\(", part):
