@@ -264,7 +264,11 @@ def l2_apply_note_edits(spark, d):
     return replay.apply_note_edits(n, edits)
 
 
-@query()
+LINKS = "{}, lk AS ({})".format(*statements.text("repeat_note_links", "duckdb")).format(**T.VIEWS)
+
+
+@query(T.MORE + ", " + LINKS + """, ed AS (SELECT note_id AS seq, note_id, (line + 1) % 3 AS too FROM nr WHERE note_id % 6 = 0), ow AS (SELECT note_id, max_by(too, seq) AS own FROM ed GROUP BY 1), sp AS (SELECT lk.b AS note_id, max_by(too, seq) AS spread FROM ed JOIN lk ON ed.note_id = lk.a GROUP BY 1)
+ SELECT n.note_id, coalesce(own, spread, line) AS line, CASE WHEN own IS NOT NULL THEN 'explicit' WHEN spread IS NOT NULL THEN 'spread' ELSE 'kept' END AS how FROM nr n LEFT JOIN ow ON n.note_id = ow.note_id LEFT JOIN sp ON n.note_id = sp.note_id""")
 def l3_spread_part(spark, d):
     links = statements.apply("repeat_note_links", placed=T.placed(spark, d), bars=X.bars(spark, d))
     n = X.notes_ref(spark, d)

@@ -78,7 +78,9 @@ def j7_match_ticks(spark, d):
     return pairs.groupBy(*KEYS).agg(F.count("*").alias("tp"))
 
 
-@query()
+@query(TOLERANT + f""", hr AS (SELECT r FROM mt WHERE r IS NOT NULL), he AS (SELECT unnest(used) AS e FROM (SELECT used FROM mt QUALIFY row_number() OVER (PARTITION BY song_id, pitch ORDER BY i DESC) = 1)),
+ sr AS (SELECT song_id, onset_us // 30000000 AS section, count(r) AS tp, count(*) - count(r) AS fn, 0 AS fp FROM nr LEFT JOIN hr ON note_id = r GROUP BY ALL), se AS (SELECT song_id, onset_us // 30000000 AS section, 0 AS tp, 0 AS fn, count(*) AS fp FROM ne WHERE note_id NOT IN (SELECT e FROM he) GROUP BY ALL),
+ sx AS (SELECT song_id, section, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM (SELECT * FROM sr UNION ALL BY NAME SELECT * FROM se) GROUP BY ALL) SELECT song_id, section, tp, fp, fn, {PRF} FROM sx""")
 def g3_tick_prf(spark, d):
     """Sections that part a song add up to its counts, since the whole song is matched first."""
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))

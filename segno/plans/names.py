@@ -9,6 +9,7 @@ from ..functions import names as N
 from ..functions import scalars as S
 from ..operators import assign, measures, metrics, timeline
 from ..sources import fixtures as X
+from .matching import ways
 from .queries import ITEMS, items, query
 
 
@@ -166,7 +167,7 @@ def w25_repeat_consensus(spark, d):
     return out.join(cells, [*key, "pitch", "pos"], "left_anti").select(*key, "pitch", "pos", "support")
 
 
-@query()
+@query(ways(200_000, "abs(rr.z - ee.z) <= greatest(50000, 0.2 * (rr.z - rr.t))") + " SELECT song_id, sum(CAST(ceil(v / 1000000000000.0) AS BIGINT))::BIGINT AS pairs FROM bw GROUP BY 1")
 def u4_component_assignment(spark, d):
     """song_id, pairs: the shared matcher of components by augmenting paths, at a wide tolerance."""
     pairs = assign.match_with_offset(X.notes_ref(spark, d), X.notes_est(spark, d), ["song_id", "pitch"], 200_000)
