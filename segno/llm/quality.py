@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -92,16 +93,18 @@ def statistics(texts: list[str]) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
-    """The column `keep` of every row and the statistics of its text."""
+    """The column `keep` of every row (an id, or a struct that holds the text) and the statistics of its text."""
+    inside = keep == "row"
 
     def run(batches):
         for b in batches:
-            x = statistics(b.column(1).to_pylist())
+            text = pc.struct_field(b.column(0), "text") if inside else b.column(1)
+            x = statistics([t or "" for t in text.to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=[keep, *STATISTICS])
 
-    kind = docs.select(keep).schema[0].dataType.simpleString()
-    text = F.coalesce("text", F.lit("")).alias("text")
-    return docs.select(keep, text).mapInArrow(run, f"{keep} {kind}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    rows = docs.select(keep) if inside else docs.select(keep, "text")
+    schema = docs.select(keep, *[F.lit(0.0).alias(s) for s in STATISTICS]).schema
+    return rows.mapInArrow(run, schema)
 
 
 def paths(node) -> list[list[tuple[int, bool, float]]]:
@@ -142,9 +145,8 @@ def fit_rules(train: DataFrame, trees: int = 12, depth: int = 3, lasso: float =
     return float(model.intercept), [(float(w), r) for w, r in zip(model.coefficients, rules) if w]
 
 
-def quality_model(stats: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> Column:
-    """The score as an expression over STATISTICS, learnt from the labelled sample; stats: doc_id and STATISTICS."""
-    train = written(stats.join(F.broadcast(training_sample(labels, "quality", max_training_rows)), "doc_id"), "training")
+def quality_model(train: DataFrame) -> Column:
+    """The score as an expression over STATISTICS, learnt from labelled rows (STATISTICS and y)."""
     intercept, rules = fit_rules(train)
     z = F.lit(intercept)
     for w, r in rules:
@@ -155,13 +157,14 @@ def quality_model(stats: DataFrame, labels: DataFrame, max_training_rows: int =
 def quality_scores(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     stats = written(with_statistics(texts_of(docs)), "statistics")
-    score = quality_model(stats, labels, max_training_rows)
+    score = quality_model(written(stats.join(F.broadcast(training_sample(labels, "quality", max_training_rows)), "doc_id"), "training"))
     return stats.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= ACCEPT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, max_training_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns; texts are not shuffled."""
-    stats = written(with_statistics(texts_of(docs)), "statistics")
-    score = quality_model(stats, labels, max_training_rows)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    """The documents that the classifier accepts, with all their columns; texts are not shuffled, and only the sample is read twice."""
+    sample = F.broadcast(training_sample(labels, "quality", max_training_rows))
+    train = with_statistics(texts_of(docs).join(sample.select("doc_id"), "doc_id")).join(sample, "doc_id")
+    score = quality_model(written(train, "training"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     return with_statistics(rows, "row").where(score >= ACCEPT).select("row.*")

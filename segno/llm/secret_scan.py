@@ -107,17 +107,18 @@ def secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 
 def redacted(docs: DataFrame, owner: str = "source", mark: str = "<SECRET>") -> DataFrame:
-    """The documents, all kept, with live-looking values replaced by `mark`; n_chars follows the text."""
+    """The documents, all kept, with live-looking values replaced by `mark`; n_chars follows the text. Null texts stay null."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*docs.columns, F.monotonically_increasing_id().alias("_row"), owner_of(docs, owner).alias("_owner"), secret_spans(text).alias("_spans"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number"), owner_of(docs, owner).alias("owner"), secret_spans(text).alias("spans"))
     rows = written(rows, "scanned")
-    held = rows.where(F.size("_spans") > 0)
-    each = values(held.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("_owner").alias("owner"), F.col("_spans").alias("spans")), "_row", "doc_id", "owner")
+    held = rows.where(F.size("spans") > 0)
+    each = values(held.select("number", F.col("row.doc_id").cast("long").alias("doc_id"), "owner", "spans"), "number", "doc_id", "owner")
     wide = spread(each.where("doc_id is not null").select("doc_id", "owner", "hash").distinct()).where(F.col("n_owners") >= WIDE)
-    live = each.where("live").join(wide, "hash", "left_anti").groupBy("_row").agg(F.collect_set("value").alias("_live"))
-    live = live.withColumn("_live", F.array_sort("_live", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(F.when(a > b, 1).otherwise(0))))
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(F.aggregate("_live", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
-    out = held.join(live, "_row", "left").withColumn("text", text)
+    live = each.where("live").join(wide, "hash", "left_anti").groupBy("number").agg(F.collect_set("value").alias("live"))
+    live = live.withColumn("live", F.array_sort("live", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(F.when(a > b, 1).otherwise(0))))
+    masked = F.aggregate("live", F.col("row.text"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    row = F.col("row").withField("text", masked)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns).unionByName(rows.where(F.size("_spans") == 0).select(*docs.columns))
+        row = row.withField("n_chars", F.length(masked).cast(docs.schema["n_chars"].dataType))
+    out = held.join(live, "number", "left").select(F.when(F.col("live").isNull(), F.col("row")).otherwise(row).alias("row"))
+    return out.unionByName(rows.where(F.size("spans") == 0).select("row")).select("row.*")
