@@ -48,6 +48,8 @@ TEMPLATES: list[tuple[str, str, list[str]]] = [
 ]
 #: Words of a template that index it; how far a word may be from its place; the least share of a match.
 RARE, DRIFT, LEAST_SHARE = 6, 3, 0.7
+#: Beginnings of one template as whole numbers: more than there are words in a text.
+SPREAD = 1 << 33
 _FOUND = "array<struct<label:string,start:int,share:double,verified:boolean,base:boolean>>"
 
 
@@ -109,18 +111,16 @@ def matches(words: Column, templates: list[dict], postings: list[dict], hits: Co
     )
     posted = F.from_json(F.lit(json.dumps(postings)), "array<struct<word:string,template:int,at:int>>")
     drift = lambda t: F.when(t["base"], 0).otherwise(DRIFT)
+    # a vote is one number, of its template and beginning, since arrays of numbers are made distinct by hashing
     votes = F.flatten(
         F.transform(
             hits,
-            lambda h: F.transform(
-                F.filter(posted, lambda p: p["word"] == h["word"]),
-                lambda p: F.struct(F.get(table, p["template"]).alias("t"), (h["at"] - p["at"]).alias("start")),
-            ),
+            lambda h: F.transform(F.filter(posted, lambda p: p["word"] == h["word"]), lambda p: p["template"].cast("long") * SPREAD + (h["at"] - p["at"]) + SPREAD // 2),
         )
     )
 
     def scored(v: Column) -> Column:
-        t, start = v["t"], v["start"]
+        t, start = F.get(table, F.floor(v / SPREAD).cast("int")), (F.pmod(v, F.lit(SPREAD)) - SPREAD // 2).cast("int")
         has = lambda r: F.exists(r["places"], lambda o: F.array_contains(near(words, start + o, drift(t)), r["word"]))
         share = F.aggregate(t["rare"], F.lit(0.0), lambda s, r: s + F.when(has(r), r["weight"]).otherwise(0.0)) / t["total"]
         holds = lambda k: F.exists(F.sequence(-drift(t), drift(t)), lambda j: stands(words, k["words"], start + k["at"] + j))
