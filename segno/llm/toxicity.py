@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int, max_terms: i
         intercept, weights, factors = machine(d[at >= 0], at[at >= 0], rows.column("y").to_numpy(), len(terms))
         return pa.table({"intercept": [intercept], "weights": [weights.tolist()], "factors": [factors.ravel().tolist()]})
 
-    held = train.select("doc_id", "y", "terms").groupBy(F.lit(1)).applyInArrow(run, "intercept double, weights array<double>, factors array<double>").first()
+    held = train.select("doc_id", "y", "terms", F.lit(0).alias("all")).groupBy("all").applyInArrow(run, "intercept double, weights array<double>, factors array<double>").first()
     return terms, held["intercept"], np.array(held["weights"]), np.array(held["factors"]).reshape(-1, FACTORS)
 
 
