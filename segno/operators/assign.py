@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .cluster import anchored_clusters
 from .match import near
+from .timeline import asof_join, time_to_beat
 
 
 def component_lists(ref: DataFrame, est: DataFrame, keys: list[str], tol_us: int, ref_facts: list[str], est_facts: list[str], t: str = "onset_us") -> DataFrame:
@@ -47,15 +49,69 @@ def match_greedy(ref: DataFrame, est: DataFrame, keys: list[str], tol_us: int) -
     return out.select(*keys, F.col("p.r").alias("ref_id"), F.col("p.e").alias("est_id"), F.col("p.d").alias("cost_us"))
 
 
-def match_intervals(ref: DataFrame, est: DataFrame, keys: list[str], widest_us: int, tol: str) -> DataFrame:
-    """keys, ref_id, est_id: as many pairs as can be where each ref takes ests within its own tolerance (column `tol` of ref, at
-    most widest_us): refs by the end of their interval, each takes the first free est in it; optimal for intervals."""
-    lists = component_lists(ref, est, keys, widest_us, [tol], [])
-    order = f"array_sort(refs, (a, b) -> CASE WHEN a.t + a.{tol} < b.t + b.{tol} THEN -1 WHEN a.t + a.{tol} > b.t + b.{tol} THEN 1 WHEN a.id < b.id THEN -1 ELSE 1 END)"
-    free = f"filter(ests, e -> abs(e.t - r.t) <= r.{tol} and not exists(a, x -> x.e = e.id))"
-    fold = f"aggregate({order}, cast(array() as array<struct<r:bigint,e:bigint>>), (a, r) -> if(size({free}) > 0, array_append(a, named_struct('r', r.id, 'e', {free}[0].id)), a))"
-    out = lists.select(*keys, F.explode(F.expr(fold)).alias("p"))
-    return out.select(*keys, F.col("p.r").alias("ref_id"), F.col("p.e").alias("est_id"))
+def match_intervals(ref: DataFrame, est: DataFrame, keys: list[str], tol: str, t: str = "onset_us") -> DataFrame:
+    """keys, ref_id, est_id: as many pairs as can be where each ref takes ests within its own tolerance (column `tol` of ref).
+
+    Ests in order take, of the refs whose interval holds them and that are free, the one that ends first (ties: the lesser id), which is
+    optimal for intervals. Only intervals that overlap are open together, and a place that none covers parts the notes.
+    """
+    kind = "struct<t:bigint,side:int,id:bigint,end:bigint>"
+    side = lambda df, k, at, end: df.select(*keys, F.struct(at.alias("t"), F.lit(k).alias("side"), F.col("note_id").alias("id"), end.alias("end")).cast(kind).alias("x"))
+    both = side(ref, 0, F.col(t) - F.col(tol), F.col(t) + F.col(tol)).unionByName(side(est, 1, F.col(t), F.col(t)))
+    w = Window.partitionBy(*keys).orderBy("x.t", "x.side", "x.id")
+    covered = F.max(F.when(F.col("x.side") == 0, F.col("x.end"))).over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("x.t")
+    parts = both.withColumn("_new", F.when(covered, 0).otherwise(1)).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    lists = parts.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.exists("xs", lambda x: x["side"] == 0) & F.exists("xs", lambda x: x["side"] == 1))
+
+    def step(a, x):
+        holding = F.filter(a["open"], lambda r: r["end"] >= x["t"])
+        first = F.array_min(holding)
+        taken = F.struct(F.filter(holding, lambda r: r["id"] != first["id"]).alias("open"), F.array_append(a["pairs"], F.struct(first["id"].alias("ref_id"), x["id"].alias("est_id"))).alias("pairs"))
+        opened = F.struct(F.array_append(holding, F.struct(x["end"].alias("end"), x["id"].alias("id"))).alias("open"), a["pairs"].alias("pairs"))
+        return F.when(x["side"] == 0, opened).when(first.isNotNull(), taken).otherwise(a)
+
+    none = F.struct(F.array().cast("array<struct<end:bigint,id:bigint>>").alias("open"), F.array().cast("array<struct<ref_id:bigint,est_id:bigint>>").alias("pairs"))
+    return lists.select(*keys, F.explode(F.aggregate("xs", none, step)["pairs"]).alias("p")).select(*keys, "p.*")
+
+
+#: Positions on the grid are kept in whole millionths of a tick, so that comparisons are exact.
+FINE = 1_000_000
+
+
+def on_grid(notes: DataFrame, beats: DataFrame, ticks: int, tol_us: int = 0) -> DataFrame:
+    """notes + pos and tol (millionths of a tick; tol_us at the tempo of the beat that holds the note), bar; of notes of one pitch within a tick
+    after the first only that one stays."""
+    fine = lambda c: F.round(c * ticks * FINE).cast("long")
+    at = time_to_beat(notes, beats, "onset_us", "_beat_us")
+    at = at.select(*notes.columns, fine(F.col("beat_pos")).alias("pos"), fine(F.lit(tol_us) / F.col("_beat_us")).alias("tol"))
+    starts = beats.where("beat = 1").select("song_id", F.col("bar").alias("_bar"), fine(F.col("beat_no")).alias("_pos"))
+    at = asof_join(at, starts, ["song_id"], "pos", "_pos")
+    at = at.select(*notes.columns, "pos", "tol", F.col("mark._bar").alias("bar"))
+    first = anchored_clusters(at, ["song_id", "pitch"], FINE, "pos")
+    one = F.min(F.struct("pos", "note_id", "tol", "bar")).alias("x")
+    return first.groupBy("song_id", "pitch", "anchor_us").agg(one).select("song_id", "pitch", "x.*")
+
+
+def match_ticks(ref: DataFrame, est: DataFrame, beats: DataFrame, tol_us: int = 50_000, ticks: int = 48) -> tuple[DataFrame, DataFrame]:
+    """(refs, ests) on the grid: song_id, pitch, note_id, pos, bar and mate, the note of the other side or null.
+
+    A ref takes ests of its pitch within tol_us at the tempo where it lies; the whole song is matched at once.
+    """
+    r, e = on_grid(ref, beats, ticks, tol_us), on_grid(est, beats, ticks)
+    pairs = match_intervals(r, e, ["song_id", "pitch"], "tol", "pos").select("ref_id", "est_id")
+    own = lambda df, a, b: df.join(pairs.select(F.col(a).alias("note_id"), F.col(b).alias("mate")), "note_id", "left").select("song_id", "pitch", "note_id", "pos", "bar", "mate")
+    return own(r, "ref_id", "est_id"), own(e, "est_id", "ref_id")
+
+
+def tick_counts(refs: DataFrame, ests: DataFrame, sections: DataFrame) -> DataFrame:
+    """song_id, section, tp, fp, fn: a pair counts where its ref is, a miss where its ref and an extra where its est starts, so that
+    sections that part a song add up to it; notes outside all sections have a null one. sections: song_id, section, start_bar, end_bar."""
+    bars = sections.select("song_id", "section", F.explode(F.sequence("start_bar", F.col("end_bar") - 1)).alias("bar"))
+    hit = F.col("mate").isNotNull().cast("int")
+    rows = refs.select("song_id", "bar", hit.alias("tp"), F.lit(0).alias("fp"), (1 - hit).alias("fn"))
+    rows = rows.unionByName(ests.where("mate is null").select("song_id", "bar", F.lit(0).alias("tp"), F.lit(1).alias("fp"), F.lit(0).alias("fn")))
+    rows = rows.groupBy("song_id", "bar").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).join(bars, ["song_id", "bar"], "left")
+    return rows.groupBy("song_id", "section").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
 def most_pairs(n: int, edges: list[list[int]]) -> list[int]:

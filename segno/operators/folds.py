@@ -1,4 +1,4 @@
-"""Rules that carry a state along a sorted list: fragments, taps, tempi, beats, note families and chord paths.
+"""Rules that carry a state along a sorted list: fragments, taps, tempi, beats and note families.
 
 A list is that of one chain component or of one song's beats or bars, which bounds it; none is that of a whole table.
 """
@@ -120,51 +120,6 @@ def quantize_notes(notes: DataFrame, families: DataFrame, points: DataFrame, bea
     return rows.select("song_id", "note_id", F.col("g").alias("gtick"), F.greatest(F.col("z") - F.col("g"), F.col("step")).alias("dur"), "bar", tick.alias("tick"), F.col("g_family").alias("family"), F.round("g_resid", 2).alias("resid_ms"))
 
 
-#: The tones of each chord quality over its root.
-QUALITIES = {
-    "maj": (0, 4, 7), "min": (0, 3, 7), "5": (0, 7), "7": (0, 4, 7, 10), "maj7": (0, 4, 7, 11), "m7": (0, 3, 7, 10), "sus2": (0, 2, 7), "sus4": (0, 5, 7), "dim": (0, 3, 6), "add9": (0, 2, 4, 7),
-}
-
-
-def chord_path(histograms: DataFrame, change: float = 0.15, bonus: float = 0.1, size_prior: float = 0.02, least: float = 0.1, empty: float = 0.25) -> DataFrame:
-    """song_id, beat_no, root, quality (null: no chord): the path of least cost over a song's beats with one cost for any change.
-
-    histograms: song_id, beat_no, pc, share (sounding share of the beat), bass (the bass's pitch class or null). A template
-    costs 1 less its cosine, a prior for sizes other than 3, and less a bonus where the bass is its root.
-    """
-    states = [(r, q) for q in QUALITIES for r in range(12)]
-    shape = np.zeros((len(states), 12))
-    for i, (r, q) in enumerate(states):
-        shape[i, [(r + d) % 12 for d in QUALITIES[q]]] = 1
-    shape /= np.linalg.norm(shape, axis=1, keepdims=True)
-    prior, roots = size_prior * np.abs(np.array([len(QUALITIES[q]) for _, q in states]) - 3.0), np.array([r for r, _ in states])
-
-    def run(key, t):
-        beat = t.column("beat_no").to_numpy()
-        lo, n = int(beat.min()), int(beat.max() - beat.min()) + 1
-        h, bass = np.zeros((n, 12)), np.full(n, -1)
-        h[beat - lo, t.column("pc").to_numpy()] = t.column("share").to_numpy()
-        bass[beat - lo] = np.array([-1 if b is None else b for b in t.column("bass").to_pylist()])
-        cost = 1 - (h / (np.linalg.norm(h, axis=1, keepdims=True) + 1e-12)) @ shape.T + prior - bonus * (roots[None, :] == bass[:, None])
-        cost = np.hstack([cost, np.ones((n, 1))])
-        few = h.sum(1) < least
-        cost[few] = [empty] * len(states) + [0.0]
-        total, back = cost[0].copy(), np.zeros(cost.shape, np.int32)
-        for k in range(1, n):
-            j = int(total.argmin())
-            switch = total[j] + change < total
-            back[k] = np.where(switch, j, np.arange(len(total)))
-            total = np.where(switch, total[j] + change, total) + cost[k]
-        path = [int(total.argmin())]
-        for k in range(n - 1, 0, -1):
-            path.append(int(back[k][path[-1]]))
-        names = [states[s] if s < len(states) else (None, None) for s in path[::-1]]
-        return pa.table({"song_id": pa.array([key[0].as_py()] * n, pa.int64()), "beat_no": pa.array(range(lo, lo + n), pa.int64()), "root": pa.array([r for r, _ in names], pa.int32()), "quality": pa.array([q for _, q in names], pa.string())})
-
-    rows = histograms.select("song_id", F.col("beat_no").cast("long").alias("beat_no"), F.col("pc").cast("int").alias("pc"), F.col("share").cast("double").alias("share"), F.col("bass").cast("int").alias("bass"))
-    return rows.groupBy("song_id").applyInArrow(run, "song_id long, beat_no long, root int, quality string")
-
-
 def drifting_offsets(scores: DataFrame, start: DataFrame, gain: float = 0.03, least: int = 40, reach: int = 2) -> DataFrame:
     """song_id, block, shift: blocks keep the offset in force unless another within `reach` of the song's own scores at least `gain`
     more and the block has `least` notes. scores: song_id, block, notes, shift, f1; start: song_id, shift."""

@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources.quality import written
+
 
 def lineage_closure(edges: DataFrame, start: str = "child", end: str = "parent") -> DataFrame:
-    """node, ancestor, depth (least): all that each node depends on; the walk ends once it finds nothing new, also on cycles,
-    where a node is its own ancestor."""
-    step = edges.select(F.col(start).alias("node"), F.col(end).alias("ancestor")).distinct()
-    out = step.withColumn("depth", F.lit(1))
-    front, depth = out, 1
+    """node, ancestor, depth (least): all that each node depends on; on a cycle a node is its own ancestor.
+
+    Reach doubles in each round: a least path of 2^k + d steps is one of 2^k steps and one of d <= 2^k steps, so pairs that are
+    exactly 2^k apart meet all pairs found so far, and a graph is closed after the logarithm of its depth. Only the new pairs are
+    written in a round; the walk ends with one that finds nothing.
+    """
+    out = written(edges.select(F.col(start).alias("node"), F.col(end).alias("ancestor")).distinct().withColumn("depth", F.lit(1)), "closure")
+    reach = 1
     while True:
-        depth += 1
-        front = front.select("node", F.col("ancestor").alias("mid")).join(step.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor").distinct()
-        front = front.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if front.isEmpty():
+        front = out.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("mid"))
+        rest = out.select(F.col("node").alias("mid"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        new = front.join(rest, "mid").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        new = written(new.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti"), "closure")
+        if new.isEmpty():
             return out
-        out = out.unionByName(front)
+        out, reach = out.unionByName(new), 2 * reach
 
 
 def cycles(closure: DataFrame) -> DataFrame:
@@ -103,13 +109,11 @@ def connected_takes(pairs: DataFrame) -> DataFrame:
 def artifacts(exports: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """export, stage, artifact, depth: of all that an export depends on (itself included) the nearest node of each stage (ties: the
     least). edges: child, parent; nodes: node, stage."""
-    front = exports.select("export", F.col("export").alias("node"), F.lit(0).alias("depth"))
-    out = front
-    while True:
+    seen = written(exports.select("export", F.col("export").alias("node"), F.lit(0).alias("depth")), "artifacts")
+    front = seen
+    while not front.isEmpty():
         step = front.join(edges, front["node"] == edges["child"]).select("export", F.col("parent").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        front = step.join(out.select("export", "node"), ["export", "node"], "left_anti").checkpoint()
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    found = out.join(nodes, "node").groupBy("export", "stage")
+        front = written(step.join(seen.select("export", "node"), ["export", "node"], "left_anti"), "artifacts")
+        seen = seen.unionByName(front)
+    found = seen.join(nodes, "node").groupBy("export", "stage")
     return found.agg(F.min_by("node", F.struct("depth", "node")).alias("artifact"), F.min("depth").alias("depth"))

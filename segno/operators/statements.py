@@ -342,20 +342,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     ),
     "section_density": ("", "SELECT s.song_id, s.section, s.label, count(*) AS notes, round(count(*) / min(s.end_bar - s.start_bar), 6) AS per_bar FROM {placed} p JOIN {sections} s ON p.song_id = s.song_id AND p.bar >= s.start_bar AND p.bar < s.end_bar GROUP BY s.song_id, s.section, s.label"),
     # harmony and metre
-    "chord_histograms": (
-        "c AS (SELECT n.song_id, b.beat_no, n.pitch % 12 AS pc, least(n.offset_us, b.t_us + 500000) - greatest(n.onset_us, b.t_us) AS ov FROM (SELECT song_id, pitch, onset_us, offset_us, SEQ(CAST(floor(onset_us / 500000) AS BIGINT) - 1, CAST(floor(offset_us / 500000) AS BIGINT)) AS beat_no FROM {notes}) n JOIN {beats} b ON n.song_id = b.song_id AND n.beat_no = b.beat_no)",
-        "SELECT song_id, beat_no, pc, round(sum(ov) / 500000.0, 6) AS share FROM c WHERE ov > 0 GROUP BY song_id, beat_no, pc",
-    ),
-    "chord_costs": (
-        """q AS (SELECT 'maj' AS quality, '0,4,7' AS iv, 3 AS size UNION ALL SELECT 'min', '0,3,7', 3 UNION ALL SELECT '5', '0,7', 2 UNION ALL SELECT 'sus4', '0,5,7', 3 UNION ALL SELECT '7', '0,4,7,10', 4), i AS (SELECT quality, size, 0 AS d FROM q UNION ALL SELECT quality, size, 7 FROM q UNION ALL SELECT quality, size, 4 FROM q WHERE quality IN ('maj', '7') UNION ALL SELECT quality, size, 3 FROM q WHERE quality = 'min' UNION ALL SELECT quality, size, 5 FROM q WHERE quality = 'sus4' UNION ALL SELECT quality, size, 10 FROM q WHERE quality = '7'),
- t AS (SELECT r.root, i.quality, i.size, (r.root + i.d) % 12 AS pc FROM (SELECT SEQ(0, 11) AS root) r, i), h AS (SELECT song_id, CAST(floor(onset_us / 4000000) AS BIGINT) AS cell, pitch % 12 AS pc, sum(offset_us - onset_us) / 1000000.0 AS x FROM {notes} GROUP BY song_id, CAST(floor(onset_us / 4000000) AS BIGINT), pitch % 12), n AS (SELECT song_id, cell, sqrt(sum(x * x)) AS n FROM h GROUP BY song_id, cell),
- s AS (SELECT h.song_id, h.cell, t.root, t.quality, sum(h.x) / (min(n.n) * sqrt(min(t.size))) AS cos, min(t.size) AS size FROM h JOIN t ON h.pc = t.pc JOIN n ON h.song_id = n.song_id AND h.cell = n.cell GROUP BY h.song_id, h.cell, t.root, t.quality), k AS (SELECT *, 1 - cos + 0.02 * abs(size - 3) AS cost FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY song_id, cell ORDER BY round(cost, 9), root, quality) AS place FROM k)""",
-        "SELECT song_id, cell, root, quality, round(cost, 6) AS cost FROM b WHERE place = 1",
-    ),
-    "bass_checks": (
-        "b AS (SELECT song_id, CAST(floor(onset_us / 4000000) AS BIGINT) AS cell, pitch, row_number() OVER (PARTITION BY song_id, CAST(floor(onset_us / 4000000) AS BIGINT) ORDER BY pitch, note_id) AS k FROM {notes}), c AS (SELECT song_id, CAST(floor(onset_us / 4000000) AS BIGINT) AS cell, pitch % 12 AS pc, count(*) AS n FROM {notes} WHERE line > 0 GROUP BY song_id, CAST(floor(onset_us / 4000000) AS BIGINT), pitch % 12)",
-        "SELECT b.song_id, b.cell, b.pitch % 12 AS bass FROM b LEFT JOIN c ON b.song_id = c.song_id AND b.cell = c.cell AND b.pitch % 12 = c.pc WHERE b.k = 1 AND c.pc IS NULL",
-    ),
     "meter_feel": (
         """d AS (SELECT DISTINCT song_id, anchor_us FROM {clusters}), f AS (SELECT song_id, anchor_us, anchor_us % 500000 / 500000.0 AS fr, CAST(floor(anchor_us / 32000000) AS BIGINT) AS section FROM d), c AS (SELECT song_id, section, count(CASE WHEN abs(fr - 1 / 3.0) < 0.06 THEN 1 END) AS third, count(CASE WHEN abs(fr - 0.5) < 0.06 THEN 1 END) AS half, count(CASE WHEN abs(fr - 2 / 3.0) < 0.06 THEN 1 END) AS two_thirds FROM f GROUP BY song_id, section)""",
         "SELECT song_id, section, third, half, two_thirds, CASE WHEN two_thirds >= 8 AND two_thirds >= 2 * half AND third <= 0.35 * two_thirds THEN 'triplet8th' WHEN half >= 8 AND half >= 2 * two_thirds THEN 'straight' ELSE 'none' END AS feel FROM c",

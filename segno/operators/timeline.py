@@ -17,8 +17,9 @@ def asof_join(events: DataFrame, marks: DataFrame, keys: list[str], t: str, mark
     return both.select(*keys, "_event.*", name)
 
 
-def time_to_beat(events: DataFrame, beats: DataFrame, t: str = "onset_us") -> DataFrame:
-    """events + beat_pos: linear between beats; the first and last intervals go on beyond the ends."""
+def time_to_beat(events: DataFrame, beats: DataFrame, t: str = "onset_us", length: str = "") -> DataFrame:
+    """events + beat_pos: linear between beats; the first and last intervals go on beyond the ends. `length` names a column for the
+    length of the beat that holds each event."""
     w = Window.partitionBy("song_id").orderBy("t_us")
     spans = beats.select("song_id", "beat_no", "t_us", F.lead("t_us").over(w).alias("next_us")).where("next_us is not null")
     # the first interval also stands far ahead of all events, so that those before it find it
@@ -27,7 +28,8 @@ def time_to_beat(events: DataFrame, beats: DataFrame, t: str = "onset_us") -> Da
     marks = spans.select("song_id", "beat_no", "t_us", "next_us", F.explode(F.when(ahead, F.array(F.lit(None).cast("long"), F.col("t_us").cast("long"))).otherwise(F.array(F.col("t_us").cast("long")))).alias("from_us"))
     out = asof_join(events, marks, ["song_id"], t, "from_us")
     m = F.col("mark")
-    return out.select(*events.columns, (m["beat_no"] + (F.col(t) - m["t_us"]) / (m["next_us"] - m["t_us"])).alias("beat_pos"))
+    more = [(m["next_us"] - m["t_us"]).alias(length)] if length else []
+    return out.select(*events.columns, (m["beat_no"] + (F.col(t) - m["t_us"]) / (m["next_us"] - m["t_us"])).alias("beat_pos"), *more)
 
 
 def beat_to_time(points: DataFrame, beats: DataFrame) -> DataFrame:

@@ -72,19 +72,6 @@ def w30_quantize_notes(spark, d):
     return folds.quantize_notes(X.notes_ref(spark, d), families(spark, d), grid_points(spark), beats)
 
 
-def chords(spark, d):
-    h = statements.apply("chord_histograms", notes=X.notes_ref(spark, d), beats=X.beats(spark, d))
-    bass = X.notes_ref(spark, d).where("line = 0").groupBy("song_id", F.expr("onset_us div 500000").alias("beat_no")).agg((F.min("pitch") % 12).alias("bass"))
-    return folds.chord_path(h.join(bass, ["song_id", "beat_no"], "left"))
-
-
-@query()
-def w33_chord_path(spark, d):
-    """Chord segments: runs of one chord in the path."""
-    path = chords(spark, d).withColumn("chord", F.concat_ws(":", F.col("root").cast("string"), "quality"))
-    return cluster.runs_of(path, ["song_id"], "beat_no", "chord")
-
-
 @query()
 def g19_drifting_offsets(spark, d):
     bars = X.notes_ref(spark, d).select("song_id", F.expr("onset_us div 2000000").alias("bar"), "pitch")
@@ -254,16 +241,6 @@ def l12_evaluate_experiment(spark, d):
     return metrics.evaluate_arms(items(spark, d), "arm", "grp", "O")
 
 
-@query()
-def l2_apply_note_edits(spark, d):
-    """note_id, pitch, line, status after a log of deletes, pitch moves and part changes; edits that find no note are reported."""
-    n = X.notes_ref(spark, d)
-    k = F.col("note_id")
-    op = F.when(k % 10 == 0, "delete").when(k % 10 == 1, "pitch").otherwise("part")
-    edits = n.where(k % 10 < 3).select("song_id", k.alias("seq"), op.alias("op"), (F.col("onset_us") + F.when(k % 30 == 2, 500_000).otherwise(k % 7 * 1000)).alias("onset_us"), "pitch", F.when(op == "pitch", F.col("pitch") + 1).otherwise((F.col("line") + 1) % 3).cast("int").alias("to"))
-    return replay.apply_note_edits(n, edits)
-
-
 LINKS = "{}, lk AS ({})".format(*statements.text("repeat_note_links", "duckdb")).format(**T.VIEWS)
 
 
@@ -304,11 +281,11 @@ def confidence_rows(spark, d):
 
 @query()
 def m1_score_confidence(spark, d):
-    """song_id, fold, notes, mean_p, mean_y, ece: notes are scored by a model that has not seen their songs."""
-    return confidence.held_out_report(confidence_rows(spark, d), ["same_side", "rel_pitch", "is_click", "is_view", "poly"], "song_id", 3)
+    """song_id, notes, mean_p, mean_y, ece: notes are scored by a model of all other songs."""
+    return confidence.held_out_report(confidence_rows(spark, d), ["same_side", "rel_pitch", "is_click", "is_view", "poly"], "song_id")
 
 
 @query()
 def m2_part_confidence(spark, d):
     """The same model on features of a part."""
-    return confidence.held_out_report(confidence_rows(spark, d), ["ild_z", "same_side", "rel_pitch", "is_purchase"], "song_id", 2)
+    return confidence.held_out_report(confidence_rows(spark, d), ["ild_z", "same_side", "rel_pitch", "is_purchase"], "song_id")

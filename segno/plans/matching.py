@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from ..functions import scalars as S
 from ..operators import assign, cluster, match
 from ..sources import fixtures as X
-from .queries import PRF, anchored, query
+from .queries import PRF, SPANS, anchored, query
 
 KEYS = ["song_id", "pitch"]
 
@@ -52,39 +52,37 @@ def j6_match_greedy(spark, d):
     return assign.match_greedy(*both(spark, d), KEYS, 150_000)
 
 
-#: Tolerance of each ref: 50 ms, and up to 20 ms more by its id, as a tempo would change it.
-TOLERANT = """, tv AS (SELECT song_id, pitch, note_id, onset_us AS t, 50000 + note_id % 5 * 5000 AS w FROM nr), ta AS (SELECT *, row_number() OVER (PARTITION BY song_id, pitch ORDER BY t + w, note_id) AS i FROM tv),
- mt AS (SELECT DISTINCT song_id, pitch, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS r FROM ta UNION ALL
-  SELECT m.song_id, m.pitch, m.i + 1, CASE WHEN e IS NULL THEN used ELSE list_append(used, e) END, CASE WHEN e IS NULL THEN NULL ELSE rid END FROM
-  (SELECT m.*, a.note_id AS rid, (SELECT arg_min(n.note_id, n.onset_us * 10000000000 + n.note_id) FROM ne n WHERE n.song_id = m.song_id AND n.pitch = m.pitch AND abs(n.onset_us - a.t) <= a.w AND NOT list_contains(m.used, n.note_id)) AS e
-   FROM mt m JOIN ta a ON a.song_id = m.song_id AND a.pitch = m.pitch AND a.i = m.i + 1) m)"""
+def grid(name: str, notes: str) -> str:
+    """Notes on the grid for DuckDB: `name` with the first of each pitch within a tick, positions in millionths of a tick."""
+    return f""", {name}p AS MATERIALIZED (SELECT n.song_id, n.pitch, n.note_id, CAST(round((s.beat_no + (n.onset_us - s.t_us) / (s.n_us - s.t_us)) * 48 * 1000000) AS BIGINT) AS pos, CAST(round(50000 / (s.n_us - s.t_us) * 48 * 1000000) AS BIGINT) AS tol
+  FROM (SELECT x.*, greatest(onset_us, f) AS g FROM {notes} x JOIN fs USING (song_id)) n ASOF JOIN sp s ON n.song_id = s.song_id AND n.g >= s.t_us),
+ {name}a AS (SELECT song_id, pitch, min(pos) AS a FROM {name}p GROUP BY ALL UNION ALL SELECT n.song_id, n.pitch, min(n.pos) FROM {name}a k JOIN {name}p n ON k.song_id = n.song_id AND k.pitch = n.pitch AND n.pos > k.a + 1000000 GROUP BY n.song_id, n.pitch, k.a),
+ {name}f AS (SELECT n.song_id, n.pitch, min({{'p': n.pos, 'id': n.note_id, 'w': n.tol}}) AS x FROM {name}p n ASOF JOIN {name}a k ON k.song_id = n.song_id AND k.pitch = n.pitch AND n.pos >= k.a GROUP BY n.song_id, n.pitch, k.a),
+ {name} AS MATERIALIZED (SELECT n.song_id, n.pitch, n.x.id AS note_id, n.x.p AS pos, n.x.w AS w, b.bar, row_number() OVER (PARTITION BY n.song_id, n.pitch ORDER BY n.x.p, n.x.id) AS i FROM {name}f n ASOF LEFT JOIN (SELECT song_id, bar, beat_no * 48000000 AS at FROM bt WHERE beat = 1) b ON n.song_id = b.song_id AND n.x.p >= b.at)"""
 
 
-def tick_counts(spark, d):
-    ref, est = both(spark, d)
-    pairs = assign.match_intervals(ref.withColumn("w", 50_000 + F.col("note_id") % 5 * 5000), est, KEYS, 70_000, "w")
-    section = F.expr("onset_us div 30000000").alias("section")
-    r = ref.select("song_id", "note_id", section).join(pairs.select(F.col("ref_id").alias("note_id"), F.lit(1).alias("hit")), "note_id", "left")
-    e = est.select("song_id", "note_id", section).join(pairs.select(F.col("est_id").alias("note_id")), "note_id", "left_anti")
-    rows = r.select("song_id", "section", F.coalesce("hit", F.lit(0)).alias("tp"), F.lit(0).alias("fp"), (1 - F.coalesce("hit", F.lit(0))).alias("fn"))
-    rows = rows.unionByName(e.select("song_id", "section", F.lit(0).alias("tp"), F.lit(1).alias("fp"), F.lit(0).alias("fn")))
-    return rows.groupBy("song_id", "section").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+#: Every est in order takes the free ref that ends first among those that hold it.
+TICKS = SPANS + ", fs AS (SELECT song_id, min(t_us) AS f FROM sp GROUP BY 1)" + grid("gr", "nr") + grid("ge", "ne") + """,
+ mt AS (SELECT DISTINCT song_id, pitch, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS r, CAST(NULL AS BIGINT) AS e FROM ge UNION ALL
+  SELECT song_id, pitch, i + 1, CASE WHEN rid IS NULL THEN used ELSE list_append(used, rid) END, rid, eid FROM
+  (SELECT m.*, a.note_id AS eid, (SELECT arg_min(n.note_id, {'z': n.pos + n.w, 'id': n.note_id}) FROM gr n WHERE n.song_id = m.song_id AND n.pitch = m.pitch AND abs(n.pos - a.pos) <= n.w AND NOT list_contains(m.used, n.note_id)) AS rid
+   FROM mt m JOIN ge a ON a.song_id = m.song_id AND a.pitch = m.pitch AND a.i = m.i + 1) m),
+ mp AS (SELECT song_id, r, e FROM mt WHERE r IS NOT NULL)"""
 
 
-@query(TOLERANT + " SELECT song_id, pitch, count(*) AS tp FROM mt WHERE r IS NOT NULL GROUP BY ALL")
+@query(TICKS + " SELECT song_id, r AS ref_id, e AS est_id FROM mp")
 def j7_match_ticks(spark, d):
-    ref, est = both(spark, d)
-    pairs = assign.match_intervals(ref.withColumn("w", 50_000 + F.col("note_id") % 5 * 5000), est, KEYS, 70_000, "w")
-    return pairs.groupBy(*KEYS).agg(F.count("*").alias("tp"))
+    refs, _ = assign.match_ticks(*both(spark, d), X.beats(spark, d))
+    return refs.where("mate is not null").select("song_id", F.col("note_id").alias("ref_id"), F.col("mate").alias("est_id"))
 
 
-@query(TOLERANT + f""", hr AS (SELECT r FROM mt WHERE r IS NOT NULL), he AS (SELECT unnest(used) AS e FROM (SELECT used FROM mt QUALIFY row_number() OVER (PARTITION BY song_id, pitch ORDER BY i DESC) = 1)),
- sr AS (SELECT song_id, onset_us // 30000000 AS section, count(r) AS tp, count(*) - count(r) AS fn, 0 AS fp FROM nr LEFT JOIN hr ON note_id = r GROUP BY ALL), se AS (SELECT song_id, onset_us // 30000000 AS section, 0 AS tp, 0 AS fn, count(*) AS fp FROM ne WHERE note_id NOT IN (SELECT e FROM he) GROUP BY ALL),
- sx AS (SELECT song_id, section, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM (SELECT * FROM sr UNION ALL BY NAME SELECT * FROM se) GROUP BY ALL) SELECT song_id, section, tp, fp, fn, {PRF} FROM sx""")
+@query(TICKS + f""", cr AS (SELECT g.song_id, g.bar, count(r) AS tp, count(*) - count(r) AS fn, 0 AS fp FROM gr g LEFT JOIN mp ON note_id = r GROUP BY ALL UNION ALL BY NAME SELECT song_id, bar, 0 AS tp, 0 AS fn, count(*) AS fp FROM ge WHERE note_id NOT IN (SELECT e FROM mp) GROUP BY ALL),
+ sx AS (SELECT cr.song_id, sc.section, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM cr LEFT JOIN sc ON cr.song_id = sc.song_id AND cr.bar >= sc.start_bar AND cr.bar < sc.end_bar GROUP BY ALL) SELECT song_id, section, tp, fp, fn, {PRF} FROM sx""")
 def g3_tick_prf(spark, d):
     """Sections that part a song add up to its counts, since the whole song is matched first."""
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
-    return tick_counts(spark, d).select("song_id", "section", "tp", "fp", "fn", *[F.round(f(tp, fp, fn), 6).alias(n) for n, f in (("precision", S.precision), ("recall", S.recall), ("f1", S.f1))])
+    counts = assign.tick_counts(*assign.match_ticks(*both(spark, d), X.beats(spark, d)), X.sections(spark, d))
+    return counts.select("song_id", "section", "tp", "fp", "fn", *[F.round(f(tp, fp, fn), 6).alias(n) for n, f in (("precision", S.precision), ("recall", S.recall), ("f1", S.f1))])
 
 
 @query(ways(100_000, "abs(rr.z - ee.z) <= greatest(50000, 0.2 * (rr.z - rr.t))") + " SELECT song_id, sum(CAST(ceil(v / 1000000000000.0) AS BIGINT))::BIGINT AS pairs FROM bw GROUP BY 1")

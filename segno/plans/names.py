@@ -149,24 +149,6 @@ def w24_bleed_flags(spark, d):
     return g.where("n > 0").select("note_id", ((F.col("held") >= 0.5) & ~F.col("early")).alias("vocal"), ((F.col("pitch") < 45) & (F.col("cls") >= 0.6)).alias("bass"))
 
 
-@query(""", cl0 AS (SELECT song_id, (onset_us // 8000000) % 3 AS k, onset_us // 24000000 AS occ, pitch, round(onset_us % 8000000 / 2000000.0) AS pos, note_id FROM nr), hd AS (SELECT DISTINCT song_id, k, occ, pitch, pos FROM cl0), sz AS (SELECT song_id, k, occ, count(*) AS n FROM hd GROUP BY ALL),
- sm AS (SELECT a.song_id, a.k, a.occ, b.occ AS voter, count(*) AS hit FROM hd a JOIN hd b ON a.song_id = b.song_id AND a.k = b.k AND a.pitch = b.pitch AND a.pos = b.pos AND a.occ <> b.occ GROUP BY ALL), vt AS (SELECT sm.* FROM sm JOIN sz USING (song_id, k, occ) WHERE hit >= 0.1 * n), nv AS (SELECT song_id, k, occ, count(*) AS v FROM vt GROUP BY ALL HAVING count(*) >= 2),
- ms AS (SELECT vt.song_id, vt.k, vt.occ, h.pitch, h.pos, count(DISTINCT vt.voter) AS support FROM vt JOIN hd h ON h.song_id = vt.song_id AND h.k = vt.k AND h.occ = vt.voter GROUP BY ALL)
- SELECT ms.song_id, ms.k, ms.occ, ms.pitch, CAST(ms.pos AS BIGINT) AS pos, support FROM ms JOIN nv USING (song_id, k, occ) LEFT JOIN hd ON hd.song_id = ms.song_id AND hd.k = ms.k AND hd.occ = ms.occ AND hd.pitch = ms.pitch AND hd.pos = ms.pos WHERE hd.song_id IS NULL AND support >= greatest(2, ceil(0.5 * v))""")
-def w25_repeat_consensus(spark, d):
-    """Notes that an occurrence of a repeated passage lacks and enough like occurrences hold, on a grid of quarters of its bars."""
-    t = F.col("onset_us")
-    cells = X.notes_ref(spark, d).select("song_id", (F.expr("onset_us div 8000000") % 3).alias("k"), F.expr("onset_us div 24000000").alias("occ"), "pitch", F.round(t % 8_000_000 / 2_000_000.0).cast("long").alias("pos")).distinct()
-    key = ["song_id", "k", "occ"]
-    voter = cells.withColumnRenamed("occ", "voter")
-    like = cells.join(voter, ["song_id", "k", "pitch", "pos"]).where("occ <> voter").groupBy(*key, "voter").agg(F.count("*").alias("hit"))
-    votes = like.join(cells.groupBy(*key).agg(F.count("*").alias("n")), key).where("hit >= 0.1 * n").select(*key, "voter")
-    enough = votes.groupBy(*key).agg(F.count("*").alias("v")).where("v >= 2")
-    held = votes.join(voter, ["song_id", "k", "voter"]).groupBy(*key, "pitch", "pos").agg(F.count_distinct("voter").alias("support"))
-    out = held.join(enough, key).where("support >= greatest(2, ceil(0.5 * v))")
-    return out.join(cells, [*key, "pitch", "pos"], "left_anti").select(*key, "pitch", "pos", "support")
-
-
 @query(ways(200_000, "abs(rr.z - ee.z) <= greatest(50000, 0.2 * (rr.z - rr.t))") + " SELECT song_id, sum(CAST(ceil(v / 1000000000000.0) AS BIGINT))::BIGINT AS pairs FROM bw GROUP BY 1")
 def u4_component_assignment(spark, d):
     """song_id, pairs: the shared matcher of components by augmenting paths, at a wide tolerance."""

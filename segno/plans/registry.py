@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import folds, matching, more, names, readers, scores, statements, streams, surface  # noqa: F401  (they register their queries)
+from . import chords, consensus, edits, folds, matching, more, names, readers, scores, statements, streams, surface  # noqa: F401  (they register their queries)
 from .queries import ORACLES, QUERIES
 
 

@@ -12,7 +12,7 @@ NAMES = {
     "w17_f0_vote": "f0_vote", "w18_running_median": "running_median", "w19_tuning_offset": "tuning_offset", "w20_gap_fill_runs": "gap_fill_runs", "w39_best_lag": "best_lag", "w40_pair_relation": "pair_relation",
     "w1_symbolic_roles": "symbolic_roles", "w2_chord_share_roles": "chord_share_roles", "w4_part_features": "part_features", "w5_note_posteriors": "note_posteriors", "w6_seed_lines": "seed_lines", "w7_layer_signature": "layer_signature",
     "w7_layer_links": "layer_links", "w8_order_and_names": "order_parts", "w9_section_roles": "section_roles", "w10_role_view": "role_view", "w13_rule_labels": "rule_labels", "w14_solo_gate": "solo_gate", "w15_spatial_split": "spatial_split",
-    "w16_threshold_refit": "threshold_refit", "w28_quantize_costs": "quantize_costs", "w31_meter_feel": "meter_feel", "w32_chord_histograms": "chord_histograms", "w32_chord_costs": "chord_costs", "w33_bass_checks": "bass_checks",
+    "w16_threshold_refit": "threshold_refit", "w28_quantize_costs": "quantize_costs", "w31_meter_feel": "meter_feel", 
     "w36_bar_similarity_topk": "bar_similarity_topk", "w37_repeat_groups": "repeat_groups", "w38_snap_and_merge_sections": "snap_and_merge_sections", "w43_band_window_truth": "band_window_truth", "w45_exp_split_windows": "exp_split_windows",
     "w46_tuning_feasibility": "tuning_feasibility", "w47_diarize": "diarize", "g20_per_part_best": "per_part_best", "g21_downbeat_share": "downbeat_share", "g21_string_fret_agreement": "string_fret_agreement", "g21_phrase_quality": "phrase_quality",
     "g21_texture_shares": "texture_shares", "g22_evidence_per_class": "evidence_per_class", "g23_stem_bar_activity": "stem_bar_activity", "g24_estimate_presence": "estimate_presence", "g25_window_streams": "window_streams", "g25_part_count": "part_count",

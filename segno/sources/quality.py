@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor can write to."""
     checkpoint_folder(spark)
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet into the shared folder and read again: lineage ends here, and it is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/segno-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,10 @@
 """Every registered query of the note-event library gives the rows of its SQL."""
 
 from concurrent.futures import ThreadPoolExecutor
+from numbers import Number
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -17,9 +19,12 @@ def canonical(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
 
     def one(v):
-        if pd.api.types.is_scalar(v):
-            return None if pd.isna(v) else round(float(v), 6) if isinstance(v, float) else v
-        return list(v)
+        """Every number as a float, whatever type holds it, so that both sides sort alike."""
+        if not pd.api.types.is_scalar(v):
+            return [one(x) for x in v]
+        if pd.isna(v):
+            return None
+        return v if isinstance(v, (bool, np.bool_)) or not isinstance(v, Number) else round(float(v), 6) + 0.0
 
     return sorted((tuple(one(v) for v in row) for row in df.itertuples(index=False)), key=repr)
 
