@@ -323,11 +323,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without near-duplicates: of each class the row with the least doc_id, once (of several rows of that
-    id the one whose text sorts first), and every row with a null doc_id, which is compared with none."""
-    kept = near_duplicates(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    held = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").select(F.struct(*docs.columns).alias("row"))
+    """The documents without near-duplicates: of each class one row, that of the least doc_id (of equal rows of that id and text one), and
+    every row with a null doc_id, which is compared with none. Rows that share a doc_id and have different texts are compared as different
+    documents, after those whose doc_id names one text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"))
+    several = written(hashed.groupBy("id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("id"), "several")
+    rows = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    node = F.col("id")
+    if not several.isEmpty():
+        rows = rows.join(several.withColumn("more", F.lit(True)), "id", "left")
+        own = F.lit(1 << 62) + F.pmod(F.xxhash64("id", F.coalesce("row.text", F.lit(""))), F.lit(1 << 61))
+        node = F.when(F.col("more"), own).otherwise(node)
+    rows = rows.select(node.alias("node"), "row")
+    kept = near_duplicates(rows.select(F.col("node").alias("doc_id"), F.col("row.text").alias("text")), threshold).where("doc_id = class_id").select(F.col("doc_id").alias("node")).distinct()
     ties = F.xxhash64(*[F.col(f"row.{c}") for c, kind in docs.dtypes if "map<" not in kind])
-    first = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.col("row.text").asc_nulls_first(), ties))
-    held = held.withColumn("place", first).where("place = 1").select("row.*")
+    first = F.row_number().over(Window.partitionBy("node").orderBy(F.col("row.text").asc_nulls_first(), ties))
+    held = rows.join(kept, "node", "left_semi").withColumn("place", first).where("place = 1").select("row.*")
     return held.unionByName(docs.where("doc_id is null"))

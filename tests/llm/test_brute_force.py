@@ -9,6 +9,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from segno.llm import decontam, lm_score, neardup, passages, pieces, pii, quality, registry, secret_scan, textnum, topk, toxicity
@@ -326,6 +327,17 @@ def test_op10_keeps_rows_without_an_id_and_one_row_of_each_class(spark):
     assert [g[0] for g in got] == [0, 0, 1, 3, 4] and {g[1] for g in got if not g[0]} == {"d", "e"} and kept.columns == docs.columns
 
 
+def test_op10_keeps_different_texts_of_one_id(spark):
+    r = random.Random(44)
+    t, u = prose(r, 60), prose(r, 60)
+    rows = [(1, "a b c d e f g"), (1, "totally other words stand in this row"), (1, "a b c d e f g"), (2, t), (3, t), (3, u), (4, edited(r, u, 80)), (5, "a b c d e f g")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1, 1, "n") for i, x in rows], DOCS)
+    kept = Counter(x.text for x in neardup.one_of_each(docs).collect())
+    # the near copy with an id of its own stays in place of the text whose id names two
+    assert kept == Counter({"totally other words stand in this row": 1, "a b c d e f g": 1, t: 1, rows[6][1]: 1})
+    assert {x.doc_id for x in neardup.one_of_each(docs).where(F.col("text").isin("a b c d e f g", t)).collect()} == {5, 2}
+
+
 # the pipeline
 
 
