@@ -46,6 +46,18 @@ def paired_bootstrap(items: DataFrame, by: list[str], group: str, reps: int = 20
     return point.join(ci, by).select(*by, *[F.round(c, 6).alias(c) for c in ("delta", "low", "high")])
 
 
+def compare_runs(a: DataFrame, b: DataFrame, reps: int = 200) -> DataFrame:
+    """metric, scenario, items, delta, low, high, mixed_rungs of F1(b) - F1(a) over the items that both runs have, over all of them and by scenario; groups
+    of items are drawn together. a, b: metric, item, group, scenario, rung, tp, fp, fn; scenario and group are those of a, and
+    mixed_rungs counts the items whose rungs differ."""
+    facts = ["tp", "fp", "fn"]
+    own = a.select("metric", "item", "group", "scenario", F.col("rung").alias("_ra"), *[F.col(c).alias(f"{c}_a") for c in facts])
+    common = own.join(b.select("metric", "item", F.col("rung").alias("_rb"), *[F.col(c).alias(f"{c}_b") for c in facts]), ["metric", "item"])
+    rows = common.withColumn("scenario", F.explode(F.array(F.lit("all"), F.col("scenario")))).where("scenario is not null")
+    sizes = rows.groupBy("metric", "scenario").agg(F.count("*").alias("items"), F.count_if(~F.col("_ra").eqNullSafe(F.col("_rb"))).alias("mixed_rungs"))
+    return sizes.join(paired_bootstrap(rows, ["metric", "scenario"], "group", reps), ["metric", "scenario"]).select("metric", "scenario", "items", "delta", "low", "high", "mixed_rungs")
+
+
 def best_offset(ref: DataFrame, est: DataFrame, reach: int = 8) -> DataFrame:
     """song_id, offset, tp, f1: the bar offset with the best overlap of (bar, pitch) bags; the first of equals.
 

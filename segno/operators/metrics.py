@@ -74,7 +74,7 @@ def evaluate_arms(items: DataFrame, arm: str, group: str, baseline: str, least:
     the first) is confirmed on odd groups by a bootstrap of group draws over its gain."""
     facts = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
     dev = items.where(F.col(group) % 2 == 0).groupBy(arm).agg(*facts).select(F.col(arm).alias("arm"), F.round(f1(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("dev_f1"))
-    best = dev.where(F.col("arm") != baseline).agg(F.max_by("arm", F.struct("dev_f1", "arm")).alias("best"))
+    best = dev.where(F.col("arm") != baseline).agg(F.min_by("arm", F.struct(-F.col("dev_f1"), "arm")).alias("best"))
     test = items.where(F.col(group) % 2 == 1).crossJoin(F.broadcast(best)).where((F.col(arm) == baseline) | (F.col(arm) == F.col("best")))
     side = lambda c, base: F.sum(F.when((F.col(arm) == baseline) == F.lit(base), F.col(c)).otherwise(0))
     both = test.groupBy(group).agg(*[side(c, x == "a").alias(f"{c}_{x}") for x in "ab" for c in ("tp", "fp", "fn")]).withColumn("_all", F.lit(1))

@@ -83,14 +83,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         FRAMES + ", g AS (SELECT song_id, frame, x, frame - row_number() OVER (PARTITION BY song_id ORDER BY frame) AS run FROM fv WHERE n = 1 AND x IS NOT NULL), r AS (SELECT song_id, run, min(frame) AS first, max(frame) AS last, count(*) AS n, PCT(x, 0.5) AS med FROM g GROUP BY song_id, run), q AS (SELECT r.song_id, r.run, r.first, r.last, r.n, r.med, avg(CASE WHEN abs(x - med) <= 6 THEN 1.0 ELSE 0.0 END) AS near FROM r JOIN g ON r.song_id = g.song_id AND r.run = g.run GROUP BY r.song_id, r.run, r.first, r.last, r.n, r.med)",
         "SELECT song_id, first, last, n, CAST(round(med) AS INT) AS pitch FROM q WHERE n >= 2 AND near >= 0.9",
     ),
-    "best_lag": (
-        """f AS (SELECT song_id, line, CAST(floor(onset_us / 2000000) AS BIGINT) AS frame, CAST(count(*) AS DOUBLE) AS x FROM {notes} WHERE line < 2 GROUP BY song_id, line, CAST(floor(onset_us / 2000000) AS BIGINT)),
- e AS (SELECT song_id, line, sqrt(sum(x * x)) AS e FROM f GROUP BY song_id, line), a AS (SELECT song_id, frame, x, SEQ(-8, 8) AS lag FROM f WHERE line = 0),
- c AS (SELECT a.song_id, a.lag, sum(a.x * b.x) AS dot FROM a JOIN f b ON a.song_id = b.song_id AND b.line = 1 AND b.frame = a.frame + a.lag GROUP BY a.song_id, a.lag),
- s AS (SELECT c.song_id, c.lag, round(dot / (e0.e * e1.e), 9) AS r FROM c JOIN e e0 ON c.song_id = e0.song_id AND e0.line = 0 JOIN e e1 ON c.song_id = e1.song_id AND e1.line = 1),
- k AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY r DESC, abs(lag), lag) AS place FROM s), n AS (SELECT k.song_id, k.lag, k.r, lo.r AS rl, hi.r AS rh, oth.r AS second FROM k LEFT JOIN s lo ON k.song_id = lo.song_id AND lo.lag = k.lag - 1 LEFT JOIN s hi ON k.song_id = hi.song_id AND hi.lag = k.lag + 1 LEFT JOIN k oth ON k.song_id = oth.song_id AND oth.place = 2 WHERE k.place = 1)""",
-        "SELECT song_id, lag, round(r, 6) AS r, round(r / second, 6) AS peak_ratio, round(lag + CASE WHEN rl IS NULL OR rh IS NULL OR rl - 2 * r + rh = 0 THEN 0 ELSE 0.5 * (rl - rh) / (rl - 2 * r + rh) END, 6) AS refined FROM n",
-    ),
     "pair_relation": (
         """f AS (SELECT song_id, line, CAST(floor(onset_us / 2000000) AS BIGINT) AS frame, CAST(count(*) AS DOUBLE) AS x FROM {notes} GROUP BY song_id, line, CAST(floor(onset_us / 2000000) AS BIGINT)), c AS (SELECT song_id, line, pitch % 12 AS pc, CAST(count(*) AS DOUBLE) AS x FROM {notes} GROUP BY song_id, line, pitch % 12),
  j AS (SELECT a.song_id, a.line AS a, b.line AS b, count(*) AS joint, sum(a.x * b.x) AS dot FROM f a JOIN f b ON a.song_id = b.song_id AND a.frame = b.frame AND a.line < b.line GROUP BY a.song_id, a.line, b.line), n AS (SELECT song_id, line, count(*) AS n, sqrt(sum(x * x)) AS e FROM f GROUP BY song_id, line),
@@ -108,23 +100,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "a AS (SELECT *, (note_id % 41 - 20) / 2.0 AS ild FROM {notes}), s AS (SELECT song_id, line, avg(ild) AS m, stddev_pop(ild) AS sd, avg(pitch) AS mp FROM a GROUP BY song_id, line)",
         "SELECT a.note_id, round(CASE WHEN sd > 0 THEN (ild - m) / sd ELSE 0 END, 6) AS ild_z, CASE WHEN ild * m > 0 THEN 1 ELSE 0 END AS same_side, round(pitch - mp, 6) AS rel_pitch, CASE WHEN instrument = 'click' THEN 1 ELSE 0 END AS is_click, CASE WHEN instrument = 'view' THEN 1 ELSE 0 END AS is_view, CASE WHEN instrument = 'purchase' THEN 1 ELSE 0 END AS is_purchase, count(*) OVER (PARTITION BY a.song_id ORDER BY onset_us RANGE BETWEEN 30000 PRECEDING AND 30000 FOLLOWING) AS poly FROM a JOIN s ON a.song_id = s.song_id AND a.line = s.line",
     ),
-    "line_profiles": (
-        STRUMS + """, cl0 AS (SELECT DISTINCT song_id, instrument FROM {notes}), ln AS (SELECT song_id, line, count(*) AS seeds, avg((note_id % 41 - 20) / 20.0) AS position, avg(CASE WHEN chord THEN -1.0 WHEN lead THEN 1.0 ELSE 0.0 END) AS role FROM ro GROUP BY song_id, line),
- ct AS (SELECT song_id, line, instrument, count(*) AS c FROM ro GROUP BY song_id, line, instrument), tt AS (SELECT song_id, count(*) AS total FROM ro GROUP BY song_id), nk AS (SELECT song_id, count(*) AS k FROM cl0 GROUP BY song_id)""",
-        "SELECT ln.song_id, ln.line, cl0.instrument, ln.seeds, round(position, 6) AS position, round(role, 6) AS role, round((coalesce(c, 0) + 1) / (ln.seeds + k), 6) AS class_share, round(ln.seeds / total, 6) AS share FROM ln JOIN cl0 ON ln.song_id = cl0.song_id JOIN nk ON ln.song_id = nk.song_id JOIN tt ON ln.song_id = tt.song_id LEFT JOIN ct ON ln.song_id = ct.song_id AND ln.line = ct.line AND cl0.instrument = ct.instrument",
-    ),
-    "seed_lines": (
-        STRUMS + ", ev AS (SELECT song_id, count(CASE WHEN chord THEN 1 END) AS chords, count(CASE WHEN lead THEN 1 END) AS leads FROM ro GROUP BY song_id), ic AS (SELECT song_id, instrument, row_number() OVER (PARTITION BY song_id ORDER BY count(*) DESC, instrument) AS place FROM {notes} GROUP BY song_id, instrument)",
-        "SELECT ro.song_id, ro.note_id, CASE WHEN chords > 0 AND leads > 0 THEN CASE WHEN chord THEN 'rhythm' WHEN lead THEN 'lead' END WHEN place <= 2 THEN ro.instrument END AS seed FROM ro JOIN ev ON ro.song_id = ev.song_id JOIN ic ON ro.song_id = ic.song_id AND ro.instrument = ic.instrument",
-    ),
-    "note_posteriors": (
-        STRUMS + """, tl AS (SELECT DISTINCT song_id, instrument FROM {notes}), nk AS (SELECT song_id, count(*) AS k FROM tl GROUP BY song_id), pr AS (SELECT song_id, line, count(*) AS n, avg(CASE WHEN chord THEN -1.0 WHEN lead THEN 1.0 ELSE 0.0 END) AS role FROM ro GROUP BY song_id, line), tt AS (SELECT song_id, count(*) AS total FROM ro GROUP BY song_id),
- ct AS (SELECT song_id, line, instrument, count(*) AS c FROM ro GROUP BY song_id, line, instrument),
- sc0 AS (SELECT ro.song_id, ro.note_id, ro.anchor_us, ro.instrument, ro.peel, ro.size, pr.line, 2.0 * CASE WHEN chord THEN -1.0 WHEN lead THEN 1.0 ELSE 0.0 END * pr.role + ln((coalesce(c, 0) + 1.0) / (pr.n + k)) + 0.5 * ln(pr.n / total) AS z FROM ro JOIN pr ON ro.song_id = pr.song_id JOIN nk ON ro.song_id = nk.song_id JOIN tt ON ro.song_id = tt.song_id LEFT JOIN ct ON ct.song_id = ro.song_id AND ct.line = pr.line AND ct.instrument = ro.instrument),
- gs AS (SELECT *, CASE WHEN NOT peel AND size > 1 THEN sum(CASE WHEN peel THEN 0 ELSE z END) OVER (PARTITION BY song_id, anchor_us, instrument, line) ELSE z END AS g FROM sc0), mx AS (SELECT *, max(g) OVER (PARTITION BY note_id) AS top FROM gs),
- po0 AS (SELECT song_id, note_id, line, exp(g - top) / sum(exp(g - top)) OVER (PARTITION BY note_id) AS p FROM mx), bt0 AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY round(p, 9) DESC, line) AS place FROM po0)""",
-        "SELECT song_id, note_id, CASE WHEN p >= 0.4 THEN line END AS line, round(p, 6) AS p, p < 0.6 AS amber FROM bt0 WHERE place = 1",
-    ),
     "order_parts": (
         STRUMS + """, rn AS (SELECT ro.*, CAST(floor(ro.onset_us / 2000000) AS BIGINT) AS bar FROM ro), ic AS (SELECT song_id, line, instrument, count(*) AS c, row_number() OVER (PARTITION BY song_id, line ORDER BY count(*) DESC, instrument) AS place FROM rn GROUP BY song_id, line, instrument),
  pt AS (SELECT song_id, line, count(*) AS notes, count(DISTINCT bar) AS bars, min(onset_us) AS first_us, avg(CASE WHEN chord THEN 1.0 ELSE 0.0 END) AS chord, avg(CASE WHEN lead THEN 1.0 ELSE 0.0 END) AS lead, avg(CASE WHEN size = 1 THEN 1.0 ELSE 0.0 END) AS single, PCT(pitch, 0.5) AS med FROM rn GROUP BY song_id, line),
@@ -141,57 +116,19 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "c AS (SELECT p.song_id, s.section, p.line, count(*) AS n, avg(CASE WHEN p.pitch < 52 THEN 1.0 ELSE 0.0 END) AS low FROM {placed} p JOIN {sections} s ON p.song_id = s.song_id AND p.bar >= s.start_bar AND p.bar < s.end_bar GROUP BY p.song_id, s.section, p.line), g AS (SELECT *, CASE WHEN low >= 0.5 THEN 'Rhythm' ELSE 'Lead' END AS base FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY song_id, section, base ORDER BY n DESC, line) AS place FROM g)",
         "SELECT song_id, section, line, n, CASE WHEN place = 1 THEN base ELSE concat(base, ' ', CAST(place AS VARCHAR(9))) END AS track FROM k",
     ),
-    "layer_signature": (
-        STRUMS + ", w0 AS (SELECT ro.*, v.w FROM ro JOIN {windowed} v ON ro.note_id = v.note_id)",
-        "SELECT song_id, w, line, round(PCT(pitch, 0.5), 6) AS pitch, round(avg(CASE WHEN chord THEN 1.0 ELSE 0.0 END), 6) AS chord, round(avg(CASE WHEN lead THEN 1.0 ELSE 0.0 END), 6) AS lead, round(count(*) / 8.0, 6) AS density, round(avg(CASE WHEN instrument = 'click' THEN 1.0 ELSE 0.0 END), 6) AS click FROM w0 GROUP BY song_id, w, line",
-    ),
-    "layer_links": (
-        """g AS (SELECT song_id, w, line, PCT(pitch, 0.5) AS pitch, count(*) / 8.0 AS density, avg(CASE WHEN instrument = 'click' THEN 1.0 ELSE 0.0 END) AS click FROM {windowed} GROUP BY song_id, w, line),
- d AS (SELECT a.song_id, b.w, a.line AS a, b.line AS b, abs(a.pitch - b.pitch) / 7.0 + abs(ln((a.density + 0.05) / (b.density + 0.05))) + abs(a.click - b.click) AS dist FROM g a JOIN g b ON a.song_id = b.song_id AND b.w = a.w + 1),
- r AS (SELECT *, row_number() OVER (PARTITION BY song_id, w, a ORDER BY round(dist, 9), b) AS ka, row_number() OVER (PARTITION BY song_id, w, b ORDER BY round(dist, 9), a) AS kb FROM d)""",
-        "SELECT song_id, w, a, b, round(1 - dist / 4.0, 6) AS strength FROM r WHERE ka = 1 AND kb = 1 AND dist < 4",
-    ),
-    "window_streams": (
-        STRUMS + """, w0 AS (SELECT ro.*, v.w, v.label FROM ro JOIN {windowed} v ON ro.note_id = v.note_id), wt AS (SELECT song_id, w, min(label) AS label, count(*) AS n, count(CASE WHEN chord THEN 1 END) AS chords, count(CASE WHEN lead THEN 1 END) AS leads FROM w0 GROUP BY song_id, w),
- wc AS (SELECT song_id, w, instrument, count(*) AS c, row_number() OVER (PARTITION BY song_id, w ORDER BY count(*) DESC, instrument) AS place FROM w0 GROUP BY song_id, w, instrument),
- c1 AS (SELECT DISTINCT w0.song_id, w0.w, CAST(floor(onset_us / 2000000) AS BIGINT) AS cell FROM w0 JOIN wc ON w0.song_id = wc.song_id AND w0.w = wc.w AND w0.instrument = wc.instrument AND wc.place = 1),
- c2 AS (SELECT w0.song_id, w0.w, max(wc.c) AS second, count(c1.cell) AS together FROM w0 JOIN wc ON w0.song_id = wc.song_id AND w0.w = wc.w AND w0.instrument = wc.instrument AND wc.place = 2 LEFT JOIN c1 ON w0.song_id = c1.song_id AND w0.w = c1.w AND CAST(floor(w0.onset_us / 2000000) AS BIGINT) = c1.cell GROUP BY w0.song_id, w0.w)""",
-        "SELECT wt.song_id, wt.w, n, CASE WHEN n < 4 THEN 0 WHEN coalesce(second, 0) >= 2 AND together >= second / 2.0 THEN 2 ELSE 1 END AS by_class, CASE WHEN n < 4 THEN 0 WHEN least(chords, leads) >= 2 THEN 2 ELSE 1 END AS symbolic FROM wt LEFT JOIN c2 ON wt.song_id = c2.song_id AND wt.w = c2.w",
-    ),
-    "part_count": (
-        "c AS (SELECT song_id, w, instrument, count(*) AS n FROM {windowed} GROUP BY song_id, w, instrument), t AS (SELECT song_id, w, count(CASE WHEN n >= 2 THEN 1 END) AS k FROM c GROUP BY song_id, w), s AS (SELECT song_id, count(CASE WHEN k >= 2 THEN 1 END) AS two, count(DISTINCT CASE WHEN k >= 2 THEN CAST(floor(w / 4) AS BIGINT) END) AS sections FROM t GROUP BY song_id), m AS (SELECT *, CASE WHEN sections < 2 THEN least(two - 3 + 0.5, -0.5) ELSE two - 3 + 0.5 END AS margin FROM s)",
-        "SELECT song_id, two, sections, round(CASE WHEN two > 0 THEN 1 / (1 + exp(-margin)) ELSE 0 END, 6) AS p2, CASE WHEN two > 0 AND margin > 0 THEN 2 ELSE 1 END AS k FROM m",
-    ),
-    "diarize": (
-        "c AS (SELECT song_id, line, count(*) AS n, count(DISTINCT CAST(floor(onset_us / 2000000) AS BIGINT)) AS bars, min(onset_us) AS f FROM {notes} GROUP BY song_id, line), k AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY bars DESC, n DESC, f, line) AS main FROM c WHERE n >= 8), r AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY CASE WHEN main = 1 THEN 0 ELSE 1 END, f, line) AS part, count(*) OVER (PARTITION BY song_id) AS parts FROM k)",
-        "SELECT n.song_id, n.note_id, r.part, r.parts FROM {notes} n LEFT JOIN r ON n.song_id = r.song_id AND n.line = r.line",
-    ),
     "spatial_split": (
         "a AS (SELECT *, (note_id % 41 - 20) / 2.0 AS ild, (note_id % 17) / 16.0 AS coh FROM {windowed})",
         "SELECT song_id, note_id, CASE WHEN label = 'R3' AND ild >= 0 THEN 'L' WHEN label = 'R3' THEN 'R' WHEN label = 'R2' AND coh < 0.5 THEN 'L,R' WHEN label = 'R2' THEN 'centre' ELSE 'all' END AS lines FROM a",
     ),
-    "rule_labels": (
-        "f AS (SELECT song_id, w, avg((note_id % 41 - 20) / 2.0) AS ild, stddev_pop((note_id % 41 - 20) / 2.0) AS spread, avg(pitch) AS p, count(*) AS n FROM {windowed} GROUP BY song_id, w), s AS (SELECT song_id, w, least((spread - 5) / 2, n - 3) AS r3, least(1 - abs(ild) / 4, (n - 2) / 4.0) AS r2, greatest((p - 55) / 6, (3 - n) / 2.0) AS r1 FROM f), l AS (SELECT song_id, w, 'R1' AS label, r1 AS score FROM s UNION ALL SELECT song_id, w, 'R2', r2 FROM s UNION ALL SELECT song_id, w, 'R3', coalesce(r3, -10) FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY song_id, w ORDER BY round(score, 9) DESC, label) AS place, exp(score) / sum(exp(score)) OVER (PARTITION BY song_id, w) AS p, lead(score) OVER (PARTITION BY song_id, w ORDER BY round(score, 9) DESC, label) AS next FROM l)",
-        "SELECT song_id, w, CASE WHEN round(score, 9) > 0 THEN label ELSE 'mixed' END AS label, round(p, 6) AS p, round(score - next, 6) AS margin FROM k WHERE place = 1",
-    ),
     "solo_gate": (
         "f AS (SELECT song_id, w, min(label) AS label, avg(pitch) AS rise, count(CASE WHEN instrument = 'error' THEN 1 END) AS vocal, count(*) AS n FROM {windowed} GROUP BY song_id, w), m AS (SELECT song_id, PCT(CASE WHEN label = 'R2' THEN rise END, 0.5) AS med FROM f GROUP BY song_id)",
         "SELECT f.song_id, w, coalesce(rise >= med + 2, FALSE) AND vocal * 3 < n AS solo FROM f JOIN m ON f.song_id = m.song_id",
     ),
-    "threshold_refit": (
-        "f AS (SELECT song_id, w, min(label) AS label, avg(pitch) AS x FROM {windowed} GROUP BY song_id, w), q AS (SELECT PCT(x, 0.25) AS a, PCT(x, 0.5) AS b, PCT(x, 0.75) AS c FROM f), t AS (SELECT a AS t FROM q UNION ALL SELECT b FROM q UNION ALL SELECT c FROM q UNION ALL SELECT 52.0), e AS (SELECT t, label = 'R3' AS y, avg(CASE WHEN (x >= t) = (label = 'R3') THEN 1.0 ELSE 0.0 END) AS acc FROM f, t GROUP BY t, label = 'R3'), s AS (SELECT t, round(avg(acc), 9) AS macro FROM e GROUP BY t), k AS (SELECT *, row_number() OVER (ORDER BY macro DESC, abs(t - 52), t) AS place FROM s)",
-        "SELECT round(t, 6) AS threshold, round(macro, 6) AS macro FROM k WHERE place = 1",
-    ),
     "band_window_truth": (
         "e AS (SELECT song_id, w, sum(offset_us - onset_us) AS total, sum(CASE WHEN line = 0 THEN offset_us - onset_us ELSE 0 END) AS a, sum(CASE WHEN line = 1 THEN offset_us - onset_us ELSE 0 END) AS b FROM {windowed} GROUP BY song_id, w)",
         "SELECT song_id, w, CASE WHEN a >= 0.8 * total THEN 'first' WHEN b >= 0.8 * total THEN 'second' WHEN a + b >= 0.8 * total THEN 'both' ELSE 'mixed' END AS truth, round(a / total, 6) AS share FROM e",
     ),
     "exp_split_windows": ("e AS (SELECT song_id, max(offset_us) AS z FROM {notes} GROUP BY song_id), c AS (SELECT song_id, z, SEQ(0, CAST(ceil(z / 2000000) AS BIGINT) - 1) AS cell FROM e)", "SELECT song_id, cell, cell * 2000000 AS start_us, least((cell + 1) * 2000000, z) AS end_us, CAST(floor(cell * 4 / ceil(z / 2000000)) AS INT) AS zone FROM c"),
-    "tuning_feasibility": (
-        """h AS (SELECT 'standard' AS tuning, 40 AS o1, 45 AS o2, 50 AS o3, 55 AS o4, 59 AS o5, 64 AS o6 UNION ALL SELECT 'half_down', 39, 44, 49, 54, 58, 63 UNION ALL SELECT 'drop_d', 38, 45, 50, 55, 59, 64 UNION ALL SELECT 'bass', 28, 33, 38, 43, 43, 43), n AS (SELECT song_id, pitch, count(*) AS c FROM {notes} GROUP BY song_id, pitch),
- p AS (SELECT n.song_id, h.tuning, n.c, n.pitch - o1 BETWEEN 0 AND 24 OR n.pitch - o2 BETWEEN 0 AND 24 OR n.pitch - o3 BETWEEN 0 AND 24 OR n.pitch - o4 BETWEEN 0 AND 24 OR n.pitch - o5 BETWEEN 0 AND 24 OR n.pitch - o6 BETWEEN 0 AND 24 AS fits FROM n CROSS JOIN h)""",
-        "SELECT song_id, tuning, round(sum(CASE WHEN fits THEN 0 ELSE c END) / sum(c), 6) AS unplayable FROM p GROUP BY song_id, tuning",
-    ),
     "bar_similarity_topk": (
         """b AS (SELECT song_id, CAST(floor(onset_us / 8000000) AS BIGINT) AS bar, pitch % 12 AS pc, CAST(count(*) AS DOUBLE) AS x FROM {notes} GROUP BY song_id, CAST(floor(onset_us / 8000000) AS BIGINT), pitch % 12), k AS (SELECT DISTINCT song_id, bar FROM b), pc AS (SELECT DISTINCT song_id, pc FROM b),
  g AS (SELECT k.song_id, k.bar, pc.pc, coalesce(x, 0) AS x FROM k JOIN pc ON k.song_id = pc.song_id LEFT JOIN b ON b.song_id = k.song_id AND b.bar = k.bar AND b.pc = pc.pc), m AS (SELECT song_id, pc, avg(x) AS m, stddev_pop(x) AS s FROM g GROUP BY song_id, pc),
@@ -353,10 +290,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     ),
     # edits, runs and catalogue
     "import_predictions": ("m AS (SELECT 0 AS track, 'L1' AS line UNION ALL SELECT 1, 'L2')", "SELECT e.song_id, e.note_id, coalesce(m.line, concat('T', CAST(e.line AS VARCHAR(9)))) AS line FROM {est} e LEFT JOIN m ON e.line = m.track"),
-    "compare_runs": (
-        "a AS (SELECT song_id, count(*) AS n, count(CASE WHEN line = 0 THEN 1 END) AS k FROM {notes} GROUP BY song_id), b AS (SELECT song_id, count(*) AS n, count(CASE WHEN line = 0 THEN 1 END) AS k FROM {est} GROUP BY song_id), j AS (SELECT a.song_id, CASE WHEN a.song_id % 2 = 0 THEN 'even' ELSE 'odd' END AS scenario, a.k / a.n AS x, b.k / b.n AS y FROM a JOIN b ON a.song_id = b.song_id), s AS (SELECT 'all' AS scenario, x, y FROM j UNION ALL SELECT scenario, x, y FROM j)",
-        "SELECT scenario, count(*) AS items, round(avg(y) - avg(x), 9) AS delta, round(avg(y - x) - 1.96 * stddev_pop(y - x) / sqrt(count(*)), 9) AS low, round(avg(y - x) + 1.96 * stddev_pop(y - x) / sqrt(count(*)), 9) AS high FROM s GROUP BY scenario",
-    ),
     "summary_card": (
         "n AS (SELECT song_id, count(*) AS notes, count(CASE WHEN line = 0 THEN 1 END) AS p0, count(CASE WHEN line = 1 THEN 1 END) AS p1, count(CASE WHEN line = 2 THEN 1 END) AS p2, count(CASE WHEN offset_us - onset_us < 60000 THEN 1 END) AS warnings FROM {notes} GROUP BY song_id), t AS (SELECT song_id, lead(t_us) OVER (PARTITION BY song_id ORDER BY t_us) - t_us AS iv FROM {beats}), m AS (SELECT song_id, round(60000000 / PCT(iv, 0.5), 4) AS bpm FROM t GROUP BY song_id), s AS (SELECT song_id, label, sum(end_bar - start_bar) AS bars, row_number() OVER (PARTITION BY song_id ORDER BY sum(end_bar - start_bar) DESC, label) AS k FROM {sections} GROUP BY song_id, label)",
         "SELECT n.song_id, notes, p0, p1, p2, warnings, bpm, s.label AS longest FROM n JOIN m ON n.song_id = m.song_id JOIN s ON n.song_id = s.song_id AND s.k = 1",

@@ -74,6 +74,26 @@ def g13_paired_bootstrap(spark, d):
     return measures.paired_bootstrap(both.groupBy("instrument", "song_id").agg(*facts), ["instrument"], "song_id")
 
 
+@query(""", it AS (SELECT instrument AS metric, song_id * 10 + line AS item, song_id AS grp, CASE WHEN song_id % 2 = 0 THEN 'even' ELSE 'odd' END AS scenario, count_if(a AND pitch % 3 = 0) AS ta, count_if(a AND pitch % 3 = 1) AS pa, count_if(a AND pitch % 3 = 2) AS na, count_if(NOT a AND pitch % 3 = 0) AS tb,
+  count_if(NOT a AND pitch % 3 = 1) AS pb, count_if(NOT a AND pitch % 3 = 2) AS nb FROM (SELECT *, true AS a FROM nr UNION ALL SELECT *, false FROM ne) GROUP BY ALL HAVING count_if(a) > 0 AND count_if(NOT a) > 0),
+ sc3 AS (SELECT * REPLACE ('all' AS scenario) FROM it UNION ALL SELECT * FROM it), gr AS (SELECT metric, scenario, grp, sum(ta) AS ta, sum(pa) AS pa, sum(na) AS na, sum(tb) AS tb, sum(pb) AS pb, sum(nb) AS nb FROM sc3 GROUP BY ALL),
+ tt AS (SELECT *, row_number() OVER (PARTITION BY metric, scenario ORDER BY grp) - 1 AS place, count(*) OVER (PARTITION BY metric, scenario) AS n FROM gr), dr AS (SELECT metric, scenario, rep, ('0x' || substr(sha256('20260930:' || rep || ':' || place), 1, 8))::BIGINT % n AS pick FROM tt, range(200) AS r(rep)),
+ ea AS (SELECT metric, scenario, rep, 2 * sum(tb) / (2 * sum(tb) + sum(pb) + sum(nb)) - 2 * sum(ta) / (2 * sum(ta) + sum(pa) + sum(na)) AS x FROM dr JOIN tt USING (metric, scenario) WHERE place = pick GROUP BY ALL),
+ po AS (SELECT metric, scenario, count(*) AS items, 2 * sum(tb) / (2 * sum(tb) + sum(pb) + sum(nb)) - 2 * sum(ta) / (2 * sum(ta) + sum(pa) + sum(na)) AS delta, count_if(item % 4 = 1) AS mixed FROM sc3 GROUP BY ALL)
+ SELECT metric, scenario, any_value(items) AS items, round(any_value(delta), 6) AS delta, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, any_value(mixed) AS mixed_rungs FROM ea JOIN po USING (metric, scenario) GROUP BY ALL""")
+def l13_compare_runs(spark, d):
+    """Two runs over songs and lines: the reference notes and their corruption."""
+
+    def run(notes, rung):
+        item = (F.col("song_id") * 10 + F.col("line")).alias("item")
+        scenario = F.when(F.col("song_id") % 2 == 0, "even").otherwise("odd")
+        facts = [F.count_if(F.col("pitch") % 3 == k).alias(c) for k, c in enumerate(("tp", "fp", "fn"))]
+        return notes.groupBy(F.col("instrument").alias("metric"), item, F.col("song_id").alias("group"), scenario.alias("scenario")).agg(*facts).withColumn("rung", rung)
+
+    b = F.when(F.col("item") % 4 == 1, "other").otherwise("same")
+    return measures.compare_runs(run(X.notes_ref(spark, d), F.lit("same")), run(X.notes_est(spark, d), b))
+
+
 @query(" SELECT CASE WHEN grouping(song_id) = 1 THEN -1 ELSE song_id END AS song_id, CASE WHEN grouping(instrument) = 1 THEN '*' ELSE instrument END AS instrument, count(*) AS n FROM nr GROUP BY GROUPING SETS ((song_id, instrument), (song_id), (instrument), ())")
 def g29_cause_matrix(spark, d):
     song = F.when(F.grouping("song_id") == 1, -1).otherwise(F.col("song_id")).alias("song")

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 
 from ..functions import names as N
 from ..functions import scalars as S
-from ..operators import assign, measures, metrics, timeline
+from ..operators import assign, contours, measures, metrics, timeline
 from ..sources import fixtures as X
 from .matching import ways
 from .queries import ITEMS, items, query
@@ -158,31 +158,19 @@ def u4_component_assignment(spark, d):
 
 @query()
 def w22_glide_metrics(spark, d):
-    """song_id, note_id, next_id, step_st, cross, slope: of note pairs a second apart or less, the largest step of the pitch frames between
-    them, how many of those frames cross the middle half, and the slope of the frames."""
-    w = Window.partitionBy("song_id", "line").orderBy("onset_us", "note_id")
-    n = X.notes_ref(spark, d)
-    pairs = n.select("song_id", "note_id", "pitch", "onset_us", F.lead("note_id").over(w).alias("next_id"), F.lead("pitch").over(w).alias("p2"), F.lead("onset_us").over(w).alias("t2")).where("next_id is not null and p2 <> pitch and t2 - onset_us between 40000 and 1000000")
-    frames = X.notes_est(spark, d).groupBy("song_id", F.expr("onset_us div 100000").alias("frame")).agg(F.avg("pitch").alias("m"))
-    rows = pairs.withColumn("frame", F.explode(F.sequence(F.expr("onset_us div 100000"), F.expr("t2 div 100000")))).join(frames, ["song_id", "frame"])
-    pos = (F.col("m") - F.col("pitch")) / (F.col("p2") - F.col("pitch"))
-    step = F.abs(F.col("m") - F.lag("m").over(Window.partitionBy("note_id").orderBy("frame")))
-    rows = rows.withColumn("pos", pos).withColumn("step", step)
-    g = rows.groupBy("song_id", "note_id", "next_id").agg(F.round(F.max("step"), 4).alias("step_st"), F.count_if(F.col("pos").between(0.25, 0.75)).alias("cross"), F.round(F.regr_slope("m", "frame"), 4).alias("slope"))
-    return g
+    """Glides between the notes of a line."""
+    out = contours.glides(X.notes_ref(spark, d), X.contour(spark, d))
+    return out.withColumn("largest_step", F.round("largest_step", 6))
+
+
+@query()
+def w22_plateaus(spark, d):
+    """Whether each note holds its pitch somewhere."""
+    return contours.plateaus(X.notes_ref(spark, d), X.contour(spark, d))
 
 
 @query()
-def g48_score_by_time(spark, d):
-    """song_id, lead, stretch, f1: bars placed by an alignment path under candidate leads and bar lengths; the best of each song."""
-    path = X.bars(spark, d).select("song_id", F.col("start_us").alias("x"), (F.col("start_us") * 1.002 + 150_000).alias("y"))
-    est = timeline.path_interp(X.notes_est(spark, d).select("song_id", "pitch", F.col("onset_us").alias("t")), path, ["song_id"], "t", "x", "y")
-    ways = est.select("song_id", "pitch", "y", F.explode(F.array(*[F.lit(x) for x in (-300_000, -150_000, 0, 150_000)])).alias("lead")).select("*", F.explode(F.array(F.lit(0.998), F.lit(1.0), F.lit(1.002))).alias("stretch"))
-    e = ways.groupBy("song_id", "lead", "stretch", F.floor((F.col("y") + F.col("lead")) * F.col("stretch") / 2_000_000).alias("bar"), "pitch").agg(F.count("*").alias("e"))
-    r = X.notes_ref(spark, d).groupBy("song_id", F.expr("onset_us div 2000000").alias("bar"), "pitch").agg(F.count("*").alias("r"))
-    tp = e.join(r, ["song_id", "bar", "pitch"]).groupBy("song_id", "lead", "stretch").agg(F.sum(F.least("e", "r")).alias("tp"))
-    n = e.groupBy("song_id", "lead", "stretch").agg(F.sum("e").alias("ne")).join(r.groupBy("song_id").agg(F.sum("r").alias("n_r")), "song_id")
-    f1 = F.round(2 * F.coalesce("tp", F.lit(0)) / (F.col("ne") + F.col("n_r")), 6)
-    rows = n.join(tp, ["song_id", "lead", "stretch"], "left").withColumn("f1", f1)
-    best = rows.groupBy("song_id").agg(F.max_by(F.struct("lead", "stretch", "f1"), F.struct("f1", -F.abs("lead"), -F.abs(F.col("stretch") - 1), "lead")).alias("b"))
-    return best.select("song_id", "b.*")
+def w22_bends(spark, d):
+    """Notes that are bent, how far and whether they come back."""
+    out = contours.bends(X.notes_ref(spark, d), X.contour(spark, d))
+    return out.select("song_id", "note_id", *[F.round(c, 4).alias(c) for c in ("rise_cents", "start_pitch", "top_pitch")], "bend", "release", "top_us")

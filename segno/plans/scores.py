@@ -14,9 +14,9 @@ from .queries import query
 WRITTEN = """WITH RECURSIVE wb AS (SELECT o_custkey AS song_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS bar, o_orderkey,
   CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 6 ELSE 5 END AS num, CASE WHEN o_orderkey % 4 >= 2 THEN 8 ELSE 4 END AS den, CASE WHEN o_orderkey % 3 = 0 THEN 90.0 + o_orderkey % 60 END AS tempo,
   o_orderkey % 5 = 0 AS repeat_open, CAST(CASE o_orderkey % 7 WHEN 0 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS INTEGER) AS repeat_count, CAST(CASE o_orderkey % 11 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS INTEGER) AS alternate FROM orders),
- um AS (SELECT *, CASE WHEN den = 8 AND num >= 6 AND num % 3 = 0 THEN 'dotted_quarter' WHEN den = 8 THEN 'eighth' ELSE 'quarter' END AS unit, CASE WHEN den = 8 AND num >= 6 AND num % 3 = 0 THEN num // 3 ELSE num END AS beats,
+ um AS MATERIALIZED (SELECT *, CASE WHEN den = 8 AND num >= 6 AND num % 3 = 0 THEN 'dotted_quarter' WHEN den = 8 THEN 'eighth' ELSE 'quarter' END AS unit, CASE WHEN den = 8 AND num >= 6 AND num % 3 = 0 THEN num // 3 ELSE num END AS beats,
   CASE WHEN den = 8 AND num >= 6 AND num % 3 = 0 THEN 1.5 WHEN den = 8 THEN 0.5 ELSE 1.0 END AS q FROM wb),
- wt AS (SELECT song_id, bar, l_linenumber % 3 AS track, 'L' || l_linenumber % 2 AS line, CAST(l_suppkey % 2 + 1 AS INTEGER) AS string, CAST(40 + l_partkey % 6 AS INTEGER) AS pitch, l_partkey % 3 = 0 AS tie, (l_linenumber - 1) // 2 * 480 AS start, 480 AS dur, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS note_no
+ wt AS MATERIALIZED (SELECT song_id, bar, l_linenumber % 3 AS track, 'L' || l_linenumber % 2 AS line, CAST(l_suppkey % 2 + 1 AS INTEGER) AS string, CAST(40 + l_partkey % 6 AS INTEGER) AS pitch, l_partkey % 3 = 0 AS tie, (l_linenumber - 1) // 2 * 480 AS start, 480 AS dur, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS note_no
   FROM lineitem JOIN wb ON l_orderkey = o_orderkey),
  sn AS (SELECT song_id, count(*) AS n FROM wb GROUP BY 1),
  st AS (SELECT song_id, 0 AS k, 0 AS i, 0 AS s, 1 AS p, FALSE AS j, CAST(NULL AS BIGINT) AS bar FROM sn UNION ALL
@@ -24,15 +24,15 @@ WRITTEN = """WITH RECURSIVE wb AS (SELECT o_custkey AS song_id, row_number() OVE
    CASE WHEN skip THEN p2 WHEN jump THEN p2 + 1 WHEN repeat_count > 0 THEN 1 ELSE p2 END, NOT skip AND jump, CASE WHEN NOT skip THEN b END
   FROM (SELECT *, alternate <> 0 AND ((alternate >> (p2 - 1)) & 1) = 0 AS skip, repeat_count > 1 AND p2 < repeat_count AS jump FROM
    (SELECT st.song_id, k, i, wb.bar AS b, repeat_count, alternate, CASE WHEN repeat_open AND NOT j THEN i ELSE s END AS s2, CASE WHEN repeat_open AND NOT j THEN 1 ELSE p END AS p2 FROM st JOIN wb ON wb.song_id = st.song_id AND wb.bar = i + 1))),
- po AS (SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY k) AS pos, bar FROM st WHERE bar IS NOT NULL)"""
+ po AS MATERIALIZED (SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY k) AS pos, bar FROM st WHERE bar IS NOT NULL)"""
 EXPANDED = WRITTEN + """, ex AS (SELECT po.song_id, pos, track, line, string, pitch, tie, start, note_no, start / (960 * q) * 48 AS tick, dur / (960 * q) * 48 AS dur FROM po JOIN um USING (song_id, bar) JOIN wt USING (song_id, bar)),
  tg AS (SELECT *, sum(CASE WHEN tie AND prev = pitch THEN 0 ELSE 1 END) OVER (PARTITION BY song_id, track, string ORDER BY pos, start, note_no ROWS UNBOUNDED PRECEDING) AS part
   FROM (SELECT *, lag(pitch) OVER (PARTITION BY song_id, track, string ORDER BY pos, start, note_no) AS prev FROM ex)),
  en AS (SELECT song_id, track, string, part, arg_min({'line': line, 'bar': pos, 'tick': tick, 'pitch': pitch}, pos * 1000000 + start * 10 + note_no) AS f, round(sum(dur), 4) AS dur, count(*) > 1 AS tied FROM tg GROUP BY ALL),
- nx AS (SELECT *, min(line) OVER w <> max(line) OVER w AS shared FROM (SELECT song_id, f.line AS line, track, f.bar AS bar, round(f.tick, 4) AS tick, dur, f.pitch AS pitch, string, tied FROM en) WINDOW w AS (PARTITION BY song_id, pitch, bar, tick)),
+ nx AS MATERIALIZED (SELECT *, min(line) OVER w <> max(line) OVER w AS shared FROM (SELECT song_id, f.line AS line, track, f.bar AS bar, round(f.tick, 4) AS tick, dur, f.pitch AS pitch, string, tied FROM en) WINDOW w AS (PARTITION BY song_id, pitch, bar, tick)),
  tm AS (SELECT po.song_id, pos, beats AS n, 60e6 / round(coalesce(last_value(tempo IGNORE NULLS) OVER (PARTITION BY po.song_id ORDER BY pos), 120) / q, 4) AS d FROM po JOIN um USING (song_id, bar)),
  tb AS (SELECT *, coalesce(sum(n * d) OVER w, 0) AS t, coalesce(sum(n) OVER w, 0) AS b, lead(pos) OVER (PARTITION BY song_id ORDER BY pos) IS NULL AS z FROM tm WINDOW w AS (PARTITION BY song_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- nb AS (SELECT song_id, CAST(b + k AS BIGINT) AS beat_no, CASE WHEN k = n THEN pos + 1 ELSE pos END AS bar, CASE WHEN k = n THEN 1 ELSE k + 1 END AS beat, t + k * d AS t_us FROM (SELECT *, unnest(range(CASE WHEN z THEN n + 1 ELSE n END)) AS k FROM tb))"""
+ nb AS MATERIALIZED (SELECT song_id, CAST(b + k AS BIGINT) AS beat_no, CASE WHEN k = n THEN pos + 1 ELSE pos END AS bar, CASE WHEN k = n THEN 1 ELSE k + 1 END AS beat, t + k * d AS t_us FROM (SELECT *, unnest(range(CASE WHEN z THEN n + 1 ELSE n END)) AS k FROM tb))"""
 
 
 def written(spark, d):
@@ -75,9 +75,9 @@ def t6_nominal_beats(spark, d):
     return score.nominal_beats(score.play_order(bars), bars).withColumn("t_us", F.round("t_us", 3))
 
 
-@query(EXPANDED + """, bs AS (SELECT song_id, bar, beat_no AS bb FROM nb WHERE beat = 1), la AS (SELECT song_id, max(beat_no) - 1 AS m FROM nb GROUP BY 1), pt AS (SELECT nx.*, bb + tick / 48 AS p, bb + (tick + dur) / 48 AS e FROM nx JOIN bs USING (song_id, bar)),
- ti AS (SELECT pt.*, a.t_us + (p - a.beat_no) * (a2.t_us - a.t_us) AS x, b.t_us + (e - b.beat_no) * (b2.t_us - b.t_us) AS y FROM pt JOIN la USING (song_id) JOIN nb a ON a.song_id = pt.song_id AND a.beat_no = least(greatest(floor(p), 0), m) JOIN nb a2 ON a2.song_id = pt.song_id AND a2.beat_no = a.beat_no + 1
-  JOIN nb b ON b.song_id = pt.song_id AND b.beat_no = least(greatest(floor(e), 0), m) JOIN nb b2 ON b2.song_id = pt.song_id AND b2.beat_no = b.beat_no + 1)
+@query(EXPANDED + """, bs AS (SELECT song_id, bar, beat_no AS bb FROM nb WHERE beat = 1), la AS (SELECT song_id, max(beat_no) - 1 AS m FROM nb GROUP BY 1), pt AS MATERIALIZED (SELECT *, CAST(least(greatest(floor(p), 0), m) AS BIGINT) AS i, CAST(least(greatest(floor(e), 0), m) AS BIGINT) AS j FROM (SELECT nx.*, bb + tick / 48 AS p, bb + (tick + dur) / 48 AS e FROM nx JOIN bs USING (song_id, bar)) JOIN la USING (song_id)),
+ sl AS MATERIALIZED (SELECT song_id, beat_no, t_us, lead(t_us) OVER (PARTITION BY song_id ORDER BY beat_no) - t_us AS d FROM nb),
+ ti AS (SELECT pt.*, a.t_us + (p - i) * a.d AS x, b.t_us + (e - j) * b.d AS y FROM pt JOIN sl a ON a.song_id = pt.song_id AND a.beat_no = i JOIN sl b ON b.song_id = pt.song_id AND b.beat_no = j)
  SELECT song_id, track, string, bar, tick, pitch, round(greatest(0, x), 3) AS onset_us, round(greatest(x, y), 3) AS offset_us FROM ti""", cte=False)
 def t7_fill_times(spark, d):
     bars, notes = written(spark, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -39,14 +41,51 @@ def notes_est(spark: SparkSession, d: str) -> DataFrame:
     return kept.unionByName(added)
 
 
+def signatures(spark: SparkSession, d: str) -> DataFrame:
+    """note_id, ild_db (level of left over right; some unknown), coh (coherence of both), ms_db (middle over side): a stereo signature of each note."""
+    n = F.col("note_id")
+    ild = F.when(n % 9 != 0, (n * 37 % 41 - 20) / 2.0)
+    return notes_ref(spark, d).select("note_id", ild.alias("ild_db"), (n * 13 % 21 / 20.0).alias("coh"), (n * 29 % 25 / 2.0 - 2).alias("ms_db"))
+
+
+def contour(spark: SparkSession, d: str) -> DataFrame:
+    """song_id, line, frame (10 ms), midi: the pitch of a line's notes, which wavers, with one frame in thirteen missing; every third note rises by two half
+    tones and comes back, and the others run into the next note where it follows soon."""
+    w = Window.partitionBy("song_id", "line").orderBy("onset_us", "note_id")
+    n = notes_ref(spark, d).withColumn("_t2", F.lead("onset_us").over(w)).withColumn("_p2", F.lead("pitch").over(w))
+    end = F.greatest("offset_us", F.least(F.col("offset_us") + 200_000, F.coalesce("_t2", "offset_us")))
+    rows = n.select("*", F.explode(F.sequence(F.expr("onset_us div 10000"), (end / 10_000).cast("long"))).alias("frame"))
+    t, length = F.col("frame") * 10_000, F.greatest(F.col("offset_us") - F.col("onset_us"), F.lit(1))
+    part = F.least(F.greatest((t - F.col("onset_us")) / length, F.lit(0.0)), F.lit(1.0))
+    into = F.least(F.greatest((t - F.col("offset_us") + 80_000) / 160_000, F.lit(0.0)), F.lit(1.0)) * (F.col("_p2") - F.col("pitch"))
+    soon = F.coalesce(F.col("_t2") - F.col("offset_us") < 30_000, F.lit(False))
+    move = F.when(soon & (F.col("note_id") % 3 != 0), into).when(F.col("note_id") % 3 == 0, 2 * F.least(2 * part, 2 - 2 * part)).otherwise(0.0)
+    midi = F.col("pitch") + move + (F.col("frame") * 7 % 5 - 2) * 0.02
+    return rows.where("frame % 13 <> 5").groupBy("song_id", "line", "frame").agg(F.max_by(midi, "note_id").alias("midi"))
+
+
+#: Features of a window from its number h, some of them unknown; DuckDB reads the same text.
+WINDOW_FEATURES_SQL = (
+    "CASE WHEN h % 23 <> 4 THEN -16.0 + h % 9 * 2 END AS sm, 0.5 + h * 7 % 11 * 0.05 AS coh, (h * 13 % 21 - 10) / 10.0 AS xcoff, CASE WHEN h % 19 <> 3 THEN (h * 5 % 17 - 8) * 1.5 END AS lag, h * 3 % 10 / 10.0 AS r0, "
+    "h * 17 % 10 / 10.0 AS hard, h % 7 * 1.5 AS ildcoh, h * 19 % 10 / 10.0 AS cen"
+)
+
+
+def window_features(spark: SparkSession, d: str) -> DataFrame:
+    """song_id, w, truth and the features of every window."""
+    rows = windows(spark, d).select("song_id", F.col("window").alias("w"), F.col("label").alias("truth"), (F.col("window") * 37 + F.col("song_id") * 11).alias("h"))
+    parts = [re.sub(r"(\d+\.\d+)", r"\1D", p) for p in WINDOW_FEATURES_SQL.split(", ")]
+    return rows.selectExpr("song_id", "w", "truth", *parts)
+
+
 def songs(spark: SparkSession, d: str) -> DataFrame:
     """song_id and how many notes it has."""
     return notes_ref(spark, d).groupBy("song_id").agg(F.count("*").alias("n_notes"))
 
 
 def beats(spark: SparkSession, d: str) -> DataFrame:
-    b = F.col("beat_no")
     """Half a second each, moved by the beat and by how many notes the song has."""
+    b = F.col("beat_no")
     rows = songs(spark, d).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BEATS - 1).cast("long"))).alias("beat_no"))
     return rows.select("song_id", "beat_no", (b * 500000 + (b % 7) * 1000 + b * F.col("n_notes") % 11 * 700).alias("t_us"), F.expr("beat_no div 4 + 1").alias("bar"), (b % 4 + 1).alias("beat"))
 
