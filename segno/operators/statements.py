@@ -1,7 +1,7 @@
 """Operators as SQL statements over named tables, run by Spark on the DataFrames that take those names.
 
 A statement is (named parts, final select). Tables, all keyed by song_id: notes and est (note_id, onset_us, offset_us,
-pitch, instrument, line), placed (notes + bar), windowed (notes + w, label), beats, bars, sections, spans (windows:
+pitch, instrument, line), placed (notes + bar), windowed (notes + w, label), signed and signed_windowed (the same with ild_db, coh, ms_db of each note), beats, bars, sections, spans (windows:
 w, start_us, end_us, label), clusters (notes + anchor_us). PCT(x, p) is an interpolated percentile, SHA(x) a sha256 in hex, and SEQ(a, b) gives a row
 for each whole number from a to b; `text` writes both for an engine.
 """
@@ -97,7 +97,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT song_id, note_id, CASE WHEN chord THEN 'rhythm' WHEN peel THEN 'lead' WHEN c / (c + o) >= 0.6 THEN 'rhythm' ELSE 'lead' END AS role FROM sh",
     ),
     "part_features": (
-        "a AS (SELECT *, (note_id % 41 - 20) / 2.0 AS ild FROM {notes}), s AS (SELECT song_id, line, avg(ild) AS m, stddev_pop(ild) AS sd, avg(pitch) AS mp FROM a GROUP BY song_id, line)",
+        "a AS (SELECT *, coalesce(ild_db, 0) AS ild FROM {signed}), s AS (SELECT song_id, line, avg(ild) AS m, stddev_pop(ild) AS sd, avg(pitch) AS mp FROM a GROUP BY song_id, line)",
         "SELECT a.note_id, round(CASE WHEN sd > 0 THEN (ild - m) / sd ELSE 0 END, 6) AS ild_z, CASE WHEN ild * m > 0 THEN 1 ELSE 0 END AS same_side, round(pitch - mp, 6) AS rel_pitch, CASE WHEN instrument = 'click' THEN 1 ELSE 0 END AS is_click, CASE WHEN instrument = 'view' THEN 1 ELSE 0 END AS is_view, CASE WHEN instrument = 'purchase' THEN 1 ELSE 0 END AS is_purchase, count(*) OVER (PARTITION BY a.song_id ORDER BY onset_us RANGE BETWEEN 30000 PRECEDING AND 30000 FOLLOWING) AS poly FROM a JOIN s ON a.song_id = s.song_id AND a.line = s.line",
     ),
     "order_parts": (
@@ -117,7 +117,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT song_id, section, line, n, CASE WHEN place = 1 THEN base ELSE concat(base, ' ', CAST(place AS VARCHAR(9))) END AS track FROM k",
     ),
     "spatial_split": (
-        "a AS (SELECT *, (note_id % 41 - 20) / 2.0 AS ild, (note_id % 17) / 16.0 AS coh FROM {windowed})",
+        "a AS (SELECT *, coalesce(ild_db, 0) AS ild FROM {signed_windowed})",
         "SELECT song_id, note_id, CASE WHEN label = 'R3' AND ild >= 0 THEN 'L' WHEN label = 'R3' THEN 'R' WHEN label = 'R2' AND coh < 0.5 THEN 'L,R' WHEN label = 'R2' THEN 'centre' ELSE 'all' END AS lines FROM a",
     ),
     "solo_gate": (

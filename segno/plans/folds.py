@@ -274,7 +274,7 @@ def l17_refresh_plan(spark, d):
 
 
 def confidence_rows(spark, d):
-    x = statements.apply("part_features", notes=X.notes_ref(spark, d))
+    x = statements.apply("part_features", signed=X.notes_ref(spark, d).join(X.signatures(spark, d), "note_id"))
     hit = match.near(X.notes_ref(spark, d), X.notes_est(spark, d), ["song_id", "pitch"], 20_000, "left_semi").select("note_id", F.lit(1.0).alias("y"))
     return X.notes_ref(spark, d).select("song_id", "note_id").join(x, "note_id").join(hit, "note_id", "left").fillna(0.0, ["y"])
 
