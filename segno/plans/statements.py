@@ -26,10 +26,10 @@ NAMES = {
     "w23_gated_spans": "gated_spans", "a10_recipe_key": "recipe_key", "l14_swaps_and_inserts": "corrupted_more",
 }
 #: The same tables for DuckDB.
-VIEWS = {"notes": "nr", "est": "ne", "beats": "bt", "bars": "br", "sections": "sc", "spans": "wi", "placed": "nb", "windowed": "nw", "clusters": "cl", "signed": "ns", "signed_windowed": "nsw", "documents": "documents", "labels": "labels", "orders": "orders", "customer": "customer"}
+VIEWS = {"notes": "nr", "est": "ne", "beats": "bt", "bars": "br", "sections": "sc", "spans": "wi", "placed": "nb", "windowed": "nw", "clusters": "cl", "signed": "nsg", "signed_windowed": "nsw", "documents": "documents", "labels": "labels", "orders": "orders", "customer": "customer"}
 MORE = """, wi AS (SELECT song_id, "window" AS w, start_us, end_us, label FROM wn), nb AS (SELECT n.*, b.bar FROM nr n ASOF JOIN br b ON n.song_id = b.song_id AND n.onset_us >= b.start_us WHERE n.onset_us < b.end_us),
  nw AS (SELECT n.*, v.w, v.label FROM nr n ASOF JOIN wi v ON n.song_id = v.song_id AND n.onset_us >= v.start_us WHERE n.onset_us < v.end_us),
- sgn AS (SELECT note_id, CASE WHEN note_id % 9 <> 0 THEN (note_id * 37 % 41 - 20) / 2.0 END AS ild_db, note_id * 13 % 21 / 20.0 AS coh, note_id * 29 % 25 / 2.0 - 2 AS ms_db FROM nr), ns AS (SELECT * FROM nr JOIN sgn USING (note_id)), nsw AS (SELECT * FROM nw JOIN sgn USING (note_id))"""
+ sgn AS (SELECT note_id, CASE WHEN note_id % 9 <> 0 THEN (note_id * 37 % 41 - 20) / 2.0 END AS ild_db, note_id * 13 % 21 / 20.0 AS coh, note_id * 29 % 25 / 2.0 - 2 AS ms_db FROM nr), nsg AS (SELECT * FROM nr JOIN sgn USING (note_id)), nsw AS (SELECT * FROM nw JOIN sgn USING (note_id))"""
 
 
 def placed(spark, d):
