@@ -26,34 +26,6 @@ STRUMS = """st AS (SELECT *, count(*) OVER (PARTITION BY song_id, anchor_us) AS
 
 STATEMENTS: dict[str, tuple[str, str]] = {
     # beats
-    "merge_double_beats": (
-        """b0 AS (SELECT song_id, t_us, CASE WHEN beat = 1 THEN 1 ELSE 0 END AS down, (beat_no * 7919) % 100 AS act FROM {beats} UNION ALL SELECT song_id, t_us + 90000, 0, (beat_no * 31) % 100 FROM {beats} WHERE beat_no % 37 = 5),
- b1 AS (SELECT *, lag(t_us) OVER (PARTITION BY song_id ORDER BY t_us) AS p, lead(t_us) OVER (PARTITION BY song_id ORDER BY t_us) AS n, lead(t_us, 2) OVER (PARTITION BY song_id ORDER BY t_us) AS n2, lead(act) OVER (PARTITION BY song_id ORDER BY t_us) AS nact, lead(down) OVER (PARTITION BY song_id ORDER BY t_us) AS ndown FROM b0),
- b2 AS (SELECT *, coalesce(n - t_us < 0.42 * least(coalesce(t_us - p, 1000000000000), coalesce(n2 - n, 1000000000000)), FALSE) AS dbl, CASE WHEN p IS NULL OR n2 IS NULL THEN 0 ELSE round(abs(ln((t_us - p) / (n2 - t_us))), 9) END AS u0, CASE WHEN p IS NULL OR n2 IS NULL THEN 0 ELSE round(abs(ln((n - p) / (n2 - n))), 9) END AS u1 FROM b1),
- b3 AS (SELECT *, CASE WHEN act <> nact THEN act > nact WHEN u0 <> u1 THEN u0 < u1 ELSE TRUE END AS win FROM b2),
- b4 AS (SELECT *, coalesce(lag(dbl) OVER (PARTITION BY song_id ORDER BY t_us), FALSE) AS pd, coalesce(lag(win) OVER (PARTITION BY song_id ORDER BY t_us), FALSE) AS pw, lag(down) OVER (PARTITION BY song_id ORDER BY t_us) AS pdown FROM b3)""",
-        "SELECT song_id, t_us, CASE WHEN dbl THEN greatest(down, ndown) WHEN pd THEN greatest(down, pdown) ELSE down END AS down FROM b4 WHERE NOT (dbl AND NOT win) AND NOT (pd AND pw)",
-    ),
-    "fill_missing_beats": (
-        """b0 AS (SELECT song_id, t_us FROM {beats} WHERE beat_no % 41 NOT IN (7, 8)), b1 AS (SELECT *, lead(t_us) OVER (PARTITION BY song_id ORDER BY t_us) - t_us AS iv FROM b0),
- b2 AS (SELECT *, PCT(iv, 0.5) OVER (PARTITION BY song_id ORDER BY t_us ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS local FROM b1 WHERE iv IS NOT NULL), b3 AS (SELECT *, CAST(round(iv / local) AS BIGINT) AS k FROM b2),
- b4 AS (SELECT *, SEQ(1, k - 1) AS j FROM b3 WHERE k >= 2 AND iv <= 4000000 AND abs(iv / k - local) <= 0.08 * local)""",
-        "SELECT song_id, round(t_us + iv * j / k, 3) AS t_us, TRUE AS filled FROM b4 UNION ALL SELECT song_id, CAST(t_us AS DOUBLE), FALSE FROM b0",
-    ),
-    "tempo_level_runs": (
-        """b0 AS (SELECT song_id, t_us FROM {beats} UNION ALL SELECT song_id, t_us + 250000 FROM {beats} WHERE bar % 50 BETWEEN 10 AND 14), b1 AS (SELECT *, lead(t_us) OVER (PARTITION BY song_id ORDER BY t_us) - t_us AS iv FROM b0),
- b2 AS (SELECT *, sum(iv) OVER (PARTITION BY song_id ORDER BY iv, t_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw, sum(iv) OVER (PARTITION BY song_id) AS total FROM b1 WHERE iv IS NOT NULL),
- md AS (SELECT song_id, min(iv) AS p FROM b2 WHERE cw >= 0.5 * total GROUP BY song_id),
- b3 AS (SELECT b2.song_id, t_us, CASE WHEN abs(log2(iv / p) + 1) < 0.25 THEN 'fast' WHEN abs(log2(iv / p) - 1) < 0.25 THEN 'slow' ELSE 'even' END AS kind FROM b2 JOIN md ON b2.song_id = md.song_id),
- b4 AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY t_us) - row_number() OVER (PARTITION BY song_id, kind ORDER BY t_us) AS g FROM b3)""",
-        "SELECT song_id, kind, min(t_us) AS start_us, max(t_us) AS end_us, count(*) AS n FROM b4 WHERE kind <> 'even' GROUP BY song_id, kind, g HAVING count(*) >= 2",
-    ),
-    "harmonic_dupes": (
-        """a0 AS (SELECT *, note_id % 2 = 0 AS sure, count(*) OVER (PARTITION BY song_id, anchor_us) AS n FROM {clusters}), a1 AS (SELECT *, min(CASE WHEN sure THEN pitch END) OVER (PARTITION BY song_id, anchor_us) AS base, row_number() OVER (PARTITION BY song_id, anchor_us, sure ORDER BY pitch, onset_us - offset_us, note_id) AS k FROM a0),
- a2 AS (SELECT *, sure AND k = 1 AS first, n > 1 AND base IS NOT NULL AND NOT (sure AND k = 1) AND NOT (sure AND pitch <> base) AND pitch - base IN (0, 12, 19, 24) AS dropped FROM a1),
- a3 AS (SELECT *, max(CASE WHEN dropped AND pitch = base THEN offset_us END) OVER (PARTITION BY song_id, anchor_us) AS longer FROM a2)""",
-        "SELECT song_id, note_id, pitch, CASE WHEN first AND n > 1 THEN greatest(offset_us, coalesce(longer, offset_us)) ELSE offset_us END AS offset_us FROM a3 WHERE NOT dropped",
-    ),
     "tempo_octave_scores": (
         """cd AS (SELECT song_id, 'keep' AS level, t_us FROM {beats} UNION ALL SELECT song_id, 'half', t_us FROM {beats} WHERE beat_no % 2 = 0 UNION ALL SELECT song_id, 'double', t_us FROM {beats} UNION ALL SELECT song_id, 'double', t_us + 250000 FROM {beats}),
  ce AS (SELECT cd.*, SEQ(CAST(floor(t_us / 140000) AS BIGINT) - 1, CAST(floor(t_us / 140000) AS BIGINT) + 1) AS cell FROM cd),
@@ -65,15 +37,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT song_id, level, round(bpm, 4) AS bpm, round(recall, 6) AS recall, round(prec, 6) AS prec, round(CASE WHEN recall + prec > 0 THEN 2 * recall * prec / (recall + prec) ELSE 0 END * exp(-0.5 * power(log2(bpm / 120) / 0.5, 2)), 6) AS score FROM sr",
     ),
     # pitch trackers
-    "f0_vote": (
-        """v AS (SELECT song_id, note_id, pitch, 1 AS k, pitch + (note_id % 7 - 3) * 0.1 + CASE WHEN note_id % 11 = 0 THEN 12 ELSE 0 END AS x FROM {notes} UNION ALL SELECT song_id, note_id, pitch, 2, pitch + (note_id % 5 - 2) * 0.15 + CASE WHEN note_id % 11 = 0 THEN 12 WHEN note_id % 13 = 0 THEN 1 ELSE 0 END FROM {notes}
-  UNION ALL SELECT song_id, note_id, pitch, 3, pitch + CASE WHEN note_id % 13 = 0 THEN 1.2 ELSE 0.2 END FROM {notes} WHERE note_id % 3 <> 0),
- n AS (SELECT song_id, note_id, pitch, count(*) AS answers FROM v GROUP BY song_id, note_id, pitch), t AS (SELECT DISTINCT note_id, pitch, CAST(round(x) AS INT) AS target FROM v),
- s AS (SELECT t.note_id, t.pitch, t.target, count(*) AS support FROM t JOIN v ON t.note_id = v.note_id WHERE abs(v.x - t.target) <= 0.5 GROUP BY t.note_id, t.pitch, t.target HAVING count(*) >= 2),
- b AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY support DESC, abs(target - pitch), target DESC) AS k FROM s)""",
-        """SELECT n.song_id, n.note_id, CASE WHEN answers < 2 THEN 'no_f0' WHEN target IS NULL THEN 'split' WHEN target = n.pitch THEN 'confirmed' WHEN abs(target - n.pitch) % 12 = 0 AND abs(target - n.pitch) <= 36 THEN 'octave' WHEN abs(target - n.pitch) = 1 THEN 'semitone' ELSE 'disagree' END AS action,
-  CASE WHEN abs(target - n.pitch) = 1 OR (abs(target - n.pitch) % 12 = 0 AND abs(target - n.pitch) <= 36) THEN target ELSE n.pitch END AS pitch FROM n LEFT JOIN b ON n.note_id = b.note_id AND b.k = 1""",
-    ),
     "running_median": (FRAMES, "SELECT song_id, frame, CASE WHEN cnt >= 3 THEN round(med, 6) END AS value FROM (SELECT song_id, frame, PCT(x, 0.5) OVER (PARTITION BY song_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS med, count(x) OVER (PARTITION BY song_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS cnt FROM fv)"),
     "tuning_offset": (
         FRAMES + ", sd AS (SELECT song_id, x - round(x) AS dev, abs(lead(x, 2) OVER (PARTITION BY song_id ORDER BY frame) - lag(x, 2) OVER (PARTITION BY song_id ORDER BY frame)) <= 3 AS steady FROM fv)",
@@ -129,14 +92,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT song_id, w, CASE WHEN a >= 0.8 * total THEN 'first' WHEN b >= 0.8 * total THEN 'second' WHEN a + b >= 0.8 * total THEN 'both' ELSE 'mixed' END AS truth, round(a / total, 6) AS share FROM e",
     ),
     "exp_split_windows": ("e AS (SELECT song_id, max(offset_us) AS z FROM {notes} GROUP BY song_id), c AS (SELECT song_id, z, SEQ(0, CAST(ceil(z / 2000000) AS BIGINT) - 1) AS cell FROM e)", "SELECT song_id, cell, cell * 2000000 AS start_us, least((cell + 1) * 2000000, z) AS end_us, CAST(floor(cell * 4 / ceil(z / 2000000)) AS INT) AS zone FROM c"),
-    "bar_similarity_topk": (
-        """b AS (SELECT song_id, CAST(floor(onset_us / 8000000) AS BIGINT) AS bar, pitch % 12 AS pc, CAST(count(*) AS DOUBLE) AS x FROM {notes} GROUP BY song_id, CAST(floor(onset_us / 8000000) AS BIGINT), pitch % 12), k AS (SELECT DISTINCT song_id, bar FROM b), pc AS (SELECT DISTINCT song_id, pc FROM b),
- g AS (SELECT k.song_id, k.bar, pc.pc, coalesce(x, 0) AS x FROM k JOIN pc ON k.song_id = pc.song_id LEFT JOIN b ON b.song_id = k.song_id AND b.bar = k.bar AND b.pc = pc.pc), m AS (SELECT song_id, pc, avg(x) AS m, stddev_pop(x) AS s FROM g GROUP BY song_id, pc),
- z AS (SELECT g.song_id, g.bar, g.pc, CASE WHEN s > 0 THEN (x - m) / s ELSE 0 END AS z FROM g JOIN m ON g.song_id = m.song_id AND g.pc = m.pc), n AS (SELECT song_id, bar, sqrt(sum(z * z)) AS n FROM z GROUP BY song_id, bar),
- c AS (SELECT a.song_id, a.bar AS a, b.bar AS b, sum(a.z * b.z) AS dot FROM z a JOIN z b ON a.song_id = b.song_id AND a.pc = b.pc AND a.bar < b.bar GROUP BY a.song_id, a.bar, b.bar), s AS (SELECT c.song_id, c.a, c.b, dot / (na.n * nb.n) AS cos FROM c JOIN n na ON c.song_id = na.song_id AND c.a = na.bar JOIN n nb ON c.song_id = nb.song_id AND c.b = nb.bar WHERE na.n > 0 AND nb.n > 0),
- d AS (SELECT song_id, a, b, round(avg(cos) OVER (PARTITION BY song_id, b - a ORDER BY a RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS score FROM s), u AS (SELECT song_id, a AS bar, b AS other, score FROM d WHERE score >= 0.35 UNION ALL SELECT song_id, b, a, score FROM d WHERE score >= 0.35), r AS (SELECT *, row_number() OVER (PARTITION BY song_id, bar ORDER BY score DESC, other) AS place FROM u)""",
-        "SELECT song_id, bar, other, score, place FROM r WHERE place <= 8",
-    ),
     "snap_and_merge_sections": (
         """l AS (SELECT song_id, CAST(floor(onset_us / 20000000) AS BIGINT) AS cell, line, count(*) AS n FROM {notes} GROUP BY song_id, CAST(floor(onset_us / 20000000) AS BIGINT), line), m AS (SELECT *, sum(n) OVER (PARTITION BY song_id, cell) AS total, row_number() OVER (PARTITION BY song_id, cell ORDER BY n DESC, line) AS k FROM l), t AS (SELECT song_id, cell, line, n, total FROM m WHERE k = 1),
  c AS (SELECT *, CASE WHEN line = lag(line) OVER (PARTITION BY song_id ORDER BY cell) THEN 0 ELSE 1 END AS new FROM t), r AS (SELECT *, sum(new) OVER (PARTITION BY song_id ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM c), g AS (SELECT song_id, run, line, min(cell) AS first, sum(n) / sum(total) AS purity FROM r GROUP BY song_id, run, line),
@@ -176,33 +131,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
  i AS (SELECT song_id, 'unplaced' AS item, CASE WHEN unplaced >= 0.35 THEN 'warn' ELSE 'info' END AS level, round(unplaced, 6) AS value FROM b UNION ALL SELECT song_id, 'tiny', CASE WHEN tiny >= 0.3 THEN 'warn' ELSE 'info' END, round(tiny, 6) FROM b UNION ALL SELECT song_id, 'burst', CASE WHEN bursts > 0 THEN 'warn' ELSE 'info' END, CAST(bursts AS DOUBLE) FROM w UNION ALL SELECT song_id, 'thin', CASE WHEN n < span / 2000000.0 THEN 'warn' ELSE 'info' END, CAST(n AS DOUBLE) FROM b)""",
         "SELECT song_id, item, level, value, row_number() OVER (PARTITION BY song_id ORDER BY CASE WHEN level = 'warn' THEN 0 ELSE 1 END, item) AS place FROM i",
     ),
-    "tracker_accuracy": (
-        """v AS (SELECT note_id, song_id, onset_us, offset_us, pitch, SEQ(CAST(ceil((onset_us + 30000) / 10000) AS BIGINT), CAST(floor((offset_us - 30000) / 10000) AS BIGINT)) AS frame FROM {notes} WHERE offset_us - onset_us >= 80000), o AS (SELECT song_id, frame, min(note_id) AS note_id, min(pitch) AS ref FROM v GROUP BY song_id, frame HAVING count(*) = 1),
- t AS (SELECT song_id, frame, ref, CASE WHEN note_id % 17 = 0 THEN ref + 12.1 WHEN note_id % 5 = 0 THEN ref + 0.7 WHEN note_id % 7 <> 0 THEN ref + 0.2 END AS est FROM o)""",
-        "SELECT CASE WHEN ref < 48 THEN 'low' ELSE 'high' END AS band, count(*) AS frames, round(avg(CASE WHEN abs(est - ref) <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS rpa, round(avg(CASE WHEN abs(est - ref - 12 * round((est - ref) / 12)) <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS rca, round(count(est) / count(*), 6) AS vr FROM t GROUP BY CASE WHEN ref < 48 THEN 'low' ELSE 'high' END",
-    ),
     # errors and experiments
-    "cause_matrix": (
-        """w AS (SELECT song_id, label, sum(end_us - start_us) / 60000000.0 AS minutes FROM {spans} GROUP BY song_id, label), m AS (SELECT label, sum(minutes) AS minutes FROM w GROUP BY label), e AS (SELECT label, line, CASE WHEN note_id % 10 = 0 THEN 'missed' WHEN note_id % 20 = 1 THEN 'octave' WHEN note_id % 10 = 2 THEN 'line' END AS cause FROM {windowed})""",
-        "SELECT e.line AS arm, e.label, e.cause, count(*) AS n, round(count(*) / min(minutes), 6) AS per_min FROM e JOIN m ON e.label = m.label WHERE e.cause IS NOT NULL GROUP BY e.line, e.label, e.cause",
-    ),
-    "discrimination": (
-        "e AS (SELECT label, instrument, count(CASE WHEN note_id % 10 = 0 THEN 1 END) AS dropped, count(CASE WHEN note_id % 20 = 3 THEN 1 END) AS kept FROM {windowed} GROUP BY label, instrument)",
-        "SELECT label, instrument, dropped, kept, round(CASE WHEN dropped + kept > 0 THEN dropped / (dropped + kept) END, 6) AS rate FROM e",
-    ),
-    "category_deltas": (
-        """i AS (SELECT song_id, w, label, count(CASE WHEN note_id % 20 = 3 THEN 1 END) AS fp, count(CASE WHEN note_id % 10 = 0 THEN 1 END) AS fn, sum(CASE WHEN instrument = 'click' THEN offset_us - onset_us ELSE 0 END) / 60000000.0 AS act FROM {windowed} GROUP BY song_id, w, label), b AS (SELECT song_id, avg(fp) AS fp, avg(fn) AS fn FROM i WHERE label = 'R0' GROUP BY song_id)""",
-        "SELECT i.label, count(*) AS items, count(DISTINCT i.song_id) AS songs, round(avg(i.fp - b.fp), 6) AS d_fp, round(avg(i.fn - b.fn), 6) AS d_fn, round(CASE WHEN sum(act) > 0 THEN sum(i.fp - b.fp) / sum(act) END, 4) AS d_fp_active FROM i JOIN b ON i.song_id = b.song_id WHERE i.label <> 'R0' GROUP BY i.label",
-    ),
-    "fix_first": (
-        """m AS (SELECT sum(end_us - start_us) / 60000000.0 AS minutes FROM {spans}), r AS (SELECT instrument AS source, 'category' AS kind, count(CASE WHEN note_id % 10 = 0 OR note_id % 20 = 3 THEN 1 END) / min(minutes) AS errors, count(DISTINCT w) / 90.0 AS share FROM {windowed}, m GROUP BY instrument
-  UNION ALL SELECT 'octave', 'fp_cause', count(CASE WHEN note_id % 20 = 1 THEN 1 END) / min(minutes), 1.0 FROM {windowed}, m UNION ALL SELECT 'missed', 'fn_cause', count(CASE WHEN note_id % 10 = 0 THEN 1 END) / min(minutes), 1.0 FROM {windowed}, m), k AS (SELECT *, row_number() OVER (ORDER BY round(errors * share, 9) DESC, source) AS place FROM r)""",
-        "SELECT source, kind, round(errors, 6) AS errors_per_min, round(errors * share, 6) AS weighted, place FROM k WHERE place <= 9",
-    ),
-    "null_spread": (
-        "i AS (SELECT song_id, w, count(CASE WHEN note_id % 20 = 3 THEN 1 END) AS a, count(CASE WHEN note_id % 20 IN (3, 7) THEN 1 END) AS b FROM {windowed} GROUP BY song_id, w)",
-        "SELECT song_id, count(*) AS windows, round(PCT(abs(b - a), 0.5), 6) AS median_abs, round(avg(b - a), 6) AS mean FROM i GROUP BY song_id",
-    ),
     "leak_summary": (
         "l AS (SELECT label, instrument, avg(power((offset_us - onset_us) / 10000.0, 2)) AS p FROM {windowed} GROUP BY label, instrument), b AS (SELECT label, max(p) AS top FROM l GROUP BY label)",
         "SELECT instrument, count(*) AS conditions, round(avg(10 * log10(p / top)), 6) AS leak_db, round(avg(p / top), 6) AS share FROM l JOIN b ON l.label = b.label GROUP BY instrument",
@@ -236,16 +165,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "s AS (SELECT song_id, instrument AS stem, 10 * log10(avg(power((offset_us - onset_us) / 10000.0, 2))) AS db FROM {notes} GROUP BY song_id, instrument), v AS (SELECT 'band' AS view, 'click' AS stem UNION ALL SELECT 'band', 'view' UNION ALL SELECT 'band', 'purchase' UNION ALL SELECT 'side', 'error' UNION ALL SELECT 'side', 'signup')",
         "SELECT s.song_id, v.view, round(10 * log10(sum(power(10, db / 10))), 6) AS db FROM s JOIN v ON s.stem = v.stem GROUP BY s.song_id, v.view",
     ),
-    "repeat_note_links": (
-        """b AS (SELECT song_id, bar, start_us, bar - 16 AS match FROM {bars} WHERE bar > 16 AND bar % 3 = 0), n AS (SELECT p.song_id, p.note_id, p.pitch, p.bar, b.match, p.onset_us - b.start_us + m.start_us AS at FROM {placed} p JOIN b ON p.song_id = b.song_id AND p.bar = b.bar JOIN {bars} m ON b.song_id = m.song_id AND b.match = m.bar),
- c AS (SELECT n.note_id AS a, p.note_id AS b, row_number() OVER (PARTITION BY n.note_id ORDER BY abs(p.onset_us - n.at), p.note_id) AS k, abs(p.onset_us - n.at) AS d FROM n JOIN (SELECT song_id, note_id, pitch, onset_us, SEQ(bar - 1, bar + 1) AS near FROM {placed}) p ON n.song_id = p.song_id AND n.pitch = p.pitch AND n.match = p.near), l AS (SELECT a, b FROM c WHERE k = 1 AND d <= 600000)""",
-        "SELECT DISTINCT a, b FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l)",
-    ),
-    "repeat_window_pairs": (
-        """m AS (SELECT song_id, bar, CASE WHEN bar > 40 AND bar % 5 <> 0 THEN bar - 40 END AS best FROM {bars}), w AS (SELECT song_id, bar, CAST(floor((bar - 1) / 4) AS BIGINT) AS w FROM {bars}), n AS (SELECT m.song_id, a.w, count(*) AS n FROM m JOIN w a ON m.song_id = a.song_id AND m.bar = a.bar WHERE best IS NOT NULL GROUP BY m.song_id, a.w),
- v AS (SELECT m.song_id, a.w AS i, b.w AS j, count(*) AS votes FROM m JOIN w a ON m.song_id = a.song_id AND m.bar = a.bar JOIN w b ON m.song_id = b.song_id AND m.best = b.bar WHERE a.w <> b.w GROUP BY m.song_id, a.w, b.w)""",
-        "SELECT DISTINCT v.song_id, least(i, j) AS a, greatest(i, j) AS b FROM v JOIN n ON v.song_id = n.song_id AND v.i = n.w WHERE votes * 2 > n.n",
-    ),
     "overlap_seconds": (
         "p AS (SELECT n.song_id, n.note_id, b.bar, least(n.offset_us, b.end_us) - greatest(n.onset_us, b.start_us) AS ov FROM {placed} n JOIN {bars} b ON n.song_id = b.song_id AND (b.bar = n.bar OR b.bar = n.bar + 1) AND b.start_us < n.offset_us)",
         "SELECT song_id, bar, count(*) AS notes, round(sum(ov) / 1000000.0, 6) AS seconds FROM p WHERE ov > 0 GROUP BY song_id, bar",

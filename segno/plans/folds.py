@@ -10,6 +10,7 @@ from ..operators import cluster, confidence, folds, lineage, match, metrics, rep
 from ..sources import fixtures as X
 from ..sources import quality
 from . import statements as T
+from .pulse import LINKS, links
 from .queries import items, query
 
 
@@ -241,16 +242,12 @@ def l12_evaluate_experiment(spark, d):
     return metrics.evaluate_arms(items(spark, d), "arm", "grp", "O")
 
 
-LINKS = "{}, lk AS ({})".format(*statements.text("repeat_note_links", "duckdb")).format(**T.VIEWS)
-
-
-@query(T.MORE + ", " + LINKS + """, ed AS (SELECT note_id AS seq, note_id, (line + 1) % 3 AS too FROM nr WHERE note_id % 6 = 0), ow AS (SELECT note_id, max_by(too, seq) AS own FROM ed GROUP BY 1), sp AS (SELECT lk.b AS note_id, max_by(too, seq) AS spread FROM ed JOIN lk ON ed.note_id = lk.a GROUP BY 1)
+@query(LINKS + """, ed AS (SELECT note_id AS seq, note_id, (line + 1) % 3 AS too FROM nr WHERE note_id % 6 = 0), ow AS (SELECT note_id, max_by(too, seq) AS own FROM ed GROUP BY 1), sp AS (SELECT lk.b AS note_id, max_by(too, seq) AS spread FROM ed JOIN lk ON ed.note_id = lk.a GROUP BY 1)
  SELECT n.note_id, coalesce(own, spread, line) AS line, CASE WHEN own IS NOT NULL THEN 'explicit' WHEN spread IS NOT NULL THEN 'spread' ELSE 'kept' END AS how FROM nr n LEFT JOIN ow ON n.note_id = ow.note_id LEFT JOIN sp ON n.note_id = sp.note_id""")
 def l3_spread_part(spark, d):
-    links = statements.apply("repeat_note_links", placed=T.placed(spark, d), bars=X.bars(spark, d))
     n = X.notes_ref(spark, d)
     edits = n.where("note_id % 6 = 0").select("song_id", F.col("note_id").alias("seq"), "note_id", ((F.col("line") + 1) % 3).alias("to"))
-    return replay.spread_part(n, edits, links)
+    return replay.spread_part(n, edits, links(spark, d))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS child, o_orderkey // 2 AS parent, o_custkey % 4 AS stage FROM orders WHERE o_orderkey > 1), k AS (SELECT o_orderkey AS node FROM orders WHERE o_orderkey % 500 = 7), c AS (SELECT node AS export, node, 0 AS depth FROM k UNION SELECT c.export, e.parent, c.depth + 1 FROM c JOIN e ON c.node = e.child)

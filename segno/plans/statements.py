@@ -8,17 +8,17 @@ from .queries import ORACLES, QUERIES, anchored
 
 #: Query names and their statements.
 NAMES = {
-    "d11_merge_double_beats": "merge_double_beats", "d12_fill_missing_beats": "fill_missing_beats", "d13_tempo_level_runs": "tempo_level_runs", "d15_harmonic_dupes": "harmonic_dupes", "w34_tempo_octave_scores": "tempo_octave_scores",
-    "w17_f0_vote": "f0_vote", "w18_running_median": "running_median", "w19_tuning_offset": "tuning_offset", "w20_gap_fill_runs": "gap_fill_runs", "w40_pair_relation": "pair_relation",
+    "w34_tempo_octave_scores": "tempo_octave_scores",
+    "w18_running_median": "running_median", "w19_tuning_offset": "tuning_offset", "w20_gap_fill_runs": "gap_fill_runs", "w40_pair_relation": "pair_relation",
     "w1_symbolic_roles": "symbolic_roles", "w2_chord_share_roles": "chord_share_roles", "w4_part_features": "part_features", 
     "w8_order_and_names": "order_parts", "w9_section_roles": "section_roles", "w10_role_view": "role_view", "w14_solo_gate": "solo_gate", "w15_spatial_split": "spatial_split",
     "w28_quantize_costs": "quantize_costs", "w31_meter_feel": "meter_feel", 
-    "w36_bar_similarity_topk": "bar_similarity_topk", "w37_repeat_groups": "repeat_groups", "w38_snap_and_merge_sections": "snap_and_merge_sections", "w43_band_window_truth": "band_window_truth", "w45_exp_split_windows": "exp_split_windows",
+    "w37_repeat_groups": "repeat_groups", "w38_snap_and_merge_sections": "snap_and_merge_sections", "w43_band_window_truth": "band_window_truth", "w45_exp_split_windows": "exp_split_windows",
     "g20_per_part_best": "per_part_best", "g21_downbeat_share": "downbeat_share", "g21_string_fret_agreement": "string_fret_agreement", "g21_phrase_quality": "phrase_quality",
     "g21_texture_shares": "texture_shares", "g22_evidence_per_class": "evidence_per_class", "g23_stem_bar_activity": "stem_bar_activity", "g24_estimate_presence": "estimate_presence", 
-    "g27_block_der": "block_der", "g29_cause_per_minute": "cause_matrix", "g29_discrimination": "discrimination", "g30_category_deltas": "category_deltas", "g31_fix_first": "fix_first", "g32_null_spread": "null_spread",
+    "g27_block_der": "block_der", 
     "g32_leak_summary": "leak_summary", "g35_song_health": "song_health", "g37_bleed_bars": "bleed_bars", "g38_vocal_per_bar": "vocal_per_bar", "g43_resource_gate": "resource_gate", "g43_mixed_rungs": "mixed_rungs", "g44_cross_talk": "cross_talk",
-    "g45_tracker_accuracy": "tracker_accuracy", "g52_select_on_dev": "select_on_dev", "g53_identity_verdict": "identity_verdict", "j12_repeat_note_links": "repeat_note_links", "j13_repeat_window_pairs": "repeat_window_pairs", "j14_overlap_seconds": "overlap_seconds",
+    "g52_select_on_dev": "select_on_dev", "g53_identity_verdict": "identity_verdict", "j14_overlap_seconds": "overlap_seconds",
     "j16_levels_at_onset": "levels_at_onset", "j17_paired_runs": "paired_runs", "j20_apply_offsets": "apply_offsets", "p16_stem_view_levels": "stem_view_levels", "l15_import_predictions": "import_predictions",
     "l18_summary_card": "summary_card", "q1_note_rules": "note_rules", "q1_segment_rules": "segment_rules", "q3_manifest_status": "manifest_status", "w3_sixteen_features": "note_features", "g28_capture": "capture", "g36_merged_bursts": "burst_spans",
     "g42_level_histogram": "level_histogram", "g46_identical_bars": "identical_bars", "g39_stem_windows": "stem_windows", "j2_unmatched_by_source": "unmatched_by_source", "j18_contamination": "contamination", "l7_forced_and_blocked": "incremental_plan",

@@ -96,6 +96,37 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("song_id", "bar", "start_us", F.lead("start_us").over(w).alias("end_us"), "n_beats").where("end_us is not null")
 
 
+def doubled_beats(spark: SparkSession, d: str) -> DataFrame:
+    """song_id, t_us, down, act: beats as a tracker gives them, some of them twice."""
+    b, n = beats(spark, d), F.col("beat_no")
+    twice = b.where(n % 37 == 5).select("song_id", (F.col("t_us") + 90_000).alias("t_us"), F.lit(False).alias("down"), (n * 31 % 100 / 100).alias("act"))
+    return b.select("song_id", "t_us", (F.col("beat") == 1).alias("down"), (n * 7919 % 100 / 100).alias("act")).unionByName(twice)
+
+
+def gappy_beats(spark: SparkSession, d: str) -> DataFrame:
+    """song_id, t_us: beats with two in 41 lacking."""
+    return beats(spark, d).where(~(F.col("beat_no") % 41).isin(7, 8)).select("song_id", "t_us")
+
+
+def levelled_beats(spark: SparkSession, d: str) -> DataFrame:
+    """song_id, t_us: beats tracked at twice their number in five bars of fifty."""
+    b = beats(spark, d)
+    return b.select("song_id", "t_us").unionByName(b.where((F.col("bar") % 50).between(10, 14)).select("song_id", (F.col("t_us") + 250_000).alias("t_us")))
+
+
+def tracker_frames(spark: SparkSession, d: str) -> DataFrame:
+    """song_id, line, tracker, frame (10 ms), midi, conf: what three trackers hear of each line; one rests in every third note, some notes are heard an octave or a half tone higher."""
+    spread = notes_ref(spark, d).select("song_id", "line", "note_id", "pitch", F.explode(F.sequence(F.expr("onset_us div 10000"), F.expr("offset_us div 10000"))).alias("frame"))
+    heard = spread.groupBy("song_id", "line", "frame").agg(F.max("note_id").alias("n"), F.max_by("pitch", "note_id").alias("p"))
+    n, k, f = F.col("n"), F.col("tracker"), F.col("frame")
+    off = (
+        F.when(k == 1, (n % 7 - 3) * 0.1 + F.when(n % 11 == 0, 12).otherwise(0)).when(k == 2, (n % 5 - 2) * 0.15 + F.when(n % 11 == 0, 12).when(n % 13 == 0, 1).otherwise(0))
+        .when(n % 3 != 0, F.when(n % 13 == 0, 1.2).otherwise(0.2))
+    )
+    rows = heard.withColumn("tracker", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    return rows.select("song_id", "line", "tracker", "frame", (F.col("p") + off + (f * 7 % 5 - 2) * 0.02).alias("midi"), ((f * 13 + k * 5) % 10 / 10).alias("conf"))
+
+
 def sections(spark: SparkSession, d: str) -> DataFrame:
     n = BEATS // 4
     rows = songs(spark, d).select("song_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // 16).cast("long"))).alias("section"))
