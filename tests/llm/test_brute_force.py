@@ -236,6 +236,44 @@ def test_op7_report_and_redaction(spark):
     assert all(re.fullmatch(r"mail <email> or call <phone> ip <ip>", red[i]) for i in range(60))
 
 
+def test_op7_adds_what_its_format_and_held_out_evidence_support(spark):
+    r = random.Random(40)
+    number = lambda: f"({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"
+    texts = [f"{prose(r, 4)} {'call' if i % 25 else 'x'} {number()} {prose(r, 5)} +1 {number()} {prose(r, 4)} {r.randrange(200, 999)}.555.{r.randrange(1000, 9999)} end 4111 1111 1111 1112" for i in range(400)]
+    got = {x.doc_id: [(s.kind, texts[x.doc_id][s.start : s.end]) for s in x.spans] for x in pii.personal_data(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        # the local number, named or not; nothing within the international one, no dotted one, no card that fails its sum
+        local = re.search(r"\(\d+\) 555-\d+", t)[0]
+        assert got[i] == [("local_phone", local), ("phone", re.search(r"\+1 \(\d+\) 555-\d+", t)[0])]
+    rep = {x.kind: x for x in pii.report(docs_of(spark, texts)).collect()}["local_phone"]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    named = sum(i % 25 > 0 for i in held)
+    assert (rep.candidates, rep.right, rep.kept, rep.precision, rep.recall) == (2 * len(held), named, len(held), named / len(held), 1.0)
+    # without evidence nothing is added
+    bare = [t.replace("call", "x") for t in texts]
+    assert all([s.kind for s in x.spans] == ["phone"] for x in pii.personal_data(docs_of(spark, bare)).collect())
+
+
+def test_op7_trees_and_thresholds():
+    g = np.random.default_rng(41)
+    x = g.integers(0, 4, (300, len(pii.FEATURES)))
+    n = g.integers(1, 9, 300).astype(float)
+    right = np.where((x[:, 1] > 1) ^ (x[:, 4] > 2), n, 0.0)
+    gr, h = right - n / 2, n / 4
+    gain = lambda at: gr[at].sum() ** 2 / (h[at].sum() + 1)
+    every = [(gain(x[:, f] <= t) + gain(x[:, f] > t) - gain(np.ones(300, bool)), f, t) for f in range(x.shape[1]) for t in range(3)]
+    assert pii.best_split(x, gr, h) == pytest.approx(max(every))
+    start, trees = pii.boost(x, n, right)
+    z = start + sum(pii.margin(t, x) for t in trees)
+    assert ((z > 0) == (right > 0)).mean() > 0.97
+    least = pii.thresholds(x, n, right, z)
+    for k in range(len(pii.KINDS)):
+        own = x[:, 0] == k
+        share = lambda b, own=own: (right[own & (z >= b)].sum() + 1) / (n[own & (z >= b)].sum() + 2)
+        fine = [b for b in set(z[own]) if share(b - 1e-9) >= pii.PRECISION]
+        assert least[k] == pytest.approx(min(fine) - 1e-9) if fine else least[k] == float("inf")
+
+
 # op6
 
 
