@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .timeline import asof_join
 
 
 def merge_fragments(notes: DataFrame, join_us: int = 30_000, early_us: int = 5_000, short_us: int = 80_000) -> DataFrame:
@@ -72,7 +71,7 @@ FAMILIES, KIND = ["bin", "ter", "swing"], {"bin": 0, "ter": 1, "swing": 0}
 
 def viterbi_families(costs: DataFrame, switch: float = 1.0) -> DataFrame:
     """song_id, beat, family: the families of least total cost, `switch` being paid where even and ternary meet; ties in order of
-    FAMILIES. costs: song_id, beat, family, cost; beats without a row cost nothing in any family that the song uses."""
+    FAMILIES. costs: song_id, beat, family, cost; a family without a row is not allowed in a beat that has others; beats without any row cost nothing in any family that the song uses."""
 
     def run(key, t):
         beat, cost = t.column("beat").to_numpy(), t.column("cost").to_numpy()
@@ -80,6 +79,7 @@ def viterbi_families(costs: DataFrame, switch: float = 1.0) -> DataFrame:
         used = [f for f in FAMILIES if f in set(name)]
         lo, hi = int(beat.min()), int(beat.max())
         grid = np.zeros((hi - lo + 1, len(used)))
+        grid[beat - lo] = np.inf
         for b, f, c in zip(beat, name, cost):
             grid[b - lo, used.index(f)] = c
         pay = np.array([[switch * (KIND[a] != KIND[b]) for b in used] for a in used])
@@ -96,30 +96,6 @@ def viterbi_families(costs: DataFrame, switch: float = 1.0) -> DataFrame:
     return costs.select("song_id", F.col("beat").cast("long").alias("beat"), "family", F.col("cost").cast("double").alias("cost")).groupBy("song_id").applyInArrow(run, "song_id long, beat long, family string")
 
 
-def quantize_notes(notes: DataFrame, families: DataFrame, points: DataFrame, beats: DataFrame, ticks: int = 48, sigma_ms: float = 30.0) -> DataFrame:
-    """song_id, note_id, gtick, dur, bar, tick, family, resid_ms: onset and offset on the grid of their beat's family (bin without one); the
-    shortest note is one step of the family of the beat that holds the quantised onset. points: family, tick, played (share
-    of the beat), pen; beats: song_id, beat_no, bar, t_us, and next_us."""
-    span = beats.select("song_id", "beat_no", "bar", "beat", "t_us", "next_us")
-
-    def placed(t: str, out: str) -> DataFrame:
-        at = asof_join(notes.select("song_id", "note_id", t), span, ["song_id"], t, "t_us").where("mark is not null")
-        at = at.select("song_id", "note_id", F.col("mark.beat_no").cast("long").alias("b"), ((F.col(t) - F.col("mark.t_us")) / (F.col("mark.next_us") - F.col("mark.t_us"))).alias("fr"), ((F.col("mark.next_us") - F.col("mark.t_us")) / 1000.0).alias("ms"))
-        at = at.join(families.select("song_id", F.col("beat").alias("b"), "family"), ["song_id", "b"], "left").withColumn("family", F.coalesce("family", F.lit("bin")))
-        r = (F.col("played") - F.col("fr")) * F.col("ms") / sigma_ms
-        best = at.join(F.broadcast(points), "family").groupBy("song_id", "note_id", "b", "family").agg(F.min_by(F.struct("tick", ((F.col("fr") - F.col("played")) * F.col("ms")).alias("resid")), F.struct(F.round(r * r + F.col("pen"), 9), "tick")).alias("p"))
-        return best.select("song_id", "note_id", F.col("b").alias(f"{out}_beat"), F.col("family").alias(f"{out}_family"), (F.col("b") * ticks + F.col("p.tick")).alias(out), F.col("p.resid").alias(f"{out}_resid"))
-
-    step = points.where("tick > 0").groupBy("family").agg(F.min("tick").alias("step"))
-    rows = placed("onset_us", "g").join(placed("offset_us", "z").select("note_id", "z"), "note_id")
-    rows = rows.withColumn("_hold", F.floor(F.col("g") / ticks).cast("long")).join(families.select("song_id", F.col("beat").alias("_hold"), F.col("family").alias("_f")), ["song_id", "_hold"], "left")
-    rows = rows.withColumn("family", F.when(F.col("_hold") == F.col("g_beat"), F.col("g_family")).otherwise(F.coalesce("_f", F.lit("bin")))).join(F.broadcast(step), "family")
-    bar = span.select("song_id", F.col("beat_no").cast("long").alias("_hold"), "bar", "beat")
-    rows = rows.join(bar, ["song_id", "_hold"])
-    tick = (F.col("beat") - 1) * ticks + F.col("g") - F.col("_hold") * ticks
-    return rows.select("song_id", "note_id", F.col("g").alias("gtick"), F.greatest(F.col("z") - F.col("g"), F.col("step")).alias("dur"), "bar", tick.alias("tick"), F.col("g_family").alias("family"), F.round("g_resid", 2).alias("resid_ms"))
-
-
 def drifting_offsets(scores: DataFrame, start: DataFrame, gain: float = 0.03, least: int = 40, reach: int = 2) -> DataFrame:
     """song_id, block, shift: blocks keep the offset in force unless another within `reach` of the song's own scores at least `gain`
     more and the block has `least` notes. scores: song_id, block, notes, shift, f1; start: song_id, shift."""

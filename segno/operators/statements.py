@@ -198,15 +198,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     ),
     "section_density": ("", "SELECT s.song_id, s.section, s.label, count(*) AS notes, round(count(*) / min(s.end_bar - s.start_bar), 6) AS per_bar FROM {placed} p JOIN {sections} s ON p.song_id = s.song_id AND p.bar >= s.start_bar AND p.bar < s.end_bar GROUP BY s.song_id, s.section, s.label"),
     # harmony and metre
-    "meter_feel": (
-        """d AS (SELECT DISTINCT song_id, anchor_us FROM {clusters}), f AS (SELECT song_id, anchor_us, anchor_us % 500000 / 500000.0 AS fr, CAST(floor(anchor_us / 32000000) AS BIGINT) AS section FROM d), c AS (SELECT song_id, section, count(CASE WHEN abs(fr - 1 / 3.0) < 0.06 THEN 1 END) AS third, count(CASE WHEN abs(fr - 0.5) < 0.06 THEN 1 END) AS half, count(CASE WHEN abs(fr - 2 / 3.0) < 0.06 THEN 1 END) AS two_thirds FROM f GROUP BY song_id, section)""",
-        "SELECT song_id, section, third, half, two_thirds, CASE WHEN two_thirds >= 8 AND two_thirds >= 2 * half AND third <= 0.35 * two_thirds THEN 'triplet8th' WHEN half >= 8 AND half >= 2 * two_thirds THEN 'straight' ELSE 'none' END AS feel FROM c",
-    ),
-    "quantize_costs": (
-        """g AS (SELECT note_id, song_id, CAST(floor(onset_us / 500000) AS BIGINT) AS beat, onset_us % 500000 / 500000.0 AS fr FROM {notes}), p8 AS (SELECT SEQ(0, 8) AS k), p6 AS (SELECT SEQ(0, 6) AS k), pt AS (SELECT 'bin' AS family, k, k / 8.0 AS played, k * 6 AS tick, CASE WHEN k % 8 = 0 THEN 0.0 WHEN k % 4 = 0 THEN 0.3 WHEN k % 2 = 0 THEN 0.9 ELSE 2.5 END AS pen, k % 8 <> 0 AS off FROM p8 UNION ALL SELECT 'ter', k, k / 6.0, k * 8, CASE WHEN k % 6 = 0 THEN 0.0 WHEN k % 2 = 0 THEN 0.6 ELSE 2.0 END, k % 6 <> 0 FROM p6),
- c AS (SELECT g.note_id, g.song_id, g.beat, pt.family, pt.k, pt.tick, pt.pen, pt.off, power((played - fr) * 500 / 30, 2) AS r2 FROM g CROSS JOIN pt), b AS (SELECT *, row_number() OVER (PARTITION BY note_id, family ORDER BY round(r2 + pen, 9), k) AS place FROM c)""",
-        "SELECT song_id, beat, family, round(sum(least(r2, 9) + pen) + CASE WHEN family = 'ter' AND max(CASE WHEN off THEN 1 ELSE 0 END) = 1 THEN 1 ELSE 0 END, 6) AS cost, count(*) AS notes, CAST(sum(tick) AS BIGINT) AS ticks FROM b WHERE place = 1 GROUP BY song_id, beat, family",
-    ),
     # edits, runs and catalogue
     "import_predictions": ("m AS (SELECT 0 AS track, 'L1' AS line UNION ALL SELECT 1, 'L2')", "SELECT e.song_id, e.note_id, coalesce(m.line, concat('T', CAST(e.line AS VARCHAR(9)))) AS line FROM {est} e LEFT JOIN m ON e.line = m.track"),
     "summary_card": (

@@ -48,31 +48,6 @@ def w35_refine_beats(spark, d):
     return folds.refine_beats(X.beats(spark, d), onsets)
 
 
-def families(spark, d):
-    costs = statements.apply("quantize_costs", notes=X.notes_ref(spark, d))
-    return folds.viterbi_families(costs)
-
-
-@query()
-def w29_viterbi_families(spark, d):
-    return families(spark, d)
-
-
-def grid_points(spark):
-    """Points of both families of a quarter beat: family, tick, played, pen."""
-    level = lambda k, of: 2.5 if k % 2 and of == 8 else 2.0 if k % 2 else 0.0
-    rows = [("bin", k * 6, k / 8, 0.0 if k % 8 == 0 else 0.3 if k % 4 == 0 else 0.9 if k % 2 == 0 else level(k, 8)) for k in range(9)]
-    rows += [("ter", k * 8, k / 6, 0.0 if k % 6 == 0 else 0.6 if k % 2 == 0 else level(k, 6)) for k in range(7)]
-    return spark.createDataFrame(rows, "family string, tick int, played double, pen double")
-
-
-@query()
-def w30_quantize_notes(spark, d):
-    w = Window.partitionBy("song_id").orderBy("beat_no")
-    beats = X.beats(spark, d).withColumn("next_us", F.lead("t_us").over(w)).where("next_us is not null")
-    return folds.quantize_notes(X.notes_ref(spark, d), families(spark, d), grid_points(spark), beats)
-
-
 @query()
 def g19_drifting_offsets(spark, d):
     bars = X.notes_ref(spark, d).select("song_id", F.expr("onset_us div 2000000").alias("bar"), "pitch")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chords, consensus, edits, errors, evidence, folds, matching, more, names, parts, pulse, readers, scores, sheets, statements, streams, surface  # noqa: F401  (they register their queries)
+from . import chords, consensus, edits, errors, evidence, folds, matching, metre, more, names, parts, pulse, readers, scores, sheets, statements, streams, surface  # noqa: F401  (they register their queries)
 from .queries import ORACLES, QUERIES
 
 

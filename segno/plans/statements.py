@@ -12,7 +12,6 @@ NAMES = {
     "w18_running_median": "running_median", "w19_tuning_offset": "tuning_offset", "w20_gap_fill_runs": "gap_fill_runs", "w40_pair_relation": "pair_relation",
     "w1_symbolic_roles": "symbolic_roles", "w2_chord_share_roles": "chord_share_roles", "w4_part_features": "part_features", 
     "w8_order_and_names": "order_parts", "w9_section_roles": "section_roles", "w10_role_view": "role_view", "w14_solo_gate": "solo_gate", "w15_spatial_split": "spatial_split",
-    "w28_quantize_costs": "quantize_costs", "w31_meter_feel": "meter_feel", 
     "w37_repeat_groups": "repeat_groups", "w38_snap_and_merge_sections": "snap_and_merge_sections", "w43_band_window_truth": "band_window_truth", "w45_exp_split_windows": "exp_split_windows",
     "g20_per_part_best": "per_part_best", "g21_downbeat_share": "downbeat_share", "g21_string_fret_agreement": "string_fret_agreement", "g21_phrase_quality": "phrase_quality",
     "g21_texture_shares": "texture_shares", "g22_evidence_per_class": "evidence_per_class", "g23_stem_bar_activity": "stem_bar_activity", "g24_estimate_presence": "estimate_presence", 
