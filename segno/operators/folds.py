@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-
 def merge_fragments(notes: DataFrame, join_us: int = 30_000, early_us: int = 5_000, short_us: int = 80_000) -> DataFrame:
     """song_id, pitch, note_id, onset_us, offset_us, merged: a note goes into the one of its pitch before it if it starts from early_us
     before to join_us after that one's end without an attack, and is shorter than short_us or has no evidence; what was
