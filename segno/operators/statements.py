@@ -205,14 +205,6 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT n.song_id, notes, p0, p1, p2, warnings, bpm, s.label AS longest FROM n JOIN m ON n.song_id = m.song_id JOIN s ON n.song_id = s.song_id AND s.k = 1",
     ),
     # whole forms of rules that other queries give in part
-    "note_rules": (
-        "v AS (SELECT song_id, note_id, onset_us, CASE WHEN note_id % 13 = 0 THEN onset_us - 1 ELSE offset_us END AS z, CASE WHEN note_id % 17 = 0 THEN 130 ELSE pitch END AS p, CASE WHEN note_id % 23 = 0 THEN 'unheard' ELSE instrument END AS cls, CASE WHEN note_id % 19 <> 0 THEN line END AS string, CASE WHEN note_id % 29 <> 0 THEN note_id % 12 END AS fret FROM {est}), o AS (SELECT *, lag(onset_us) OVER (PARTITION BY song_id ORDER BY note_id) AS prev FROM v), r AS (SELECT song_id, note_id, concat_ws(',', CASE WHEN z < onset_us THEN 'offset' END, CASE WHEN p NOT BETWEEN 0 AND 127 THEN 'pitch' END, CASE WHEN cls NOT IN ('click', 'view', 'purchase', 'signup', 'error') THEN 'instrument' END, CASE WHEN onset_us < prev THEN 'order' END, CASE WHEN (string IS NULL) <> (fret IS NULL) THEN 'string' END) AS rules FROM o)",
-        "SELECT song_id, note_id, rules FROM r WHERE rules <> ''",
-    ),
-    "segment_rules": (
-        "g AS (SELECT song_id, w, start_us + CASE WHEN w % 11 = 3 THEN 9000000 ELSE 0 END AS a, end_us - CASE WHEN w % 13 = 5 THEN 9000000 ELSE 0 END AS z FROM {spans}), p AS (SELECT *, lag(z) OVER (PARTITION BY song_id ORDER BY w) AS before FROM g)",
-        "SELECT song_id, w, CASE WHEN z <= a THEN 'empty' ELSE 'overlap' END AS fault FROM p WHERE z <= a OR a < before",
-    ),
     "manifest_status": (
         "r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 WHEN doc_id % 5 = 0 THEN -1 ELSE 0 END AS off FROM {labels}), h AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM {documents} WHERE doc_id % 9 <> 4)",
         "SELECT coalesce(r.doc_id, h.doc_id) AS doc_id, CASE WHEN r.doc_id IS NULL THEN 'extra' WHEN h.doc_id IS NULL THEN 'absent' WHEN r.doc_id % 11 = 0 THEN 'manual' WHEN off > 0 THEN 'partial' WHEN off < 0 THEN 'mismatch' ELSE 'verified' END AS status FROM r FULL JOIN h ON r.doc_id = h.doc_id",

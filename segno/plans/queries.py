@@ -390,6 +390,19 @@ def q1_validate_notes(spark, d):
     return bad.select("note_id", F.array_join("rules", ",").alias("rules"))
 
 
+@query(""", fa AS (SELECT song_id, note_id, onset_us, CASE WHEN note_id % 13 = 0 THEN onset_us - 1 ELSE offset_us END AS z, CASE WHEN note_id % 17 = 0 THEN 130 ELSE pitch END AS p, CASE WHEN note_id % 23 = 0 THEN 'unheard' WHEN note_id % 31 <> 0 THEN instrument ELSE '' END AS cls, note_id % 19 = 0 AS nostring, note_id % 29 = 0 AS nofret FROM ne),
+ fb AS (SELECT a.*, lag((onset_us, p, z, cls)) OVER (PARTITION BY song_id ORDER BY note_id) AS prev FROM fa a), fc AS (SELECT song_id, note_id, concat_ws(',', CASE WHEN z < onset_us THEN 'offset' END, CASE WHEN p > 127 THEN 'pitch' END, CASE WHEN cls = 'unheard' THEN 'instrument' END, CASE WHEN (onset_us, p, z, cls) < prev THEN 'order' END, CASE WHEN nostring <> nofret THEN 'string' END) AS rules FROM fb)
+ SELECT * FROM fc WHERE rules <> ''""")
+def q1_note_rules(spark, d):
+    return quality.note_rules(X.faulty_notes(spark, d), ["click", "view", "purchase", "signup", "error"])
+
+
+@query(""", sa AS (SELECT song_id, "window" AS place, start_us + CASE WHEN "window" % 11 = 3 THEN 9000000 ELSE 0 END AS a, end_us - CASE WHEN "window" % 13 = 5 THEN 9000000 WHEN "window" % 13 = 7 THEN -1000000 ELSE 0 END AS z FROM wn)
+ SELECT s.song_id, s.place, CASE WHEN s.z <= s.a THEN 'empty' ELSE 'overlap' END AS fault FROM sa s LEFT JOIN sa b ON b.song_id = s.song_id AND b.place = s.place - 1 WHERE s.z <= s.a OR s.a < coalesce(b.z, 0)""")
+def q1_segment_rules(spark, d):
+    return quality.segment_rules(X.faulty_segments(spark, d))
+
+
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'extra' WHEN sha256(d.text) = sha256(CASE WHEN l.quality = 1 THEN d2.text ELSE '' END) THEN 'verified' ELSE 'mismatch' END AS status FROM documents d FULL JOIN labels l USING (doc_id) LEFT JOIN documents d2 ON d2.doc_id = l.doc_id", cte=False)
 def q3_verify_manifest(spark, d):
     docs = X.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))

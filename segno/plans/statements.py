@@ -19,7 +19,7 @@ NAMES = {
     "g32_leak_summary": "leak_summary", "g35_song_health": "song_health", "g37_bleed_bars": "bleed_bars", "g38_vocal_per_bar": "vocal_per_bar", "g43_resource_gate": "resource_gate", "g43_mixed_rungs": "mixed_rungs", "g44_cross_talk": "cross_talk",
     "g52_select_on_dev": "select_on_dev", "g53_identity_verdict": "identity_verdict", "j14_overlap_seconds": "overlap_seconds",
     "j16_levels_at_onset": "levels_at_onset", "j17_paired_runs": "paired_runs", "j20_apply_offsets": "apply_offsets", "p16_stem_view_levels": "stem_view_levels", "l15_import_predictions": "import_predictions",
-    "l18_summary_card": "summary_card", "q1_note_rules": "note_rules", "q1_segment_rules": "segment_rules", "q3_manifest_status": "manifest_status", "w3_sixteen_features": "note_features", "g28_capture": "capture", "g36_merged_bursts": "burst_spans",
+    "l18_summary_card": "summary_card", "q3_manifest_status": "manifest_status", "w3_sixteen_features": "note_features", "g28_capture": "capture", "g36_merged_bursts": "burst_spans",
     "g42_level_histogram": "level_histogram", "g46_identical_bars": "identical_bars", "g39_stem_windows": "stem_windows", "j2_unmatched_by_source": "unmatched_by_source", "j18_contamination": "contamination", "l7_forced_and_blocked": "incremental_plan",
     "l11_experiment_ledger": "experiment_ledger", "l16_catalog": "catalog", "s3_review_queue_edits": "review_queue", "t3_bars_outside": "bar_tick_outside", "g10_ranked_bars": "worst_bars_ranked", "w12_section_windows": "section_windows",
     "w23_gated_spans": "gated_spans", "a10_recipe_key": "recipe_key", "l14_swaps_and_inserts": "corrupted_more",

@@ -41,6 +41,22 @@ def notes_est(spark: SparkSession, d: str) -> DataFrame:
     return kept.unionByName(added)
 
 
+def faulty_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated notes as a file might hold them, with faults of every kind; place is note_id."""
+    n = F.col("note_id")
+    return notes_est(spark, d).select(
+        "song_id", "note_id", n.alias("place"), "onset_us", F.when(n % 13 == 0, F.col("onset_us") - 1).otherwise(F.col("offset_us")).alias("offset_us"), F.when(n % 17 == 0, 130).otherwise(F.col("pitch")).alias("pitch"),
+        F.when(n % 23 == 0, "unheard").when(n % 31 != 0, F.col("instrument")).alias("instrument"), F.when(n % 19 != 0, F.col("line")).alias("string"), F.when(n % 29 != 0, n % 12).alias("fret"),
+    )
+
+
+def faulty_segments(spark: SparkSession, d: str) -> DataFrame:
+    """song_id, place, start_us, end_us: windows of which some start late or end early."""
+    w = windows(spark, d)
+    late, early = F.when(F.col("window") % 11 == 3, 9_000_000).otherwise(0), F.when(F.col("window") % 13 == 5, 9_000_000).when(F.col("window") % 13 == 7, -1_000_000).otherwise(0)
+    return w.select("song_id", F.col("window").alias("place"), (F.col("start_us") + late).alias("start_us"), (F.col("end_us") - early).alias("end_us"))
+
+
 def signatures(spark: SparkSession, d: str) -> DataFrame:
     """note_id, ild_db (level of left over right; some unknown), coh (coherence of both), ms_db (middle over side): a stereo signature of each note."""
     n = F.col("note_id")

@@ -18,6 +18,31 @@ def split_by_rules(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame,
     return marked.where(F.size("rules") == 0).drop("rules"), marked.where(F.size("rules") > 0)
 
 
+def note_rules(notes: DataFrame, instruments: list[str], lowest: int = 0, highest: int = 127) -> DataFrame:
+    """song_id, note_id, rules (joined by commas) of notes that break one: offset (before the onset, or a time lacks), pitch (outside lowest to highest, or lacks), instrument
+    (named but unknown), order (by onset, pitch, offset and name it comes before the note just above it), string (a string without a fret or a fret without a string).
+
+    notes: song_id, note_id, place (its line in the file), onset_us, offset_us, pitch, instrument, string, fret.
+    """
+    key = F.struct("onset_us", "pitch", "offset_us", F.coalesce("instrument", F.lit("")).alias("i"))
+    before = F.lag(key).over(Window.partitionBy("song_id").orderBy("place"))
+    c = F.col
+    broken = {
+        "offset": F.coalesce(c("offset_us") < c("onset_us"), F.lit(True)), "pitch": F.coalesce(~c("pitch").between(lowest, highest), F.lit(True)),
+        "instrument": F.coalesce(~c("instrument").isin(instruments), F.lit(False)), "order": F.coalesce(key < before, F.lit(False)), "string": c("string").isNull() != c("fret").isNull(),
+    }
+    names = F.concat_ws(",", *[F.when(b, n) for n, b in broken.items()])
+    return notes.select("song_id", "note_id", names.alias("rules")).where("rules <> ''")
+
+
+def segment_rules(segments: DataFrame) -> DataFrame:
+    """song_id, place, fault of segments (song_id, place, start_us, end_us) that are empty, or that start before the end of the one above them (overlap); the first may
+    not start before 0."""
+    before = F.lag("end_us", 1, 0).over(Window.partitionBy("song_id").orderBy("place"))
+    fault = F.when(F.coalesce(F.col("end_us") <= F.col("start_us"), F.lit(True)), "empty").when(F.col("start_us") < before, "overlap")
+    return segments.select("song_id", "place", fault.alias("fault")).where("fault is not null")
+
+
 def grid_violations(beats: DataFrame) -> DataFrame:
     """song_id, beat_no, rules: beats that are not after the one before (time) or in an earlier bar (bar)."""
     w = Window.partitionBy("song_id").orderBy("beat_no")

@@ -7,6 +7,7 @@ import statistics
 import pytest
 
 from segno.operators import errors, pulse, repeats, trackers
+from segno.sources import quality
 
 
 def doubled_by_hand(beats):
@@ -181,3 +182,15 @@ def test_error_tables(spark):
     out = [("x", "+a", "drums", True, False)] * 3 + [("x", "+a", "drums", False, False)] + [("x", "+a", None, True, True)] * 2
     got = errors.discrimination(spark.createDataFrame(out, "arm string, cond string, dominant string, dropped boolean, matched boolean"))
     assert {x.dominant: (x.dropped, x.kept_fp, x.rate) for x in got.collect()} == {"drums": (3, 1, 0.75), "_true": (2, 0, None)}
+
+
+def test_note_and_segment_rules(spark):
+    n = [
+        (1, 1, 1, 0, 10, 60, "a", 1, 2), (1, 2, 2, 5, 4, 60, "a", 1, 2), (1, 3, 3, 5, 9, 128, "b", None, 2), (1, 4, 4, 5, 9, 60, None, None, None), (1, 5, 5, 5, 9, 60, "a", None, None),
+        (1, 6, 6, None, 9, None, "a", None, None), (2, 7, 7, 1, 2, 60, "a", 3, None),
+    ]
+    notes = spark.createDataFrame(n, "song_id long, note_id long, place long, onset_us long, offset_us long, pitch int, instrument string, string int, fret int")
+    got = {x.note_id: x.rules for x in quality.note_rules(notes, ["a"]).collect()}
+    assert got == {2: "offset", 3: "pitch,instrument,string", 4: "order", 6: "offset,pitch,order", 7: "string"}
+    s = spark.createDataFrame([(1, 0, -5, 3), (1, 1, 3, 8), (1, 2, 7, 9), (1, 3, 12, 12), (1, 4, 12, 20), (2, 0, 0, None)], "song_id long, place long, start_us long, end_us long")
+    assert sorted((x.song_id, x.place, x.fault) for x in quality.segment_rules(s).collect()) == [(1, 0, "overlap"), (1, 2, "overlap"), (1, 3, "empty"), (2, 0, "empty")]
