@@ -15,11 +15,12 @@ def play_order(bars: DataFrame) -> DataFrame:
 
     A repeat starts at the last opening bar (else after the last closed repeat, else at the start) and plays
     repeat_count times; a bar with alternate bits plays on those passes only. One fold over a song's bars, which a score
-    bounds; it takes at most one step for each bar and pass.
+    bounds. From one start a bar is reached once in a pass at most; a start after it is only taken when a closing bar before it, which
+    was skipped at first by its alternate bits, is played later, so there are at most as many further starts as such bars.
     """
     xs = F.array_sort(F.collect_list(F.struct("bar", "repeat_open", "repeat_count", "alternate"))).alias("xs")
-    songs = bars.groupBy("song_id").agg(xs, F.max(F.greatest("repeat_count", F.lit(1))).alias("passes"))
-    fold = """aggregate(sequence(1, size(xs) * (passes + 1)),
+    songs = bars.groupBy("song_id").agg(xs, F.max(F.greatest("repeat_count", F.lit(1))).alias("passes"), F.count_if((F.col("repeat_count") > 0) & (F.col("alternate") != 0)).cast("int").alias("twisted"))
+    fold = """aggregate(sequence(1, size(xs) * passes * (1 + twisted)),
       named_struct('i', 0, 'start', 0, 'pass', 1, 'jumped', false, 'out', cast(array() as array<bigint>)),
       (a, step) -> CASE WHEN a.i >= size(xs) THEN a ELSE
         transform(transform(array(element_at(xs, a.i + 1)), b -> named_struct('b', b, 's', if(b.repeat_open and not a.jumped, a.i, a.start), 'p', if(b.repeat_open and not a.jumped, 1, a.pass))),
