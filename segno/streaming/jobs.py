@@ -70,7 +70,7 @@ def bursts(events: DataFrame, median: DataFrame, window: str, late: str, least:
 def matches(left: DataFrame, right: DataFrame, keys: list[str], tol: str, late: str) -> DataFrame:
     """left id and right id of pairs of equal keys within tol of each other; both sides forget what the watermarks have passed.
 
-    left: keys, id, t; right: keys, r_id, r_t.
+    left: keys, id, t; right: keys, r_id, r_t. Times lie after 1970: what is before it is late from the start.
     """
     a, b = left.withWatermark("t", late), right.withWatermark("r_t", late)
     on = (F.col("t") >= F.col("r_t") - F.expr(f"INTERVAL {tol}")) & (F.col("t") <= F.col("r_t") + F.expr(f"INTERVAL {tol}"))

@@ -41,3 +41,11 @@ def test_play_order_ends_where_the_score_does(spark):
     for r in order.orderBy("song_id", "pos").collect():
         got[r["song_id"]].append(r["bar"])
     assert got == {s: plain_order(bars) for s, bars in enumerate(songs)}
+
+
+def test_stream_match_keeps_the_first_events(spark, tmp_path):
+    events = spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-01 00:00:01' AS ts, 1L AS user_id, 'click' AS event_type, 1.0D AS value, '{\"k\": 3}' AS props FROM range(1, 200)")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in streams.r5_stream_match(spark, str(tmp_path)).collect()}
+    moved = {n: (n * 7919 % 121 - 60) * 1000 for n in range(1, 200) if n % 10}
+    assert got == {(i, r) for i in range(1, 200) for r, t in moved.items() if abs(1_000_000 // 3600 - 1_000_000 // 3600 - t) <= 50_000}
