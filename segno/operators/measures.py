@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import isfinite
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -36,7 +39,7 @@ def paired_bootstrap(items: DataFrame, by: list[str], group: str, reps: int = 20
     totals = items.groupBy(*by, group).agg(*[F.sum(c).alias(c) for c in facts])
     w = Window.partitionBy(*by)
     totals = totals.withColumn("place", F.row_number().over(w.orderBy(group)) - 1).withColumn("n", F.count("*").over(w))
-    slots = totals.select(*by, "n", F.col("place").alias("slot")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    slots = totals.select(*by, "n", F.col("place").alias("slot")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).hint("merge")
     drawn = slots.withColumn("place", draw(seed, F.col("rep"), F.col("slot"), F.col("n")).cast("int"))
     delta = f1(*[F.col(c) for c in facts[3:]]) - f1(*[F.col(c) for c in facts[:3]])
     sums = [F.sum(c).alias(c) for c in facts]
@@ -98,9 +101,23 @@ def stem_levels(rows: DataFrame, by: str, x: str) -> DataFrame:
 
 
 def silence_gate(notes: DataFrame, level: str, share: float, part: float) -> DataFrame:
-    """notes + kept: the level reaches `part` of the song's `share` percentile."""
-    gate = notes.groupBy("song_id").agg((F.percentile(level, F.lit(share)) * part).alias("_gate"))
-    return notes.join(gate, "song_id").withColumn("kept", F.col(level) >= F.col("_gate")).drop("_gate")
+    """notes + kept: the level reaches `part` of the song's `share` percentile.
+
+    Levels may equal the gate, so the last digit of the percentile counts: of the two levels around it, the lower one's part is added to the rounded
+    part of the upper one with a single rounding, as a fused multiply-add does. One value a song takes this step; a song bounds its levels.
+    """
+
+    @F.udf("double")
+    def between(low, high, d):
+        if d == 0 or not (isfinite(low) and isfinite(high)):
+            return low * (1 - d) + high * d if d else low
+        return float(Fraction(low) * Fraction(1 - d) + Fraction(high * d))
+
+    xs = notes.groupBy("song_id").agg(F.array_sort(F.collect_list(F.col(level).cast("double"))).alias("_xs")).where(F.size("_xs") > 0)
+    at = (F.size("_xs") - 1) * F.lit(float(share))
+    near = lambda i: F.get("_xs", i.cast("int"))
+    gate = xs.select("song_id", (between(near(F.floor(at)), near(F.ceil(at)), at - F.floor(at)) * part).alias("_gate"))
+    return notes.join(gate, "song_id", "left").withColumn("kept", F.col(level) >= F.col("_gate")).drop("_gate")
 
 
 def anchor_find(anchors: DataFrame, notes: DataFrame, exact_us: int = 100, tol_us: int = 30_000) -> DataFrame:

@@ -43,6 +43,17 @@ def test_play_order_ends_where_the_score_does(spark):
     assert got == {s: plain_order(bars) for s, bars in enumerate(songs)}
 
 
+def test_silence_gate_rounds_once(spark):
+    import duckdb
+
+    random.seed(5)
+    rows = [(s, i, random.randint(0, 60) / 100) for s in range(300) for i in range(5 + s % 40)]
+    got = measures.silence_gate(spark.createDataFrame(rows, "song_id long, n long, v double"), "v", 0.95, 0.4)
+    df = spark.createDataFrame(rows, "song_id long, n long, v double").toPandas()  # noqa: F841
+    want = duckdb.sql("SELECT song_id, n, v >= 0.4 * q AS kept FROM df JOIN (SELECT song_id, quantile_cont(v, 0.95) AS q FROM df GROUP BY 1) USING (song_id)").fetchall()
+    assert sorted(tuple(r) for r in got.select("song_id", "n", "kept").collect()) == sorted(want)
+
+
 def test_stream_match_keeps_the_first_events(spark, tmp_path):
     events = spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-01 00:00:01' AS ts, 1L AS user_id, 'click' AS event_type, 1.0D AS value, '{\"k\": 3}' AS props FROM range(1, 200)")
     events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
