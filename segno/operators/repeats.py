@@ -5,30 +5,55 @@ A repeat map (matches) holds song_id, bar, other, score, place: for each bar the
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .match import near
 
+#: Bars of a song that are compared with all others at a time.
+PAIR_ROWS = 512
+
 
 def similar_bars(vectors: DataFrame, least: float = 0.6, top: int = 8) -> DataFrame:
     """The repeat map of bars given as vectors (song_id, bar, feature, x; what is not given is 0).
 
     Features are standardised over a song's bars, bars compared by their cosine, and each score averaged with those of the bars just before and just after both;
-    scores of at least `least` count, the `top` best of each bar. Songs bound the pairs. Features that never vary say nothing, and bars without any vary stay out.
+    scores of at least `least` count, the `top` best of each bar. Features that never vary say nothing, and bars without any vary stay out.
+    All pairs of a song are compared where its bars lie, some rows of pairs at a time; only pairs that may count leave the task.
     """
-    song, dims = ["song_id"], vectors.select("song_id", "feature").distinct()
-    full = vectors.select("song_id", "bar").distinct().join(dims, song).join(vectors, ["song_id", "bar", "feature"], "left").fillna(0.0, ["x"])
-    one = Window.partitionBy("song_id", "feature")
-    sd = F.stddev_pop("x").over(one)
-    z = full.select("song_id", "bar", "feature", F.when(sd > 0, (F.col("x") - F.avg("x").over(one)) / sd).otherwise(0.0).alias("z"))
-    z = z.withColumn("_norm", F.sqrt(F.sum(F.col("z") * F.col("z")).over(Window.partitionBy("song_id", "bar")))).where("_norm > 0 and z <> 0")
-    a, b = z.withColumnsRenamed({"bar": "a", "z": "za", "_norm": "na"}), z.withColumnsRenamed({"bar": "b", "z": "zb", "_norm": "nb"})
-    dots = a.join(b, ["song_id", "feature"]).where("a < b").groupBy("song_id", "a", "b", "na", "nb").agg(F.sum(F.col("za") * F.col("zb")).alias("dot"))
-    diagonal = Window.partitionBy("song_id", F.col("b") - F.col("a")).orderBy("a").rangeBetween(-1, 1)
-    score = F.round(F.avg(F.col("dot") / (F.col("na") * F.col("nb"))).over(diagonal), 6)
-    kept = dots.select("song_id", "a", "b", score.alias("score")).where(F.col("score") >= least)
+
+    def compare(key, t):
+        bars, at = np.unique(t.column("bar").to_numpy(), return_inverse=True)
+        features, of = np.unique(np.array(t.column("feature").to_pylist()), return_inverse=True)
+        x = np.zeros((len(bars), len(features)))
+        x[at, of] = t.column("x").to_numpy()
+        x = x[:, x.max(0) > x.min(0)]
+        z = (x - x.mean(0)) / x.std(0)
+        norm = np.sqrt((z * z).sum(1))
+        z, bars = z[norm > 0] / norm[norm > 0, None], bars[norm > 0]
+        # each bar with the ones before and after it in one row, which is 0 where there is none
+        sides, there = [z], [np.ones(len(bars))]
+        for step in (-1, 1):
+            i = np.minimum(np.searchsorted(bars, bars + step), max(len(bars) - 1, 0))
+            has = (bars[i] == bars + step).astype(float) if len(bars) else np.zeros(0)
+            sides.append(z[i] * has[:, None])
+            there.append(has)
+        wide, count = np.hstack(sides), np.stack(there, 1)
+        found = [(bars[:0], bars[:0], np.zeros(0))]
+        for lo in range(0, len(bars), PAIR_ROWS):
+            score = wide[lo : lo + PAIR_ROWS] @ wide.T / (count[lo : lo + PAIR_ROWS] @ count.T)
+            a, b = np.nonzero((score >= least - 1e-5) & (bars[lo : lo + PAIR_ROWS, None] < bars))
+            found.append((bars[lo + a], bars[b], score[a, b]))
+        a, b, raw = (np.concatenate(c) for c in zip(*found))
+        song = pa.array([key[0].as_py()] * len(a), t.schema.field("song_id").type)
+        return pa.table({"song_id": song, "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "raw": pa.array(raw, pa.float64())})
+
+    rows = vectors.select("song_id", F.col("bar").cast("long").alias("bar"), "feature", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x")).dropna()
+    pairs = rows.groupBy("song_id").applyInArrow(compare, f"song_id {rows.schema['song_id'].dataType.simpleString()}, a long, b long, raw double")
+    kept = pairs.select("song_id", "a", "b", F.round("raw", 6).alias("score")).where(F.col("score") >= least)
     ways = F.explode(F.array(F.struct(F.col("a").alias("bar"), F.col("b").alias("other")), F.struct(F.col("b").alias("bar"), F.col("a").alias("other"))))
     each = kept.select("song_id", "score", ways.alias("w")).select("song_id", "w.bar", "w.other", "score")
     return each.withColumn("place", F.row_number().over(Window.partitionBy("song_id", "bar").orderBy(F.desc("score"), "other"))).where(F.col("place") <= top)

@@ -60,3 +60,8 @@ def test_stream_match_keeps_the_first_events(spark, tmp_path):
     got = {tuple(r) for r in streams.r5_stream_match(spark, str(tmp_path)).collect()}
     moved = {n: (n * 7919 % 121 - 60) * 1000 for n in range(1, 200) if n % 10}
     assert got == {(i, r) for i in range(1, 200) for r, t in moved.items() if abs(1_000_000 // 3600 - 1_000_000 // 3600 - t) <= 50_000}
+
+
+def test_similar_bars_shuffle_no_pairs(spark):
+    vectors = spark.range(400).select((F.col("id") % 2).alias("song_id"), F.expr("id div 8").alias("bar"), F.expr("id div 2 % 4").alias("feature"), (F.col("id") * 7 % 5).cast("double").alias("x"))
+    assert "Join" not in plan(repeats.similar_bars(vectors))
