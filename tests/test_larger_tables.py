@@ -11,6 +11,18 @@ from segno.sources import fixtures as X
 DATA = "/root/testdata/sf0.001"
 
 
+def plan(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_beats_are_spread_and_never_broadcast(spark):
+    beats = X.beats(spark, DATA)
+    joined = beats.join(beats.select("song_id", "beat_no", "t_us").withColumnRenamed("t_us", "again"), ["song_id", "beat_no"])
+    assert "BroadcastHashJoin" not in plan(joined)
+    assert beats.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def plain_order(bars: list[tuple]) -> list[int]:
     out, i, start, at, jumped = [], 0, 0, 1, False
     while i < len(bars):
