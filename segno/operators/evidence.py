@@ -60,7 +60,7 @@ def window_lags(a: DataFrame, b: DataFrame, most: int, width: int, guard: int =
     lags = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")
     left = a.select("song_id", "frame", F.col("x").alias("xa"), F.floor(F.col("frame") / width).alias("window"), lags)
     energy = a.groupBy("song_id", F.floor(F.col("frame") / width).alias("window")).agg(F.sum(F.col("x") * F.col("x")).alias("ea"))
-    moved = b.select("song_id", F.col("frame").alias("_f"), F.col("x").alias("xb"), lags).withColumn("frame", F.col("_f") - F.col("lag"))
+    moved = b.select("song_id", F.col("frame").alias("_f"), F.col("x").alias("xb"), lags).withColumn("frame", F.col("_f") - F.col("lag")).hint("merge")  # a row for each lag, which Spark doesn't foresee
     other = moved.groupBy("song_id", F.floor(F.col("frame") / width).alias("window"), "lag").agg(F.sum(F.col("xb") * F.col("xb")).alias("eb"))
     dots = left.join(moved.select("song_id", "frame", "lag", "xb"), ["song_id", "frame", "lag"]).groupBy("song_id", "window", "lag").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"))
     rs = dots.join(other, ["song_id", "window", "lag"]).join(energy, ["song_id", "window"])
