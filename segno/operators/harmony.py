@@ -34,7 +34,7 @@ def sounding_shares(notes: DataFrame, beats: DataFrame, cell_us: int = CELL_US)
     n = notes.where("offset_us > onset_us").select("song_id", F.pmod("pitch", F.lit(12)).cast("int").alias("pc"), "onset_us", "offset_us", cells("onset_us", "offset_us"))
     b = beat_spans(beats).select("song_id", "beat_no", "t_us", "next_us", cells("t_us", "next_us"))
     start, end = F.greatest("onset_us", "t_us"), F.least("offset_us", "next_us")
-    both = n.join(b, ["song_id", "cell"]).where((start < end) & (F.floor(start / cell_us) == F.col("cell")))
+    both = n.hint("merge").join(b, ["song_id", "cell"]).where((start < end) & (F.floor(start / cell_us) == F.col("cell")))
     summed = both.groupBy("song_id", "beat_no", "pc").agg(F.sum(end - start).alias("us"), F.first(F.col("next_us") - F.col("t_us")).alias("beat_us"))
     return summed.select("song_id", "beat_no", "pc", (F.col("us") / F.col("beat_us")).alias("share"))
 
@@ -114,7 +114,7 @@ def chord_segments(costs: DataFrame, change: float = 0.15) -> DataFrame:
 
 def chord_path(segments: DataFrame) -> DataFrame:
     """song_id, beat_no, state of every beat."""
-    return segments.select("song_id", F.explode(F.sequence("start_beat", "end_beat")).alias("beat_no"), "state")
+    return segments.select("song_id", F.explode(F.sequence("start_beat", "end_beat")).alias("beat_no"), "state").hint("merge")
 
 
 def bass_checks(segments: DataFrame, bass: DataFrame) -> DataFrame:
