@@ -24,7 +24,8 @@ def placed_counts(placed: DataFrame, pitches: DataFrame, heard: DataFrame, by: l
     placed: song_id, by, bar, at, beats; pitches: song_id, bar, pitch, n; heard: song_id, pos (beats), pitch. Notes meet bars in whole beats, so
     that the join stays an equi-join.
     """
-    placed = placed.where("at >= 0 and beats > 0")
+    # many more rows than their files or what they grew from let Spark expect: merged, never broadcast
+    placed, heard = placed.where("at >= 0 and beats > 0").hint("merge"), heard.hint("merge")
     key = ["song_id", *by, "bar"]
     cells = placed.select(*key, "at", "beats", F.explode(F.sequence(F.floor("at"), F.floor(F.col("at") + F.col("beats")))).alias("_cell"))
     inside = heard.withColumn("_cell", F.floor("pos")).join(cells, ["song_id", "_cell"]).where("pos >= at and pos < at + beats")
@@ -48,7 +49,7 @@ def score_by_time(pages: DataFrame, path: DataFrame, beats: DataFrame, pitches:
     points = time_to_beat(path_interp(points, path, ["song_id"], "t", "x", "y"), beats, "y")
     g0, g1 = (F.max(F.when(F.col("e") == k, F.col("beat_pos"))) for k in (0, 1))
     bars = points.groupBy("song_id", "lead_us", "bar").agg(F.round(g0, 9).alias("at"), F.round(g1 - g0, 9).alias("beats")).where("beats > 0")
-    bars = written(bars, "placed")
+    bars = written(bars, "placed").hint("merge")
     scored = placed_counts(bars, pitches, heard, ["lead_us"]).withColumn("f1", bag_f1(F.col("tp"), F.col("n_ref"), F.col("n_est")))
     lead = scored.groupBy("song_id").agg(F.max_by("lead_us", F.struct("f1", -F.abs("lead_us"), -F.col("lead_us"))).alias("lead_us"))
     song = Window.partitionBy("song_id")
@@ -61,7 +62,7 @@ def score_by_time(pages: DataFrame, path: DataFrame, beats: DataFrame, pitches:
     rows = rows.withColumn("_even", steps * F.col("length")).withColumn("base", F.round(F.median(F.col("own") - F.col("_even")).over(within), 9))
     ways = [("even", 0.5 * k, abs(0.5 * k)) for k in range(-8, 9)] + [("own", 0.5 * k, abs(0.5 * k) + 0.25) for k in range(-2, 3)]
     tried = F.array(*[F.struct(F.lit(i).alias("way"), F.lit(kind).alias("kind"), F.lit(s).alias("shift"), F.lit(p).alias("penalty")) for i, (kind, s, p) in enumerate(ways)])
-    rows = written(rows.select("*", F.explode(tried).alias("w")).select("song_id", "lead_us", "measured", "block", "bar", "length", "away", "own", "own_beats", "base", "_even", "w.*"), "ways")
+    rows = written(rows.select("*", F.explode(tried).alias("w")).select("song_id", "lead_us", "measured", "block", "bar", "length", "away", "own", "own_beats", "base", "_even", "w.*"), "ways").hint("merge")
     even = F.col("kind") == "even"
     at = F.when(even, F.col("base") + F.col("_even")).otherwise(F.col("own")) + F.col("shift")
     laid = rows.select("song_id", "length", "block", "way", "bar", at.alias("at"), F.when(even, F.col("length")).otherwise(F.col("own_beats")).alias("beats"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..operators import sheets
+from ..operators import sheets, timeline
 from ..sources import fixtures as X
 from .queries import SPANS, query
 
@@ -44,7 +44,7 @@ def scored(spark, d):
     t0 = start + (F.col("bar") * 37 % 5 - 2) * 40_000
     pages = bars.select("song_id", "bar", t0.alias("t0")).withColumn("t1", F.lead("t0").over(Window.partitionBy("song_id").orderBy("bar")))
     path = bars.where("bar % 8 = 1").select("song_id", start.alias("x"), F.col("start_us").cast("double").alias("y"))
-    inside = X.notes_ref(spark, d).join(bars, "song_id").where("onset_us >= start_us and onset_us < end_us")
+    inside = timeline.asof_join(X.notes_ref(spark, d), bars, ["song_id"], "onset_us", "start_us").select("song_id", "pitch", "onset_us", "mark.bar", "mark.end_us").where("onset_us < end_us")
     pitches = inside.groupBy("song_id", "bar", "pitch").agg(F.count("*").alias("n"))
     return sheets.score_by_time(pages, path, X.beats(spark, d), pitches, X.notes_est(spark, d), LEADS)
 
