@@ -58,10 +58,16 @@ def refine_beats(beats: DataFrame, onsets: DataFrame, reach_us: int = 35_000, ra
     best = hit.groupBy("song_id", "beat_no").agg(F.max_by(F.struct("onset_us", "strength", "_med"), F.struct("strength", -F.col("onset_us"))).alias("o"))
     strong = (F.col("o.strength") > 0) & (F.col("o.strength") >= ratio * F.col("o._med"))
     moved = b.join(best, ["song_id", "beat_no"], "left").select("song_id", "beat_no", "t_us", F.when(strong, F.col("o.onset_us")).otherwise(F.col("t_us")).alias("to"))
-    rows = moved.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("beat_no", "t_us", "to"))).alias("xs"))
-    fold = """aggregate(xs, named_struct('last', cast(-9000000000000 as bigint), 'out', cast(array() as array<struct<beat_no:bigint,t_us:bigint>>)), (a, x) ->
-      transform(array(CASE WHEN x.to > a.last + 1000 THEN x.to WHEN x.t_us > a.last + 1000 THEN x.t_us ELSE a.last + 1000 END), t -> named_struct('last', t, 'out', array_append(a.out, named_struct('beat_no', x.beat_no, 't_us', t))))[0]).out"""
-    return rows.select("song_id", F.explode(F.expr(fold)).alias("x")).select("song_id", "x.*")
+
+    def run(key, t):
+        last, out = -9_000_000_000_000, []
+        for b, own, to in sorted(zip(*(t.column(c).to_pylist() for c in ("beat_no", "t_us", "to"))), key=lambda x: [(v is None, v or 0) for v in x]):
+            last = next((v for v in (to, own) if v is not None and v > last + 1000), last + 1000)
+            out.append((b, last))
+        return pa.table([pa.array([key[0].as_py()] * len(out), t.schema.field("song_id").type), *(pa.array(x, pa.int64()) for x in zip(*out))], names=["song_id", "beat_no", "t_us"])
+
+    # one pass over a song's beats: a list that is appended to in SQL is copied for every beat
+    return moved.withColumn("beat_no", F.col("beat_no").cast("long")).groupBy("song_id").applyInArrow(run, f"song_id {beats.schema['song_id'].dataType.simpleString()}, beat_no long, t_us long")
 
 
 #: The families of note values of a beat, and which of them are even or ternary.
