@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.scalars import draw, f1
+from .measures import spread
 
 
 def cause_matrix(errors: DataFrame, scores: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def redrawn(totals: DataFrame, by: list[str], group: str, stats: dict[str, Colum
     facts = [c for c in totals.columns if c not in (*by, group)]
     w = Window.partitionBy(*by)
     numbered = totals.withColumn("_place", F.row_number().over(w.orderBy(group)) - 1).withColumn("_n", F.count("*").over(w))
-    slots = numbered.select(*by, "_n", F.col("_place").alias("_slot")).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).hint("merge")
+    slots = spread(numbered.select(*by, "_n", F.col("_place").alias("_slot"))).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).hint("merge")
     drawn = slots.select(*by, "_rep", draw(seed, F.col("_rep"), F.col("_slot"), F.col("_n")).cast("int").alias("_place"))
     sums = [F.sum(c).alias(c) for c in facts]
     long = F.explode(F.array(*[F.struct(F.lit(n).alias("stat"), c.cast("double").alias("v")) for n, c in stats.items()]))

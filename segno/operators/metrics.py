@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.scalars import draw, f1, precision, recall
-from .measures import paired_bootstrap
+from .measures import paired_bootstrap, spread
 
 
 def note_prf(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def block_bootstrap(items: DataFrame, by: list[str], group: str, reps: int = 200
     totals = items.groupBy(*by, group).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     w = Window.partitionBy(*by)
     totals = totals.withColumn("place", F.row_number().over(w.orderBy(group)) - 1).withColumn("n", F.count("*").over(w))
-    slots = totals.select(*by, "n", F.col("place").alias("slot")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).hint("merge")
+    slots = spread(totals.select(*by, "n", F.col("place").alias("slot"))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).hint("merge")
     drawn = slots.withColumn("place", draw(seed, F.col("rep"), F.col("slot"), F.col("n")).cast("int"))
     facts = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
     each = drawn.join(totals.drop("n"), [*by, "place"]).groupBy(*by, "rep", "n").agg(*facts).withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn")))
@@ -91,7 +91,7 @@ def ratio_bootstrap(items: DataFrame, by: list[str], group: str, reps: int = 200
     totals = items.groupBy(*by, group).agg(*sums)
     w = Window.partitionBy(*by)
     totals = totals.withColumn("place", F.row_number().over(w.orderBy(group)) - 1).withColumn("_g", F.count("*").over(w))
-    slots = totals.select(*by, "_g", F.col("place").alias("slot")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).hint("merge")
+    slots = spread(totals.select(*by, "_g", F.col("place").alias("slot"))).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).hint("merge")
     drawn = slots.withColumn("place", draw(seed, F.col("rep"), F.col("slot"), F.col("_g")).cast("int"))
     ratio = F.try_divide("total", "n")
     each = drawn.join(totals.drop("_g"), [*by, "place"]).groupBy(*by, "rep").agg(*sums).withColumn("x", ratio)

@@ -2,7 +2,9 @@
 
 import random
 
-from segno.operators import folds
+from pyspark.sql import functions as F
+
+from segno.operators import folds, measures
 
 
 def plain_beats(rows):
@@ -24,3 +26,11 @@ def test_refined_beats_are_one_pass_over_a_song(spark):
         got[r.song_id].append((r.beat_no, r.t_us))
     assert got == {s: plain_beats([x[1:] for x in beats if x[0] == s]) for s in range(3)}
     assert "FlatMapGroupsInArrow" in refined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_drawn_groups_are_spread_before_they_grow(spark):
+    items = spark.range(300).select(F.lit("a").alias("m"), (F.col("id") % 100).alias("g"), *[(F.col("id") * k % 7).alias(f"{c}_{x}") for k, (c, x) in enumerate([(c, x) for x in "ab" for c in ("tp", "fp", "fn")], 2)])
+    got = measures.paired_bootstrap(items, ["m"], "g", 50)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan[plan.index("explode") :].split("Window")[0]
+    assert got.count() == 1
