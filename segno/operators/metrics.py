@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.scalars import draw, f1, precision, recall
+from ..sources.quality import dealt
 from .measures import paired_bootstrap, spread
 
 
@@ -37,10 +38,11 @@ def block_bootstrap(items: DataFrame, by: list[str], group: str, reps: int = 200
 
 def bag_counts(ref: DataFrame, est: DataFrame, by: list[str], pitch: str, part: str) -> DataFrame:
     """by, tp, n_ref, n_est of multisets: the reference bag is the most any part holds of a pitch."""
-    r = ref.groupBy(*by, part, pitch).agg(F.count("*").alias("n")).groupBy(*by, pitch).agg(F.max("n").alias("nr"))
-    e = est.groupBy(*by, pitch).agg(F.count("*").alias("ne"))
-    both = r.join(e, [*by, pitch], "full_outer").fillna(0, ["nr", "ne"])
-    return both.groupBy(*by).agg(F.sum(F.least("nr", "ne")).alias("tp"), F.sum("nr").alias("n_ref"), F.sum("ne").alias("n_est"))
+    rows = ref.select(*by, pitch, part, F.lit(1).alias("r"), F.lit(0).alias("e")).unionByName(est.select(*by, pitch, F.lit(None).alias(part), F.lit(0).alias("r"), F.lit(1).alias("e")))
+    # one shuffle: whatever is grouped lies within a group of `by`
+    each = dealt(rows, *by).groupBy(*by, pitch, part).agg(F.sum("r").alias("r"), F.sum("e").alias("e")).groupBy(*by, pitch).agg(F.max("r").alias("nr"), F.sum("e").alias("ne"))
+    known = F.array_position(F.array(*[F.col(c).isNull() for c in [*by, pitch]]), True) == 0  # unknown keys match nothing
+    return each.groupBy(*by).agg(F.sum(F.when(known, F.least("nr", "ne")).otherwise(0)).alias("tp"), F.sum("nr").alias("n_ref"), F.sum("ne").alias("n_est"))
 
 
 def burst_spans(notes: DataFrame, window_us: int = 10_000_000, least: int = 20, tiny_us: int = 60_000) -> DataFrame:

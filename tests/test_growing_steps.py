@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from segno.operators import folds, measures
+from segno.operators import folds, measures, metrics
 
 
 def plain_beats(rows):
@@ -34,3 +34,11 @@ def test_drawn_groups_are_spread_before_they_grow(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan[plan.index("explode") :].split("Window")[0]
     assert got.count() == 1
+
+
+def test_bag_counts_shuffle_once_and_unknown_keys_match_nothing(spark):
+    rows = spark.createDataFrame([(1, 0, 5), (1, 1, 5), (1, 1, 5), (1, 0, None), (2, 0, 7), (None, 0, 5)], "bar long, part int, p int")
+    est = spark.createDataFrame([(1, 5), (1, 5), (1, 5), (1, None), (3, 7), (None, 5)], "bar long, p int")
+    got = metrics.bag_counts(rows, est, ["bar"], "p", "part")
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 3, 4), (2, 0, 1, 0), (3, 0, 0, 1), (None, 0, 1, 1)}
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
