@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources.quality import dealt, written
 from .cluster import anchored_clusters
 from .timeline import asof_join
 
@@ -70,7 +71,8 @@ def meter_feel(notes: DataFrame, beats: DataFrame, sections: DataFrame, window:
     dotted quarters, four a bar as a rule, are read as 12/8 (compound) or, if the onsets of those bars swing, as quarters with that feel (shuffle), which only
     sections lose whose onsets are straight: `least` at the half, `ratio` times those at two thirds. sections: song_id, section, start_bar, end_bar.
     """
-    onsets = anchored_clusters(notes.select("song_id", "note_id", "onset_us"), ["song_id"], dedupe_us).select("song_id", "anchor_us").distinct()
+    onsets = anchored_clusters(dealt(notes.select("song_id", "note_id", "onset_us"), "song_id"), ["song_id"], dedupe_us)
+    onsets = written(onsets.select("song_id", "anchor_us").distinct(), "onsets")
     at = places(onsets, beats.select("song_id", "beat_no", "t_us", "bar", "unit"), "anchor_us").where("fr > 0.15 and fr < 0.85")
     at = at.select("song_id", F.col("mark.bar").alias("bar"), F.col("mark.unit").alias("unit"), "fr")
     spots = {"third": 1 / 3, "half": 0.5, "two_thirds": 2 / 3}
@@ -86,9 +88,9 @@ def meter_feel(notes: DataFrame, beats: DataFrame, sections: DataFrame, window:
     quarter = (c("unit") == "quarter") | ((c("unit") == "dotted_quarter") & F.coalesce(c("read_as") == "shuffle", F.lit(False)))
 
     inside = sections.select("song_id", "section", F.explode(F.sequence("start_bar", c("end_bar") - 1)).alias("bar"))
-    held = inside.join(bars.join(read, "song_id", "left").where(quarter), ["song_id", "bar"]).select("song_id", "bar", "section")
-    found = held.join(at.select("song_id", "bar", "fr"), ["song_id", "bar"], "left").groupBy("song_id", "section").agg(*counts)
-    rows = sections.select("song_id", "section").join(found, ["song_id", "section"], "left").join(read, "song_id", "left")
+    held = inside.join(bars.join(read, "song_id", "left").where(quarter).hint("merge"), ["song_id", "bar"]).select("song_id", "bar", "section")
+    found = held.join(at.select("song_id", "bar", "fr").hint("merge"), ["song_id", "bar"], "left").groupBy("song_id", "section").agg(*counts)
+    rows = sections.select("song_id", "section").join(found.hint("merge"), ["song_id", "section"], "left").join(read, "song_id", "left")
     feel = F.when(swings | ((c("read_as") == "shuffle") & ~straight), "triplet8th")  # null counts: no quarter bar, no feel
     return rows.withColumn("feel", feel).fillna(0, list(spots)).select("song_id", "section", *spots, "feel", "read_as")
 
@@ -96,7 +98,7 @@ def meter_feel(notes: DataFrame, beats: DataFrame, sections: DataFrame, window:
 def bar_feel(beats: DataFrame, sections: DataFrame, feels: DataFrame) -> DataFrame:
     """song_id, bar, unit, swing: the metre that the song is read in, and whether the bar's section swings. Bars outside all sections take the next section's feel, those
     behind the last its own; feels as meter_feel gives them."""
-    known = sections.join(feels.select("song_id", "section", "feel", "read_as"), ["song_id", "section"])
+    known = sections.join(feels.select("song_id", "section", "feel", "read_as").hint("merge"), ["song_id", "section"])
     last = known.groupBy("song_id").agg(F.max_by("feel", "end_bar").alias("_last"), F.max("end_bar").alias("_end"), F.first("read_as").alias("_read"))
     bars = beats.select("song_id", "bar", "unit").distinct().join(last, "song_id", "left")
     ends = known.select("song_id", (-F.col("end_bar") + 1).alias("_to"), F.struct("feel").alias("_f"))
@@ -130,7 +132,7 @@ def beat_costs(notes: DataFrame, beats: DataFrame, sigma_ms: float = 30.0, cap:
     costs = each.groupBy("song_id", "beat", "family").agg(cost.alias("cost"), F.count("*").alias("notes"))
     reach = costs.groupBy("song_id").agg(F.min("beat").alias("_lo"), F.max("beat").alias("_hi"))
     every = known.join(reach, "song_id").where("beat_no between _lo and _hi").join(families.select("unit", "family"), "unit").where(may)
-    every = every.select("song_id", F.col("beat_no").alias("beat"), "family").join(costs, ["song_id", "beat", "family"], "left")
+    every = every.select("song_id", F.col("beat_no").alias("beat"), "family").join(costs.hint("merge"), ["song_id", "beat", "family"], "left")
     return every.select("song_id", "beat", "family", F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("notes", F.lit(0).cast("long")).alias("notes"))
 
 
@@ -138,7 +140,7 @@ def quantize_notes(notes: DataFrame, families: DataFrame, beats: DataFrame, sigm
     """song_id, note_id, gtick, dur, bar, tick, family, resid_ms: onset and offset on the grid of their beat's family; the shortest note is one step of the family of the
     beat that holds the quantised onset. Notes that begin or end outside the beats, or are moved behind the last, are left out. families: song_id, beat, family; beats
     that lack one take the usual family of their unit and feel."""
-    span = beats.select("song_id", "beat_no", "t_us", "bar", "beat", "unit", "swing").join(families.select("song_id", F.col("beat").alias("beat_no"), "family"), ["song_id", "beat_no"], "left")
+    span = beats.select("song_id", "beat_no", "t_us", "bar", "beat", "unit", "swing").join(families.select("song_id", F.col("beat").alias("beat_no"), "family").hint("merge"), ["song_id", "beat_no"], "left")
     span = span.withColumn("family", F.coalesce("family", usual_family(F.col("unit"), F.col("swing"))))
     families_ = F.broadcast(grid(notes.sparkSession))
 
@@ -148,10 +150,10 @@ def quantize_notes(notes: DataFrame, families: DataFrame, beats: DataFrame, sigm
         p = at.join(families_, ["unit", "family"]).withColumn("p", point_of(F.col("ps"), F.col("fr"), F.col("ms"), sigma_ms))
         return p.select("song_id", "note_id", "family", (F.col("b") * TICKS + F.col("p.tick")).alias("g"), F.col("p.resid").alias("resid"))
 
-    rows = placed("onset_us").join(placed("offset_us").select("note_id", F.col("g").alias("z")), "note_id").withColumn("beat_no", F.floor(F.col("g") / TICKS).cast("long"))
+    rows = placed("onset_us").join(placed("offset_us").select("note_id", F.col("g").alias("z")).hint("merge"), "note_id").withColumn("beat_no", F.floor(F.col("g") / TICKS).cast("long"))
     step = F.array_min(F.transform(F.filter("ps", lambda p: p["tick"] > 0), lambda p: p["tick"]))
     steps = families_.select("unit", F.col("family").alias("_f"), step.alias("step"))
     hold = span.select("song_id", "beat_no", "bar", "beat", "unit", F.col("family").alias("_f")).join(steps, ["unit", "_f"])
-    rows = rows.join(hold, ["song_id", "beat_no"])
+    rows = rows.join(hold.hint("merge"), ["song_id", "beat_no"])
     tick = (F.col("beat") - 1) * TICKS + F.col("g") % TICKS
     return rows.select("song_id", "note_id", F.col("g").alias("gtick"), F.greatest(F.col("z") - F.col("g"), F.col("step")).alias("dur"), "bar", tick.alias("tick"), "family", F.round("resid", 2).alias("resid_ms"))

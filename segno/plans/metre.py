@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, metre
 from ..sources import fixtures as X
+from ..sources.quality import written
 from .queries import anchored, query
 
 PLACED = """, mb AS (SELECT song_id, beat_no, t_us, lead(t_us) OVER (PARTITION BY song_id ORDER BY t_us) AS n_us, bar, beat, CASE WHEN (bar - 1) // 16 % 5 = 4 THEN 'dotted_quarter' ELSE 'quarter' END AS unit FROM bt), mc AS (SELECT * FROM mb WHERE n_us IS NOT NULL),
@@ -32,46 +33,55 @@ def beats(spark, d):
     return X.beats(spark, d).withColumn("unit", F.when(F.expr("(bar - 1) div 16 % 5 = 4"), "dotted_quarter").otherwise("quarter"))
 
 
-def notes(spark, d):
+def notes(spark, d, beats_=None):
     """Notes a little longer; in every third section three in four are played at two thirds of their beat."""
-    at = metre.places(X.notes_ref(spark, d).select("song_id", "note_id", "onset_us", "offset_us"), beats(spark, d))
+    at = metre.places(X.notes_ref(spark, d).select("song_id", "note_id", "onset_us", "offset_us"), beats(spark, d) if beats_ is None else beats_)
     moved = F.expr("mark.t_us + (mark.next_us - mark.t_us) * 2 div 3")
     swung = F.expr("(mark.bar - 1) div 16 % 3 = 1 and note_id % 4 <> 0")
     return at.select("song_id", "note_id", F.when(swung, moved).otherwise(F.col("onset_us")).alias("onset_us"), (F.col("offset_us") + 200_000).alias("offset_us"))
 
 
-def feels(spark, d):
-    return metre.meter_feel(notes(spark, d), beats(spark, d), X.sections(spark, d))
+def heard(spark, d):
+    """(notes, beats), each computed once: what follows reads both many times, and a plan that holds them each time outgrows the driver."""
+    own = written(beats(spark, d), "beats")
+    return written(notes(spark, d, own), "notes"), own
 
 
-def read_beats(spark, d):
-    """Beats in the unit that their song is read in, with their swing."""
-    own = beats(spark, d)
-    bars = metre.bar_feel(own, X.sections(spark, d), feels(spark, d))
-    return own.drop("unit").join(bars, ["song_id", "bar"])
+def read_beats(spark, d, n, own):
+    """Beats in the unit that their song is read in, with their swing; computed once as well."""
+    sections = written(X.sections(spark, d), "sections")
+    feels = written(metre.meter_feel(n, own, sections), "feels")
+    return written(own.drop("unit").join(metre.bar_feel(own, sections, feels).hint("merge"), ["song_id", "bar"]), "read_beats")
 
 
 @query(FEEL + " SELECT song_id, section, third, half, two_thirds, feel, read_as FROM fl")
 def w31_meter_feel(spark, d):
-    return feels(spark, d)
+    n, own = heard(spark, d)
+    return metre.meter_feel(n, own, X.sections(spark, d))
 
 
 @query(FEEL + " SELECT * FROM bf")
 def w31_bar_feel(spark, d):
-    return metre.bar_feel(beats(spark, d), X.sections(spark, d), feels(spark, d))
+    n, own = heard(spark, d)
+    sections = written(X.sections(spark, d), "sections")
+    return metre.bar_feel(own, sections, written(metre.meter_feel(n, own, sections), "feels"))
 
 
 @query(COSTS)
 def w28_quantize_costs(spark, d):
-    return metre.beat_costs(notes(spark, d), read_beats(spark, d)).withColumn("cost", F.round("cost", 6))
+    n, own = heard(spark, d)
+    return metre.beat_costs(n, read_beats(spark, d, n, own)).withColumn("cost", F.round("cost", 6))
 
 
 @query()
 def w29_viterbi_families(spark, d):
-    return folds.viterbi_families(metre.beat_costs(notes(spark, d), read_beats(spark, d)))
+    n, own = heard(spark, d)
+    return folds.viterbi_families(metre.beat_costs(n, read_beats(spark, d, n, own)))
 
 
 @query()
 def w30_quantize_notes(spark, d):
-    own, n = read_beats(spark, d), notes(spark, d)
-    return metre.quantize_notes(n, folds.viterbi_families(metre.beat_costs(n, own)), own)
+    n, own = heard(spark, d)
+    own = read_beats(spark, d, n, own)
+    families = written(folds.viterbi_families(metre.beat_costs(n, own)), "families")
+    return metre.quantize_notes(n, families, own)

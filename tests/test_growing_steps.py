@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from segno.operators import folds, measures, metrics
+from segno.plans import metre
 
 
 def plain_beats(rows):
@@ -42,3 +43,9 @@ def test_bag_counts_shuffle_once_and_unknown_keys_match_nothing(spark):
     got = metrics.bag_counts(rows, est, ["bar"], "p", "part")
     assert {tuple(r) for r in got.collect()} == {(1, 2, 3, 4), (2, 0, 1, 0), (3, 0, 0, 1), (None, 0, 1, 1)}
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_metre_tables_are_computed_once(spark):
+    plan = metre.w30_quantize_notes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan.replace("Generate explode(ps", "") and "events.parquet" not in plan
+    assert plan.count("Relation") < 12
