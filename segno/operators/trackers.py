@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources.quality import dealt
 from .cluster import anchored_clusters
 
 HOP_US = 10_000
@@ -33,9 +34,9 @@ def f0_estimates(frames: DataFrame, notes: DataFrame, conf_min: float = 0.5, lea
     short = end - on < 60_000
     a, b = F.when(short, on + 10_000).otherwise(on + 30_000), F.when(short, F.greatest(on + 30_000, off)).otherwise(end)
     first, last = F.ceil(a / hop_us), F.ceil(b / hop_us) - 1
-    spread = notes.where(last >= first).select("song_id", "line", "note_id", F.explode(F.sequence(first, last)).alias("frame"))
-    answers = spread.join(frames.where(valid(conf_min)).select("song_id", "line", "tracker", "frame", "midi"), ["song_id", "line", "frame"])
-    return answers.groupBy("song_id", "note_id", "tracker").agg(F.median("midi").alias("x"), F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    spread = dealt(notes, "song_id", "note_id").where(last >= first).select("song_id", "line", "note_id", F.explode(F.sequence(first, last)).alias("frame"))
+    answers = dealt(spread, "song_id", "line", "frame").join(frames.where(valid(conf_min)).select("song_id", "line", "tracker", "frame", "midi").hint("merge"), ["song_id", "line", "frame"])
+    return dealt(answers, "song_id", "note_id").groupBy("song_id", "note_id", "tracker").agg(F.median("midi").alias("x"), F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
 
 
 def f0_vote(notes: DataFrame, estimates: DataFrame, agree: float = 0.5, need: int = 2) -> DataFrame:
@@ -68,18 +69,21 @@ def tracker_accuracy(notes: DataFrame, frames: DataFrame, conf_min: float = 0.5,
     vr: valid; rpa_any: within half a half tone whatever conf says; octave: valid and wrong by whole octaves. A tracker that answers no frame of a band has no row.
     """
     first, last = F.greatest(F.ceil((F.col("onset_us") + margin_us) / hop_us), F.lit(0)), F.floor((F.col("offset_us") - margin_us) / hop_us)
-    sounding = notes.where(last >= first).select("song_id", "line", "pitch", F.explode(F.sequence(first, last)).alias("frame"))
-    ref = sounding.groupBy("song_id", "line", "frame").agg(F.min("pitch").alias("ref"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    sounding = dealt(notes, "song_id", "note_id").where(last >= first).select("song_id", "line", "pitch", F.explode(F.sequence(first, last)).alias("frame"))
+    ref = dealt(sounding, "song_id", "line", "frame").groupBy("song_id", "line", "frame").agg(F.min("pitch").alias("ref"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
     hz = 440 * F.pow(F.lit(2.0), (F.col("ref") - 69) / 12)
     own = F.lit(None).cast("string")
     for lo, hi in BANDS:
         own = F.when((hz >= lo) & (hz < hi), f"{lo}-{hi}").otherwise(own)
-    ref = ref.withColumn("band", F.explode(F.array_compact(F.array(F.lit("all"), own))))
-    size = ref.groupBy("band").agg(F.count("*").alias("frames"))
-    seen = ref.join(frames, ["song_id", "line", "frame"]).withColumn("_v", valid(conf_min)).withColumn("_e", F.col("midi") - F.col("ref"))
+    ref = ref.withColumn("_own", own)
+    seen = ref.join(frames.hint("merge"), ["song_id", "line", "frame"]).withColumn("_v", valid(conf_min)).withColumn("_e", F.col("midi") - F.col("ref"))
     close, folded = F.abs("_e") <= 0.5, F.abs(F.col("_e") - 12 * F.round(F.col("_e") / 12)) <= 0.5
     facts = {"rpa": close & F.col("_v"), "rca": folded & F.col("_v"), "vr": F.col("_v"), "rpa_any": close, "octave": F.col("_v") & ~close & folded}
-    sums = seen.groupBy("tracker", "band").agg(*[F.count_if(c).alias(n) for n, c in facts.items()])
+    band = F.explode(F.array_compact(F.array(F.lit("all"), F.col("_own")))).alias("band")
+    # frames are counted by their own band first; what is left are a few rows, and "all" is their sum
+    size = ref.groupBy("_own").agg(F.count("*").alias("frames")).select("frames", band).groupBy("band").agg(F.sum("frames").alias("frames"))
+    sums = seen.groupBy("tracker", "_own").agg(*[F.count_if(c).alias(n) for n, c in facts.items()]).select("tracker", *facts, band)
+    sums = sums.groupBy("tracker", "band").agg(*[F.sum(n).alias(n) for n in facts])
     return sums.join(F.broadcast(size), "band").select("tracker", "band", "frames", *[F.round(F.col(n) / F.col("frames"), 6).alias(n) for n in facts])  # a row a band
 
 
@@ -90,7 +94,7 @@ def harmonic_dupes(notes: DataFrame, group_us: int = 40_000) -> DataFrame:
     earliest, stands for it. Other notes 0, 12, 19 or 24 half tones over the base go, unless they are confirmed themselves at another pitch; one that goes and has the
     base's pitch gives the note that stands its offset, if later.
     """
-    n = anchored_clusters(notes.select("song_id", "note_id", "onset_us", "offset_us", "pitch", "target"), ["song_id"], group_us)
+    n = anchored_clusters(dealt(notes.select("song_id", "note_id", "onset_us", "offset_us", "pitch", "target"), "song_id"), ["song_id"], group_us)
     group = Window.partitionBy("song_id", "anchor_us")
     sure = F.coalesce(F.col("target") == F.col("pitch"), F.lit(False))
     n = n.withColumn("_sure", sure).withColumn("_base", F.min(F.when(F.col("_sure"), F.col("pitch"))).over(group)).withColumn("_size", F.count("*").over(group))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from segno.operators import folds, measures, metrics
+from segno.operators import folds, measures, metrics, trackers
 from segno.plans import metre
 
 
@@ -49,3 +49,16 @@ def test_metre_tables_are_computed_once(spark):
     plan = metre.w30_quantize_notes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan.replace("Generate explode(ps", "") and "events.parquet" not in plan
     assert plan.count("Relation") < 12
+
+
+def test_tracker_bands_are_counted_before_they_are_spread(spark):
+    notes = spark.createDataFrame([(1, 0, 1, 0, 500_000, 40), (1, 0, 2, 600_000, 900_000, 50), (1, 1, 3, 0, 300_000, 90)], "song_id long, line int, note_id long, onset_us long, offset_us long, pitch int")
+    frames = spark.range(0, 100).selectExpr("1L AS song_id", "int(id % 2) AS line", "1 AS tracker", "id AS frame", "IF(id % 2 = 0, IF(id < 60, 40D, 62D), 90D) AS midi", "id % 10 / 10 AS conf")
+    got = trackers.tracker_accuracy(notes, frames)
+    size = lambda a, z: (z - 30_000) // 10_000 - (a + 30_000) // 10_000 + 1
+    want = {"all": size(0, 500_000) + size(600_000, 900_000) + size(0, 300_000), "30-100": size(0, 500_000), "100-400": size(600_000, 900_000)}
+    assert {r.band: r.frames for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    spread = [i for i, line in enumerate(lines) if "Generate explode(" in line and "sequence" not in line]
+    assert len(spread) == 2 and all("Aggregate" in lines[i + 1] + lines[i + 2] for i in spread)
