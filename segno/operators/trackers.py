@@ -69,7 +69,7 @@ def tracker_accuracy(notes: DataFrame, frames: DataFrame, conf_min: float = 0.5,
     vr: valid; rpa_any: within half a half tone whatever conf says; octave: valid and wrong by whole octaves. A tracker that answers no frame of a band has no row.
     """
     first, last = F.greatest(F.ceil((F.col("onset_us") + margin_us) / hop_us), F.lit(0)), F.floor((F.col("offset_us") - margin_us) / hop_us)
-    sounding = dealt(notes, "song_id", "note_id").where(last >= first).select("song_id", "line", "pitch", F.explode(F.sequence(first, last)).alias("frame"))
+    sounding = dealt(notes, "song_id", "onset_us").where(last >= first).select("song_id", "line", "pitch", F.explode(F.sequence(first, last)).alias("frame"))
     ref = dealt(sounding, "song_id", "line", "frame").groupBy("song_id", "line", "frame").agg(F.min("pitch").alias("ref"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
     hz = 440 * F.pow(F.lit(2.0), (F.col("ref") - 69) / 12)
     own = F.lit(None).cast("string")
