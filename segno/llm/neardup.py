@@ -229,22 +229,34 @@ def links_within(groups: DataFrame, keys: list[str], idf, threshold: float) -> D
 
 
 def crowds(member: DataFrame) -> DataFrame:
-    """node, crowd, n (its nodes): nodes that share buckets, over any number of steps; member: bucket, node."""
+    """node, crowd: nodes that share buckets, over any number of steps; member: bucket, node."""
     first = member.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     edges = member.join(first, "bucket").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    crowd = components(edges).withColumnRenamed("component", "crowd")
-    return crowd.join(crowd.groupBy("crowd").agg(F.count("*").alias("n")), "crowd").select("node", "crowd", "n")
+    return components(edges).withColumnRenamed("component", "crowd")
 
 
 def leader_links(member: DataFrame, bodies: DataFrame, idf, threshold: float) -> DataFrame:
-    """a, b: links of texts to the most central text of each of their buckets (ties by a hash of text and bucket)."""
+    """a, b: links of texts to the most central text of each of their buckets (ties by a hash of text and bucket).
+
+    A text first meets that of its largest bucket; those of its other buckets only where both are not joined with one text already.
+    """
     sizes = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     sized = member.join(sizes, "bucket")
     centre = sized.groupBy("node").agg(F.sum("n").alias("centre"))
     leader = sized.join(centre, "node").groupBy("bucket").agg(F.max_by("node", F.struct("centre", F.xxhash64("node", "bucket"))).alias("leader"))
-    met = sized.join(leader, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    met = written(sized.join(leader, "bucket").select("node", "leader", "n"), "met")
     left, right = (bodies.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return similarities(met.join(left, "a").join(right, "b"), idf).where(F.col("similarity") >= threshold).select("a", "b")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        # dealt by the texts, of which none has many pairs, where they are compared
+        return written(similarities(pairs.join(right, "b").join(left, "a"), idf).where(F.col("similarity") >= threshold).select("a", "b"), "leaders")
+
+    top = met.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("top"))
+    near = linked(top.where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")))
+    held = written(top.join(near.select(F.col("a").alias("node"), "b"), "node", "left").select("node", "top", F.coalesce("b", "node").alias("held")), "held")
+    others = met.where("node <> leader").select("node", "leader").distinct().join(held, "node").where("leader <> top")
+    others = others.join(held.select(F.col("node").alias("leader"), F.col("held").alias("held_leader")), "leader").where("held <> held_leader")
+    return near.unionByName(linked(others.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -268,7 +280,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 
 def large_crowd_links(member: DataFrame, bodies: DataFrame, idf, threshold: float) -> DataFrame:
     """a, b: links in crowds too large for one task; member: bucket, node of such crowds."""
-    near = written(leader_links(member, bodies, idf, threshold), "leaders")
+    near = leader_links(member, bodies, idf, threshold)
     label = components(near).select("node", F.col("component").alias("label"))
     labelled = written(member.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "labelled")
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
@@ -288,15 +300,18 @@ def large_crowd_links(member: DataFrame, bodies: DataFrame, idf, threshold: floa
 def verified_links(texts: DataFrame, classes: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: links that join all texts of a class, between representatives that share a bucket."""
     member = classes.where("buckets is not null").select(F.explode("buckets").alias("bucket"), F.col("rep").alias("node"))
-    crowd = written(crowds(member), "crowds")
-    bodies = texts.withColumnRenamed("doc_id", "node").join(crowd.withColumnsRenamed({"n": "many"}), "node")
-    bodies = written(bodies.select("node", "crowd", "many", "text").distinct(), "bodies")
-    small = bodies.where(F.col("many") <= TOGETHER).select("crowd", F.lit(True).alias("first"), "node", F.col("node").alias("label"), "text")
+    found = crowds(member)
+    # large crowds are few, so no crowd need be gathered to learn of its size
+    sizes = found.groupBy("crowd").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("crowd", F.lit(True).alias("large"))
+    crowd = written(found.join(F.broadcast(sizes), "crowd", "left").select("node", "crowd", F.col("large").isNotNull().alias("large")), "crowds")
+    bodies = texts.withColumnRenamed("doc_id", "node").join(crowd, "node")
+    bodies = written(bodies.select("node", "crowd", "large", "text").distinct(), "bodies")
+    small = bodies.where("not large").select("crowd", F.lit(True).alias("first"), "node", F.col("node").alias("label"), "text")
     links = written(links_within(small, ["crowd"], idf, threshold), "links")
-    large = crowd.where(F.col("n") > TOGETHER)
+    large = crowd.where("large")
     if not large.isEmpty():
         inside = written(member.join(large.select("node"), "node").select("bucket", "node"), "large")
-        more = written(large_crowd_links(inside, bodies.where(F.col("many") > TOGETHER).select("node", "text"), idf, threshold), "links")
+        more = written(large_crowd_links(inside, bodies.where("large").select("node", "text"), idf, threshold), "links")
         links = links.unionByName(more)
     return links
 
