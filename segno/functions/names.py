@@ -46,14 +46,26 @@ def tokens(name: Column) -> Column:
     return F.transform(F.regexp_extract_all(stem, F.lit("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"), F.lit(0)), F.lower)
 
 
+def held(value: Column, rule) -> Column:
+    """rule(value), with the value computed once for all places that use it; as plain columns each place computes it anew."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
 def any_of(found: Column, words: str) -> Column:
     return F.arrays_overlap(found, F.array(*[F.lit(w) for w in words.split()]))
 
 
 def categorize(name: Column) -> Column:
     """The first of fifteen sound categories whose rule holds; 'other' if none does."""
-    t = tokens(name)
-    joined = F.array_join(F.filter(t, lambda x: ~x.rlike("^[0-9]+$")), "")
+    return held(tokens(name), category_of)
+
+
+def category_of(t: Column) -> Column:
+    """The sound category of a name's tokens."""
+    return held(F.array_join(F.filter(t, lambda x: ~x.rlike("^[0-9]+$")), ""), lambda joined: first_category(t, joined))
+
+
+def first_category(t: Column, joined: Column) -> Column:
     has = lambda words: any_of(t, words)
     guitar = has(GUITAR_WORDS) | joined.contains("guitar")
     return (
@@ -75,8 +87,12 @@ def unknown(name: Column) -> Column:
 
 def guess_part(name: Column) -> Column:
     """kind, family, di, mic and the number right after a guitar word of a stem's file name."""
-    t = tokens(name)
-    family = F.when(categorize(name).startswith("guitar"), "guitar").when(categorize(name).startswith("keys") | (categorize(name) == "organ"), "keys").when(categorize(name).startswith("synth"), "synth").otherwise(categorize(name))
+    wide = lambda c: F.when(c.startswith("guitar"), "guitar").when(c.startswith("keys") | (c == "organ"), "keys").when(c.startswith("synth"), "synth").otherwise(c)
+    return held(tokens(name), lambda t: held(category_of(t), lambda c: held(wide(c), lambda family: part_of(t, family))))
+
+
+def part_of(t: Column, family: Column) -> Column:
+    """What guess_part tells of a name's tokens and its family."""
     di = F.array_contains(t, "di")
     after = F.filter(F.transform(t, lambda x, i: F.when(F.array_contains(F.array(*[F.lit(w) for w in GUITAR_WORDS.split()]), x), F.get(t, i + 1))), lambda x: x.rlike("^[0-9]+$"))
     kind = F.when(di & family.isin("guitar", "bass"), "di").when(family.isin("guitar", "bass", "vocals", "drums", "keys"), family).when(F.array_contains(t, "mix") & (family == "other"), "mix").otherwise("other")
