@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources.quality import written
+
 # tunings
 
 #: Open strings of guitar tunings.
@@ -95,6 +98,7 @@ SCALES = {
 }
 #: Thresholds that are searched together: those of one label.
 GROUPS = {"R0": ["r0_sm_db", "r0_coh"], "R1": ["adt_xcorr", "adt_min_lag_ms", "adt_over_r0"], "R2": ["r2_coh", "r2_hard", "r2_cen"], "R3": ["r3_ild_db", "r3_hard", "r3_coh"]}
+FEATURES = ["sm", "coh", "xcoff", "lag", "r0", "hard", "ildcoh", "cen"]
 #: Score of a rule whose feature is unknown.
 UNKNOWN = -10.0
 
@@ -111,8 +115,10 @@ def features() -> dict[str, tuple[Column, bool]]:
 def rule_score(label: str, thresholds: dict[str, float | Column]) -> Column:
     """How far a window meets a label's rules, in units of SCALES; over 0: it meets them."""
 
+    known = features()
+
     def one(key: str) -> Column:
-        value, above = features()[key]
+        value, above = known[key]
         t = thresholds[key] if isinstance(thresholds[key], Column) else F.lit(float(thresholds[key]))
         return F.coalesce((value - t if above else t - value) / SCALES[key], F.lit(UNKNOWN))
 
@@ -137,48 +143,99 @@ def rule_labels(windows: DataFrame, thresholds: dict[str, float] | None = None)
 
 def candidates(windows: DataFrame, keys: list[str], quantiles: list[float], step: float = 1e-3) -> dict[str, list[float]]:
     """By threshold: its start and the quantiles of its feature, which is counted in steps of its unit, so that counts stay few at any size."""
+    known = features()
+    steps = F.array(*[F.struct(F.lit(k).alias("key"), F.round(known[k][0] / (step * SCALES[k])).cast("long").alias("at")) for k in keys])
+    each = windows.select(F.explode(steps).alias("s")).where("s.at is not null").groupBy("s.key", "s.at").agg(F.count("*").alias("n"))
+    counts: dict[str, list] = {k: [] for k in keys}
+    for r in each.collect():
+        counts[r["key"]].append((r["at"], r["n"]))
     out = {}
     for key in keys:
-        unit = step * SCALES[key]
-        value = F.round(features()[key][0] / unit).cast("long")
-        counts = windows.where(value.isNotNull()).groupBy(value.alias("at")).agg(F.count("*").alias("n")).orderBy("at").collect()
-        total, run, found = sum(r["n"] for r in counts), 0, {round(THRESHOLDS[key], 4)}
-        for r in counts:
-            found |= {round(r["at"] * unit, 4) for q in quantiles if run < q * total <= run + r["n"]}
-            run += r["n"]
+        total, run, found = sum(n for _, n in counts[key]), 0, {round(THRESHOLDS[key], 4)}
+        for at, n in sorted(counts[key]):
+            found |= {round(at * step * SCALES[key], 4) for q in quantiles if run < q * total <= run + n}
+            run += n
         out[key] = sorted(found)
     return out
 
 
-def threshold_grid(windows: DataFrame, label: str, tried: dict[str, list[float]], thresholds: dict[str, float]) -> DataFrame:
-    """combo (values in the order of GROUPS), macro: accuracy over the true labels if one label's thresholds take these values and the others stay.
+def met_counts(windows: DataFrame, label: str, tried: dict[str, list[float]], thresholds: dict[str, float]) -> DataFrame:
+    """truth, other, one column for each threshold of the label, n: windows by whether they are labelled right where this label does not win (other)
+    and by how many values of each threshold let its rule win.
+
+    A score falls as its threshold gets stricter, so the values that let it win lie together at one end, and least and greatest of scores win where
+    all or one of them do. Windows are counted once, whatever the number of combinations.
+    """
+    place, features_of = LABELS.index(label), features()
+    scores = {k: F.round(rule_score(k, thresholds), 4) for k in LABELS if k != label}
+    rows = windows.where("truth is not null").select("*", *[scores[k].alias(f"score_{k}") for k in scores])
+    rivals = [F.col(f"score_{k}") if k != label else F.lit(float("-inf")) for k in LABELS]
+    # what a score must be over, and what it must be at least: of equal scores the first label wins
+    over, least = (F.greatest(F.lit(low), F.lit(low), *r) for low, r in ((0.0, rivals[:place]), (float("-inf"), rivals[place + 1 :])))
+    right = best_label(rivals) == F.col("truth")
+    rows = rows.select("truth", right.alias("other"), over.alias("_over"), least.alias("_least"), *[features_of[k][0].alias(k) for k in GROUPS[label]])
+
+    def met(key: str) -> Column:
+        value, above, unit = F.col(key), features_of[key][1], SCALES[key]
+
+        def wins(t: Column) -> Column:
+            s = F.round(F.coalesce((value - t if above else t - value) / unit, F.lit(UNKNOWN)), 4)
+            return (s > F.col("_over")) & (s >= F.col("_least"))
 
-    A window scores all combinations of one label where it lies; what is shuffled is one count by combination and truth. windows: truth, features.
+        return F.size(F.filter(F.array(*[F.lit(float(t)) for t in tried[key]]), wins)).alias(key)
+
+    return rows.select("truth", "other", *[met(k) for k in GROUPS[label]]).groupBy("truth", "other", *GROUPS[label]).agg(F.count("*").alias("n"))
+
+
+def macro_by_combo(windows: DataFrame, label: str, tried: dict[str, list[float]], thresholds: dict[str, float]) -> dict[tuple[float, ...], float]:
+    """By combination of a label's thresholds (in the order of GROUPS): accuracy over the true labels (9 decimals) if they take these values and the others stay.
+
+    Windows are counted by how many values of each threshold they meet (met_counts); only these counts, of which there are no more than
+    combinations for a truth, reach the driver.
     """
-    keys = GROUPS[label]
-    combos = [{k: float(v) for k, v in zip(keys, c)} for c in product(*[tried[k] for k in keys])]
-    table = F.from_json(F.lit(json.dumps(combos)), "array<struct<" + ",".join(f"{k}:double" for k in keys) + ">>")
-    fixed = windows.select("truth", *sorted({"sm", "coh", "xcoff", "lag", "r0", "hard", "ildcoh", "cen"}), *[F.round(rule_score(k, thresholds), 4).alias(f"score_{k}") for k in LABELS if k != label])
-    rows = fixed.select("*", F.explode(table).alias("combo"))
-    own = rule_score(label, {k: F.col(f"combo.{k}") for k in keys})
-    hit = best_label([own if k == label else F.col(f"score_{k}") for k in LABELS]) == F.col("truth")
-    by = rows.groupBy("combo", "truth").agg(F.avg(hit.cast("double")).alias("acc"))
-    return by.groupBy("combo").agg(F.round(F.avg("acc"), 9).alias("macro"))
+    keys, known = GROUPS[label], features()
+    tried = {k: sorted(set(map(float, tried[k]))) for k in keys}
+    shape = tuple(len(tried[k]) for k in keys)
+    hits, total = {}, {}
+    for r in met_counts(windows, label, tried, thresholds).collect():
+        # the combinations at which each rule wins: an end of its values
+        ends = [slice(0, r[k]) if known[k][1] else slice(len(tried[k]) - r[k], None) for k in keys]
+        won = np.zeros(shape, bool)
+        if label == "R3":  # as in rule_score
+            won[ends[0]] = True
+            won[:, ends[1], ends[2]] = True
+        else:
+            won[tuple(ends)] = True
+        truth, n = r["truth"], r["n"]
+        hits[truth] = hits.get(truth, 0) + n * np.where(won, truth == label, r["other"])
+        total[truth] = total.get(truth, 0) + n
+    if not hits:
+        return {}
+    macro = sum(hits[t] / total[t] for t in sorted(hits)) / len(hits)
+    return {c: round(float(m), 9) for c, m in zip(product(*[tried[k] for k in keys]), macro.ravel())}
+
+
+def threshold_grid(windows: DataFrame, label: str, tried: dict[str, list[float]], thresholds: dict[str, float]) -> DataFrame:
+    """combo (values in the order of GROUPS), macro: see macro_by_combo. windows: truth, features."""
+    rows = list(macro_by_combo(windows, label, tried, thresholds).items())
+    return windows.sparkSession.createDataFrame(rows, f"combo struct<{','.join(f'{k}:double' for k in GROUPS[label])}>, macro double")
 
 
 def threshold_refit(windows: DataFrame, sweeps: int = 3, quantiles: list[float] | None = None) -> tuple[dict[str, float], list[float]]:
     """(thresholds, macro accuracy after each sweep): label by label the combination with the best accuracy, of equals the one nearest to the
     start in units of SCALES, then the smaller values; sweeps end when none changes. Only grids of candidates reach the driver."""
     quantiles = quantiles or [round(0.05 + 0.09 * i, 2) for i in range(11)]
+    windows = written(windows.select("truth", *FEATURES), "windows")  # computed once for all passes
     now, trace = dict(THRESHOLDS), []
     tried = candidates(windows, list(THRESHOLDS), quantiles)
     for _ in range(sweeps):
         before, macro = dict(now), 0.0
         for label, keys in GROUPS.items():
-            away = sum((F.abs(F.col(f"combo.{k}") - THRESHOLDS[k]) / SCALES[k] for k in keys), F.lit(0.0))
-            best = threshold_grid(windows, label, tried, now).orderBy(F.desc("macro"), F.round(away, 9), "combo").first()
-            now |= {k: best["combo"][k] for k in keys}
-            macro = best["macro"]
+            grid = macro_by_combo(windows, label, tried, now)
+            away = lambda c: round(sum(abs(v - THRESHOLDS[k]) / SCALES[k] for k, v in zip(keys, c)), 9)  # noqa: B023, E731
+            best = min(grid, key=lambda c: (-grid[c], away(c), c))  # noqa: B023
+            now |= dict(zip(keys, best))
+            macro = grid[best]
         trace.append(macro)
         if now == before:
             break

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence
 from ..sources import fixtures as X
+from ..sources.quality import written
 from . import statements as T
 from .queries import query
 
@@ -114,11 +115,11 @@ def w16_threshold_grid(spark, d):
 @query()
 def w16_threshold_refit(spark, d):
     """Every threshold before and after the refit on half of the songs, and the accuracy of both on the other half."""
-    w = X.window_features(spark, d)
+    w = written(X.window_features(spark, d), "features")
     fitted, _ = evidence.threshold_refit(w.where("song_id % 2 = 0"))
     acc = [F.avg((F.col(c) == F.col("truth")).cast("double")) for c in ("old", "new")]
-    held = evidence.rule_labels(w.where("song_id % 2 = 1")).select("song_id", "w", "truth", F.col("rule_label").alias("old"))
-    held = held.join(evidence.rule_labels(w, fitted).select("song_id", "w", F.col("rule_label").alias("new")), ["song_id", "w"])
+    held = evidence.rule_labels(w.where("song_id % 2 = 1")).withColumn("old", F.col("rule_label")).drop("rule_label", *[f"score_{k}" for k in evidence.LABELS])
+    held = evidence.rule_labels(held, fitted).withColumn("new", F.col("rule_label"))
     held = held.groupBy("truth").agg(acc[0].alias("old"), acc[1].alias("new")).agg(F.round(F.avg("old"), 6).alias("test_before"), F.round(F.avg("new"), 6).alias("test_after"))
-    rows = [(k, float(v), float(fitted[k])) for k, v in evidence.THRESHOLDS.items()]
-    return spark.createDataFrame(rows, "threshold string, start double, fitted double").crossJoin(F.broadcast(held))
+    rows = F.array(*[F.struct(F.lit(k).alias("threshold"), F.lit(float(v)).alias("start"), F.lit(float(fitted[k])).alias("fitted")) for k, v in evidence.THRESHOLDS.items()])
+    return held.select(F.explode(rows).alias("r"), "*").select("r.*", "test_before", "test_after")
