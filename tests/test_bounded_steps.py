@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from segno.operators import evidence
+from segno.operators import evidence, sheets
 
 
 def test_windows_are_not_multiplied_by_the_combinations_of_thresholds(spark):
@@ -21,3 +23,27 @@ def test_windows_are_not_multiplied_by_the_combinations_of_thresholds(spark):
             assert grid[combo] == pytest.approx(got, abs=2e-9)
         counted = evidence.met_counts(windows, label, tried, evidence.THRESHOLDS)
         assert "Generate" not in counted._jdf.queryExecution().optimizedPlan().toString() and counted.count() < len(rows)
+
+
+def test_written_bars_are_laid_within_their_song(spark):
+    """Bars of two beats, laid on a song by a video that runs 100 ms late; nothing that is tried leaves the song's group."""
+    songs = spark.range(3).select(F.col("id").alias("song_id"))
+    each = lambda n, **cols: songs.select("song_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i")).select("song_id", *[F.expr(e).alias(c) for c, e in cols.items()])
+    beats = each(40, beat_no="i", t_us="i * 500000")
+    pages = each(19, bar="i", t0="i * 1000000 + 350000D", t1="IF(i < 18, (i + 1) * 1000000 + 350000D, NULL)")
+    path = each(2, x="i * 20000000 + 100000D", y="i * 20000000D")
+    notes = each(36, onset_us="i * 500000 + 10000", pitch="int(IF(i = 7, NULL, 40 + i % 5))")
+    pitches = notes.selectExpr("song_id", "onset_us div 1000000 AS bar", "pitch").groupBy("song_id", "bar", "pitch").agg(F.count("*").alias("n"))
+    found, blocks = sheets.score_by_time(pages, path, beats, pitches, notes, [-250_000, 0, 250_000])
+    assert {tuple(r) for r in found.collect()} == {(s, -250_000, 2.0, 2.0, round(70 / 72, 9), round(70 / 72, 9)) for s in range(3)}
+    got = sorted(tuple(r) for r in blocks.collect())
+    assert got == sorted((s, b, "even", 0.0, 2 * n - (b == 0), 2 * n, 2 * n) for s in range(3) for b, n in enumerate((8, 8, 2)))
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("FlatMapGroupsInArrow")[0] and plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_decimals_are_rounded_as_spark_does(spark):
+    r = random.Random(4)
+    values = [0.0, 1.0000000015, 0.0000000005, -2.0000000025, 1439.1234567895, 5e-10, 1 / 1024, 812.0000000004999] + [round(r.uniform(-1440, 1440), 10) for _ in range(3000)] + [r.uniform(-1440, 1440) for _ in range(3000)]
+    want = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 9)).collect()]
+    assert sheets.half_up(np.array(values)).tolist() == want
