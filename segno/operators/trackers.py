@@ -5,11 +5,14 @@ frames: song_id, line, tracker, frame (hop_us long), midi (null: unvoiced), conf
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StructField, StructType
 
-from ..sources.quality import dealt
+from ..sources.quality import dealt, written
 from .cluster import anchored_clusters
 
 HOP_US = 10_000
@@ -69,22 +72,50 @@ def tracker_accuracy(notes: DataFrame, frames: DataFrame, conf_min: float = 0.5,
     vr: valid; rpa_any: within half a half tone whatever conf says; octave: valid and wrong by whole octaves. A tracker that answers no frame of a band has no row.
     """
     first, last = F.greatest(F.ceil((F.col("onset_us") + margin_us) / hop_us), F.lit(0)), F.floor((F.col("offset_us") - margin_us) / hop_us)
-    sounding = dealt(notes, "song_id", "onset_us").where(last >= first).select("song_id", "line", "pitch", F.explode(F.sequence(first, last)).alias("frame"))
-    ref = dealt(sounding, "song_id", "line", "frame").groupBy("song_id", "line", "frame").agg(F.min("pitch").alias("ref"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    hz = 440 * F.pow(F.lit(2.0), (F.col("ref") - 69) / 12)
-    own = F.lit(None).cast("string")
-    for lo, hi in BANDS:
-        own = F.when((hz >= lo) & (hz < hi), f"{lo}-{hi}").otherwise(own)
-    ref = ref.withColumn("_own", own)
-    seen = ref.join(frames.hint("merge"), ["song_id", "line", "frame"]).withColumn("_v", valid(conf_min)).withColumn("_e", F.col("midi") - F.col("ref"))
-    close, folded = F.abs("_e") <= 0.5, F.abs(F.col("_e") - 12 * F.round(F.col("_e") / 12)) <= 0.5
-    facts = {"rpa": close & F.col("_v"), "rca": folded & F.col("_v"), "vr": F.col("_v"), "rpa_any": close, "octave": F.col("_v") & ~close & folded}
-    band = F.explode(F.array_compact(F.array(F.lit("all"), F.col("_own")))).alias("band")
-    # frames are counted by their own band first; what is left are a few rows, and "all" is their sum
-    size = ref.groupBy("_own").agg(F.count("*").alias("frames")).select("frames", band).groupBy("band").agg(F.sum("frames").alias("frames"))
-    sums = seen.groupBy("tracker", "_own").agg(*[F.count_if(c).alias(n) for n, c in facts.items()]).select("tracker", *facts, band)
-    sums = sums.groupBy("tracker", "band").agg(*[F.sum(n).alias(n) for n in facts])
-    return sums.join(F.broadcast(size), "band").select("tracker", "band", "frames", *[F.round(F.col(n) / F.col("frames"), 6).alias(n) for n in facts])  # a row a band
+    hz = 440 * F.pow(F.lit(2.0), (F.col("pitch") - 69) / 12)
+    own = F.lit(len(BANDS))
+    for i, (lo, hi) in enumerate(BANDS):
+        own = F.when((hz >= lo) & (hz < hi), i).otherwise(own)
+    known = "song_id is not null and line is not null"
+    sounding = notes.where(known).where(last >= first).select("song_id", "line", F.col("pitch").cast("double").alias("pitch"), own.alias("own"), first.alias("first"), last.alias("last"))
+    answers = frames.where(known).where("frame is not null").select("song_id", "line", "tracker", "frame", F.col("midi").cast("double").alias("midi"), F.coalesce(valid(conf_min), F.lit(False)).alias("v"))
+    names = ["rpa", "rca", "vr", "rpa_any", "octave"]
+    schema = StructType([StructField("tracker", answers.schema["tracker"].dataType), *StructType.fromDDL(f"own int, is_size boolean, {', '.join(f'{c} long' for c in ('frames', *names))}")])
+
+    def heard(n: pa.Table, f: pa.Table) -> pa.Table:
+        """Counts of a line: reference frames by band (is_size), then what each tracker answers in them."""
+        first, last, pitch, own = (n.column(c).to_numpy() for c in ("first", "last", "pitch", "own"))
+        many = last - first + 1
+        note = np.repeat(np.arange(len(many)), many)
+        frame, at, count = np.unique(first[note] + np.arange(len(note)) - np.repeat(np.cumsum(many) - many, many), return_index=True, return_counts=True)
+        frame, note = frame[count == 1], note[at[count == 1]]
+        bands = len(BANDS) + 1
+        size = np.bincount(own[note], minlength=bands)
+        asked, code = f.column("frame").to_numpy(), f.column("tracker").combine_chunks().dictionary_encode("encode")
+        code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
+        where = np.searchsorted(frame, asked)
+        hit = np.flatnonzero(frame[np.minimum(where, len(frame) - 1)] == asked) if len(frame) else np.zeros(0, np.int64)
+        note = note[where[hit]]
+        v, e = f.column("v").to_numpy()[hit], f.column("midi").to_numpy()[hit] - pitch[note]
+        cell = code.indices.to_numpy()[hit].astype(np.int64) * bands + own[note]
+        close, folded = np.abs(e) <= 0.5, np.abs(e - 12 * np.round(e / 12)) <= 0.5
+        there = np.flatnonzero(np.bincount(cell))
+        sums = [np.bincount(cell, x)[there].astype(np.int64) for x in (close & v, folded & v, v, close, v & ~close & folded)] if len(hit) else [np.zeros(0, np.int64)] * len(names)
+        tracker = pa.concat_arrays([pa.nulls(bands, code.dictionary.type), code.dictionary.take(pa.array(there // bands))])
+        none = np.zeros(bands, np.int64)
+        band = np.concatenate((np.arange(bands), there % bands)).astype(np.int32)
+        counts = [np.concatenate((size, there * 0)), *[np.concatenate((none, x)) for x in sums]]
+        return pa.Table.from_arrays([tracker, pa.array(band), pa.array(np.arange(len(band)) < bands), *map(pa.array, counts)], names=schema.names)
+
+    # a line's notes meet its frames in one group, which the song bounds; what leaves it are a few counts
+    lines = written(sounding.groupBy("song_id", "line").cogroup(answers.groupBy("song_id", "line")).applyInArrow(heard, schema), "lines")
+    named = F.get(F.array(*[F.lit(f"{lo}-{hi}") for lo, hi in BANDS]), F.col("own"))
+    band = F.explode(F.array_compact(F.array(F.lit("all"), named))).alias("band")
+    # they are summed by their own band first; what is left are a few rows, and "all" is their sum
+    size = lines.where("is_size").groupBy("own").agg(F.sum("frames").alias("frames")).select("frames", band).groupBy("band").agg(F.sum("frames").alias("frames"))
+    sums = lines.where("not is_size").groupBy("tracker", "own").agg(*[F.sum(n).alias(n) for n in names]).select("tracker", *names, band)
+    sums = sums.groupBy("tracker", "band").agg(*[F.sum(n).alias(n) for n in names])
+    return sums.join(F.broadcast(size), "band").select("tracker", "band", "frames", *[F.round(F.col(n) / F.col("frames"), 6).alias(n) for n in names])  # a row a band
 
 
 def harmonic_dupes(notes: DataFrame, group_us: int = 40_000) -> DataFrame:

@@ -77,7 +77,7 @@ def d15_harmonic_dupes(spark, d):
  SELECT tracker, band, any_value(frames) AS frames, round(count_if(close AND v) / any_value(frames), 6) AS rpa, round(count_if(fold AND v) / any_value(frames), 6) AS rca, round(count_if(v) / any_value(frames), 6) AS vr, round(count_if(close) / any_value(frames), 6) AS rpa_any, round(count_if(v AND NOT close AND fold) / any_value(frames), 6) AS octave
  FROM j JOIN sz USING (band) GROUP BY tracker, band""")
 def g45_tracker_accuracy(spark, d):
-    return trackers.tracker_accuracy(X.notes_ref(spark, d), X.tracker_frames(spark, d))
+    return trackers.tracker_accuracy(X.notes_ref(spark, d), X.tracker_frames(spark, d, by_line=True))
 
 
 MATCHES = T.MORE + """, bv AS (SELECT song_id, bar, pitch % 12 AS pc, count(*)::DOUBLE AS x FROM nb GROUP BY ALL), bk AS (SELECT DISTINCT song_id, bar FROM bv), pk AS (SELECT DISTINCT song_id, pc FROM bv),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segno.operators import contours, evidence, sheets
+from segno.operators import contours, evidence, sheets, trackers
 from segno.sources import fixtures as X
 
 DATA = "/root/testdata/sf0.001"
@@ -70,3 +70,31 @@ def test_lines_without_frames_and_frames_out_of_order(spark):
     frames = spark.range(60).selectExpr("1L AS song_id", "0 AS line", "59 - id AS frame", "50D AS midi").union(spark.range(60).selectExpr("1L", "int(null)", "id", "50D")).union(spark.range(9).selectExpr("3L", "0", "id", "50D"))
     assert {tuple(r) for r in contours.plateaus(notes, frames).collect()} == {(1, 1, True), (1, 2, False), (1, 3, False), (2, 4, False)}
     assert contours.bends(notes, frames).collect() == []
+
+
+def test_tracker_frames_are_counted_where_they_grow(spark):
+    notes = spark.createDataFrame([(1, 0, 1, 0, 300_000, 40), (1, 0, 2, 200_000, 400_000, 45), (1, 1, 3, 0, 200_000, 90), (2, 0, 4, 0, 200_000, None)], "song_id long, line int, note_id long, onset_us long, offset_us long, pitch int")
+    r = random.Random(6)
+    rows = [(s, n, k, f, r.choice([None, 40.0, 45.5, 52.0, 90.2, 45.0 + r.random()]), r.choice([None, 0.2, 0.5, 0.9])) for s in (1, 2) for n in (0, 1) for k in (1, 2) for f in range(45) if r.random() < 0.8]
+    r.shuffle(rows)
+    got = {tuple(x) for x in trackers.tracker_accuracy(notes, spark.createDataFrame(rows, "song_id long, line int, tracker int, frame long, midi double, conf double")).collect()}
+    ref = {}
+    for s, n, _, a, z, p in [tuple(x) for x in notes.collect()]:
+        for f in range(-(-(a + 30_000) // 10_000), (z - 30_000) // 10_000 + 1):
+            ref[s, n, f] = ref.get((s, n, f), []) + [p]
+    ref = {k: v[0] for k, v in ref.items() if len(v) == 1}
+    band = lambda p: {"all"} | ({"30-100"} if p and p < 44 else {"100-400"} if p and p < 68 else set())
+    want = set()
+    for k in (1, 2):
+        for b in ("all", "30-100", "100-400"):
+            size = sum(b in band(p) for p in ref.values())
+            seen = [(m, c, ref[s, n, f]) for s, n, t, f, m, c in rows if t == k and (s, n, f) in ref and b in band(ref[s, n, f])]
+            valid = [m is not None and c is not None and c >= 0.5 for m, c, _ in seen]
+            e = [None if m is None or p is None else m - p for m, _, p in seen]
+            close, fold = [x is not None and abs(x) <= 0.5 for x in e], [x is not None and abs(x - 12 * round(x / 12)) <= 0.5 for x in e]
+            facts = [sum(map(all, zip(close, valid))), sum(map(all, zip(fold, valid))), sum(valid), sum(close), sum(v and f and not c for v, f, c in zip(valid, fold, close))]
+            want.add((k, b, size, *[round(x / size, 6) for x in facts]))
+    assert got == want
+    plan = X.tracker_frames(spark, DATA, by_line=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Generate explode(sequence")[0]
+    assert {tuple(x) for x in X.tracker_frames(spark, DATA, by_line=True).collect()} == {tuple(x) for x in X.tracker_frames(spark, DATA).collect()}
